@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.snippets import SNIPPETS
+from riskloom.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def with_code(documents: DataFrame) -> DataFrame:
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_code(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return with_code(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id"))
 
 
 def of_type(files: DataFrame, *extensions: str) -> DataFrame:

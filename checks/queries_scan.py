@@ -107,7 +107,7 @@ def scan_snippets(spark, sf_dir):
     code = F.concat("text", F.lit("\neval(x); const token = 'abc';\n"))
     from riskloom.sources.files import snippets
     files = snippets(turns.select("conv_id", "turn", name.alias("filename"), code.alias("code")))
-    return file_rules.with_issues(files).select("conv_id", "turn", "path", F.inline("issues")).select("conv_id", "turn", "path", "rule_id")
+    return file_rules.engine_findings(files).select("conv_id", "turn", "path", "rule_id")
 
 
 def scan_pages(spark, sf_dir):

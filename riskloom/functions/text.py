@@ -30,10 +30,11 @@ def matches(col: Column, pattern: str, ci: bool = False) -> Column:
 def folded(col: Column) -> Column:
     """Upper case such that every case-insensitive match of an ASCII word survives.
 
-    lower() maps the Kelvin sign to k and upper() maps the long s to S, so a
-    `contains` test on the result never misses what a Unicode (?i) regex finds.
+    upper() maps the long s to S; the Kelvin sign, which (?i) takes for a k, is
+    replaced by hand.  A `contains` test on the result then never misses what
+    a Unicode (?i) regex finds.
     """
-    return F.upper(F.lower(col))
+    return F.upper(F.replace(col, F.lit("\u212a"), F.lit("K")))
 
 
 def split_lines(content: Column) -> Column:

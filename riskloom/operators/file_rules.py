@@ -141,7 +141,6 @@ RULES = [
 
 NO_ISSUE = "No obvious issues found"
 NO_ACTION = "No action required"
-ISSUES_TYPE = "array<struct<seq:int,rule_id:string,issue:string,suggestion:string>>"
 
 
 def language_of(path: Column) -> Column:
@@ -155,9 +154,18 @@ def language_of(path: Column) -> Column:
     )
 
 
-def with_issues(files: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """Add `lang` and `issues`, the ordered array of rule hits of each file."""
-    prepared = files.withColumns({"lang": language_of(F.col("path")), "folded": folded(F.col("content"))})
+def prepared(files: DataFrame) -> DataFrame:
+    """Add what the rules read: `lang` and the case-folded text, each computed once per file."""
+    return files.withColumns({"lang": language_of(F.col("path")), "folded": folded(F.col("content"))})
+
+
+def issues_of(only: list[str] | None = None) -> Column:
+    """The ordered array of rule hits of a prepared file.
+
+    Hand this expression itself to inline() rather than a column that holds
+    it: from a column Spark infers a `size > 0` filter, which would run all
+    rules a second time further down the plan.
+    """
     source = Source(F.col("content"), F.col("folded"))
     hits = []
     for seq, rule in enumerate(RULES, 1):
@@ -169,12 +177,17 @@ def with_issues(files: DataFrame, only: list[str] | None = None) -> DataFrame:
         hits.append(F.when(test, F.struct(
             F.lit(seq).alias("seq"), F.lit(rule.rule_id).alias("rule_id"),
             F.lit(rule.label).alias("issue"), F.lit(rule.advice).alias("suggestion"))))
-    return prepared.withColumn("issues", F.array_compact(F.array(*hits))).drop("folded")
+    return F.array_compact(F.array(*hits))
+
+
+def with_issues(files: DataFrame) -> DataFrame:
+    return prepared(files).withColumn("issues", issues_of()).drop("folded")
 
 
 def engine_findings(files: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """One row per (file, rule hit)."""
-    return with_issues(files, only).select("path", F.inline("issues"))
+    """One row per (file, rule hit); all other columns but the text stay."""
+    rest = [c for c in files.columns if c != "content"]
+    return prepared(files).select(*rest, F.inline(issues_of(only)))
 
 
 def headline(files: DataFrame) -> DataFrame:

@@ -50,8 +50,9 @@ def locate(label: Column, lowered: Column) -> Column:
 
 def to_findings(files: DataFrame) -> DataFrame:
     """Rule hits of each file as findings with their line; still one row per file until the end."""
-    scanned = with_issues(files).where(F.size("issues") > 0)
-    scanned = scanned.withColumns({"lowered": F.lower("content"), "lines": split_lines(F.col("content"))})
+    found = F.size("issues") > 0  # files without hits are not worth lower-casing or cutting into lines
+    scanned = with_issues(files).withColumns({
+        "lowered": F.when(found, F.lower("content")), "lines": F.when(found, split_lines(F.col("content")))})
     placed = F.transform("issues", lambda i: F.struct(
         i["seq"].alias("seq"), i["rule_id"].alias("rule_id"), i["issue"].alias("type"),
         locate(i["issue"], F.col("lowered")).alias("line"), i["suggestion"].alias("message")))

@@ -58,10 +58,9 @@ def c_hits(text: Column, upper: Column) -> list[Column]:
 def line_findings(files: DataFrame, hits) -> DataFrame:
     """(path, seq, type, line, snippet, message); seq follows line order, then rule order."""
     lines = lines_of(files).withColumn("folded", folded(F.col("text")))
-    found = lines.select("path", "line", "text", F.array_compact(F.array(*hits(F.col("text"), F.col("folded")))).alias("hits"))
+    found = F.array_compact(F.array(*hits(F.col("text"), F.col("folded"))))
     return (
-        found.where(F.size("hits") > 0)
-        .select("path", "line", "text", F.inline("hits"))
+        lines.select("path", "line", "text", F.inline(found))
         .select("path", (F.col("line").cast("bigint") * 10 + F.col("rule")).alias("seq"), "type", "line", strip(F.col("text")).alias("snippet"), "message")
     )
 
@@ -86,7 +85,6 @@ def cpp_fallback_extent(files: DataFrame, around: int = 1) -> DataFrame:
     hits = F.flatten(F.transform("lines", per_line))
     return (
         with_lines.withColumn("hits", hits)
-        .where(F.size("hits") > 0)
         .select("path", F.inline(F.transform("hits", lambda h: F.struct(
             (h["line"].cast("bigint") * 10 + h["rule"]).alias("seq"), h["type"].alias("type"), h["line"].alias("line"),
             h["line"].alias("startLine"), F.lit(None).cast("int").alias("startColumn"),

@@ -30,8 +30,8 @@ def secret_findings(files: DataFrame) -> DataFrame:
             m["text"].alias("snippet"), F.lit(message).alias("message"))))
 
     found = [search(*secret) for secret in SECRETS]
-    rows = files.select("path", F.flatten(F.array_compact(F.array(*found))).alias("found"))
-    return rows.select("path", F.posexplode("found").alias("pos", "f")).select(
+    rows = files.select("path", F.posexplode(F.flatten(F.array_compact(F.array(*found)))).alias("pos", "f"))
+    return rows.select(
         "path", (F.col("pos") + 1).cast("bigint").alias("seq"), "f.rule_id", "f.type", "f.line", "f.snippet", "f.message"
     )
 
@@ -133,7 +133,7 @@ def js_bound_calls(files: DataFrame) -> DataFrame:
     names = F.filter(
         F.transform(F.flatten(F.transform(lists, lambda l: F.split(l, ","))), lambda p: strip(F.substring_index(p, ":", 1))),
         lambda n: n != "")
-    binding = with_code_text(files.where(F.contains("content", F.lit("child_process")))).withColumn("names", names).where(F.size("names") > 0)
+    binding = with_code_text(files.where(F.contains("content", F.lit("child_process")))).withColumn("names", names)
     sites = F.transform(located_matches(F.col("bare"), CALL_SITE), lambda m: F.struct(
         m["line"].alias("line"), F.regexp_extract(m["text"], r"^[\w$]+", 0).alias("name")))
     calls = F.filter(sites, lambda s: F.array_contains(F.col("names"), s["name"]))

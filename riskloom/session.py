@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -36,3 +36,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="riskloom-")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for a scan that yields fewer partitions than there are cores.
+
+    A few big row groups would otherwise keep the costly rules on a few tasks.
+    A scan that already fills the cluster is left alone, so large inputs are
+    not shuffled.  Only for plain scans: the partition count comes from the plan.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
