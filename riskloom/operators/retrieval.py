@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from riskloom import dims
 from riskloom.functions.vectors import EPSILON, HASH_DIM, hash_embed
+from riskloom.session import scratch_dir
 
 EmbedFn = Callable[[list[str]], list[list[float]]]
 
-MAX_HELD = 2048  # rows held as a matrix per pass; more are searched in several passes
+MAX_HELD = 1024  # rows that a task holds as a matrix
+MAX_CELLS = 4_000_000  # scores that a task holds at a time
 SCORE_DIGITS = 9  # equal vectors must tie whatever the summation order, so scores are rounded; ties go to the smaller id
 
 
@@ -34,57 +36,95 @@ def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """The k best columns of each row, ordered by score, then id."""
+    """The k best columns of each row by score, then id. Only what reaches the k-th score gets sorted."""
     keyed = -scores if metric == "cosine" else scores
-    order = np.lexsort((np.broadcast_to(ids, keyed.shape), keyed), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(np.broadcast_to(ids, keyed.shape), order, axis=1)
+    k = min(k, keyed.shape[1])
+    limit = np.partition(keyed, k - 1, axis=1)[:, k - 1]
+    picked = np.empty((len(keyed), k), dtype=int)
+    for i, row in enumerate(keyed):
+        near = np.flatnonzero(row <= limit[i])
+        picked[i] = near[np.lexsort((ids[i, near], row[near]))[:k]]
+    return np.take_along_axis(scores, picked, axis=1), np.take_along_axis(ids, picked, axis=1)
 
 
-def _pass(vectors: DataFrame, held: list, k: int, metric: str) -> DataFrame:
-    """Best k of each task for one bounded set of queries; vectors(id, vec), held rows (query, vec)."""
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype("float64")
+
+
+def _hold_queries(vectors: DataFrame, held: list, kind: str, k: int, metric: str) -> DataFrame:
+    """Each task's best k for a bounded set of queries, while the vectors stream through."""
     names = [r["query"] for r in held]
     matrix = vectors.sparkSession.sparkContext.broadcast(np.array([r["vec"] for r in held], dtype="float64"))
+    step = max(k, MAX_CELLS // len(held))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                piece = batch.iloc[start:start + step]
+                scores = _scores(matrix.value, _stack(piece["vec"]), metric)
+                ids = np.broadcast_to(piece["id"].to_numpy(), scores.shape)
+                if best is not None:
+                    scores, ids = np.hstack([best[0], scores]), np.hstack([best[1], ids])
+                best = _best(scores, ids, k, metric)
+        if best is not None:
+            yield pd.DataFrame({"query": np.repeat(np.array(names), best[0].shape[1]), "id": best[1].ravel(), "score": best[0].ravel()})
+
+    return vectors.select("id", "vec").mapInPandas(search, f"query {kind}, id {dict(vectors.dtypes)['id']}, score double")
+
+
+def _hold_vectors(queries: DataFrame, held: list, kind: str, k: int, metric: str) -> DataFrame:
+    """Final best k of each query, while the queries stream past a bounded set of vectors."""
+    names = np.array([r["id"] for r in held])
+    matrix = queries.sparkSession.sparkContext.broadcast(np.array([r["vec"] for r in held], dtype="float64"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries, best = matrix.value, None
         for batch in batches:
             if batch.empty:
                 continue
-            scores = _scores(queries, np.stack(batch["vec"].to_numpy()).astype("float64"), metric)
-            ids = np.broadcast_to(batch["id"].to_numpy(), scores.shape)
-            if best is not None:
-                scores, ids = np.hstack([best[0], scores]), np.hstack([best[1], ids])
-            keyed = -scores if metric == "cosine" else scores
-            order = np.lexsort((ids, keyed), axis=1)[:, :k]
-            best = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
-        if best is not None:
-            found = best[0].shape[1]
-            yield pd.DataFrame({"query": np.repeat(np.array(names), found), "id": best[1].ravel(), "score": best[0].ravel()})
+            scores = _scores(_stack(batch["vec"]), matrix.value, metric)
+            scores, ids = _best(scores, np.broadcast_to(names, scores.shape), k, metric)
+            yield pd.DataFrame({"query": np.repeat(batch["query"].to_numpy(), scores.shape[1]), "id": ids.ravel(), "score": scores.ravel()})
 
-    return vectors.select("id", "vec").mapInPandas(search, f"query {held[0]['kind']}, id {dict(vectors.dtypes)['id']}, score double")
+    return queries.select("query", "vec").mapInPandas(search, f"query {dict(queries.dtypes)['query']}, id {kind}, score double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosine") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosine", max_held: int = MAX_HELD) -> DataFrame:
     """R2 (cosine) and R3 (l2): (query, rank, id, score), the k best vectors of each query.
 
-    vectors(id, vec) may be of any size.  Queries(query, vec) are counted; up
-    to MAX_HELD go in one pass, more are split by hash into passes of about
-    that size, so what is broadcast stays bounded and no query is left out.
+    Takes vectors(id, vec) and queries(query, vec) of any size.  The side that
+    counts at most `max_held` rows is held.  If both are larger, the queries
+    are written once and searched in hash shares of about that size, one scan
+    of the vectors each, so what is broadcast stays bounded and no query or
+    vector is left out.
     """
-    kind = dict(queries.dtypes)["query"]
-    passes = max(1, -(-queries.count() // MAX_HELD))
-    found = None
-    for i in range(passes):
-        share = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == i)
-        held = share.select("query", "vec", F.lit(kind).alias("kind")).collect()
-        if held:
-            part = _pass(vectors, held, k, metric)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], f"query {kind}, rank int, id {dict(vectors.dtypes)['id']}, score double")
+    spark = vectors.sparkSession
+    kind, id_kind = dict(queries.dtypes)["query"], dict(vectors.dtypes)["id"]
     better = F.desc("score") if metric == "cosine" else F.asc("score")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(better, "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+
+    held = queries.select("query", "vec").limit(max_held + 1).collect()
+    if not held:
+        return spark.createDataFrame([], f"query {kind}, rank int, id {id_kind}, score double")
+    if len(held) <= max_held:
+        return ranked(_hold_queries(vectors, held, kind, k, metric))
+
+    few = vectors.select("id", "vec").limit(max_held + 1).collect()
+    if len(few) <= max_held:
+        return ranked(_hold_vectors(queries, few, id_kind, k, metric))
+
+    stored, results = scratch_dir(spark, "queries"), scratch_dir(spark, "nearest")
+    queries.select("query", "vec").write.parquet(stored)
+    queries = spark.read.parquet(stored)
+    shares = -(-2 * queries.count() // max_held)  # half full on average, so that uneven shares still fit
+    for i in range(shares):
+        held = queries.where(F.pmod(F.xxhash64("query"), F.lit(shares)) == i).collect()
+        if held:
+            ranked(_hold_queries(vectors, held, kind, k, metric)).write.mode("append").parquet(results)
+    return spark.read.parquet(results)
 
 
 def kb_vectors(spark) -> DataFrame:
@@ -106,8 +146,8 @@ def kb_neighbours(texts: DataFrame, text: str, k: int = 3) -> DataFrame:
         for batch in batches:
             if batch.empty:
                 continue
-            vectors = np.stack(batch.pop("__vec").to_numpy())
-            scores, at = _best(_scores(vectors, matrix, "cosine"), np.arange(len(ids)), k, "cosine")
+            scores = _scores(_stack(batch.pop("__vec")), matrix, "cosine")
+            scores, at = _best(scores, np.broadcast_to(np.arange(len(ids)), scores.shape), k, "cosine")
             yield batch.assign(retrieved=[
                 [{"id": ids[j], "score": float(s), "text": notes[j]} for s, j in zip(row, where)] for row, where in zip(scores, at)])
 
