@@ -33,7 +33,7 @@ ORACLE = {
         UNION ALL SELECT path, CASE WHEN u = '' THEN '# ' ELSE '# ' || u END, CAST(k AS INTEGER) FROM (
           SELECT path, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM py WHERE sid <> 9)"""),
     "facts_control_flow": facts("SELECT path, name AS type, val AS value, line FROM facts WHERE kind = 'control'"),
-    "facts_kind_counts": facts("SELECT path, kind, count(*) AS n FROM facts WHERE kind <> 'comment' GROUP BY path, kind"),
+    "code_facts": facts("SELECT path, kind, count(*) AS n FROM facts WHERE kind <> 'comment' GROUP BY path, kind"),
     "import_popularity": facts("SELECT name, count(DISTINCT path) AS files, count(*) AS times FROM facts WHERE kind = 'imported' GROUP BY name"),
     "call_edges": facts("SELECT parent AS caller, name AS callee, count(*) AS n FROM facts WHERE kind = 'function_call' GROUP BY ALL"),
 } | {f"py_P{i}": facts(f"SELECT path, rule_id, type, line, snippet FROM rules WHERE rule_id = 'P{i}'") for i in range(1, 11)}

@@ -4,26 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.corpus import code_corpus, of_type, table
+from checks.corpus import code_corpus, table
 from riskloom.functions import references, responses, text
 from riskloom.functions.severity import severity_of, weight_of
-from riskloom.operators import enrich, file_rules, findings, line_rules, match_rules, rollup
+from riskloom.operators import enrich, rollup
+from riskloom.plans import scan
 from riskloom.sources import files as sources
 from riskloom.sources.documents import findings_from_json
 
 
 def all_findings(files):
     """Findings of the file rules and of the secret search together, numbered per file."""
-    engine = findings.to_findings(files).select("path", F.col("seq").cast("bigint").alias("seq"), "type", "line", "snippet", "message")
-    secrets = match_rules.secret_findings(files).select("path", (F.col("seq") + 100).alias("seq"), "type", "line", "snippet", "message")
-    return engine.unionByName(secrets)
+    return scan.scan_all_located(files).drop("rule_id")
 
 
 def rated(files):
     """The cheap form for the roll-ups: type and severity only."""
-    engine = file_rules.engine_findings(files).select("path", F.col("seq").cast("bigint").alias("seq"), F.col("issue").alias("type"))
-    secrets = match_rules.secret_findings(files).select("path", (F.col("seq") + 100).alias("seq"), "type")
-    return engine.unionByName(secrets).withColumn("severity", severity_of(F.col("type")))
+    return scan.scan_all(files).drop("rule_id").withColumn("severity", severity_of(F.col("type")))
 
 
 def source_of(path="path"):

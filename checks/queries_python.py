@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.corpus import code_corpus, of_type
 from riskloom.operators import python_rules, structure
-from riskloom.operators.code_facts import STRUCTURE_KINDS, code_facts
+from riskloom.operators.code_facts import STRUCTURE_KINDS, code_facts as facts_table
 
 
 def python_files(spark, sf_dir):
@@ -65,9 +65,9 @@ def facts_control_flow(spark, sf_dir):
     return structure.control_flow(python_files(spark, sf_dir)).select("path", "type", "value", "line")
 
 
-def facts_kind_counts(spark, sf_dir):
+def code_facts_(spark, sf_dir):
     kinds = tuple(k for k in STRUCTURE_KINDS if k != "comment")
-    return code_facts(python_files(spark, sf_dir), kinds).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return facts_table(python_files(spark, sf_dir), kinds).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def import_popularity(spark, sf_dir):
@@ -78,7 +78,7 @@ def call_edges(spark, sf_dir):
     return structure.call_edges(python_files(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in [
+QUERIES = {f.__name__.rstrip("_"): f for f in [
     analyze_python, facts_imports, facts_functions, facts_calls, external_calls, facts_classes, facts_assignments, facts_strings,
-    facts_comments, facts_control_flow, facts_kind_counts, import_popularity, call_edges,
+    facts_comments, facts_control_flow, code_facts_, import_popularity, call_edges,
 ]} | {f"py_P{i}": rule_query(f"P{i}") for i in range(1, 11)}

@@ -8,7 +8,7 @@ from checks.corpus import code_corpus, table
 from checks.queries_enrich import rated
 from riskloom.functions.vectors import hash_embed as hash_vector
 from riskloom.operators import retrieval
-from riskloom.session import scratch_dir
+from riskloom.session import scratch_dir, spread
 
 DIGITS = 1_000_000
 
@@ -18,8 +18,12 @@ def printed(vec):
     return F.array_join(F.transform(vec, lambda x: F.round(x * DIGITS).cast("bigint").cast("string")), " ")
 
 
+def documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def hash_embed(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", printed(hash_vector(F.col("text"))).alias("vec"))
+    return documents(spark, sf_dir).select("doc_id", printed(hash_vector(F.col("text"))).alias("vec"))
 
 
 def vectors(spark, sf_dir):
@@ -69,7 +73,7 @@ def kb_with_neighbours(spark, sf_dir):
 
 def kb_search(spark, sf_dir):
     """Every document's text against the knowledge base."""
-    out = retrieval.kb_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    out = retrieval.kb_neighbours(documents(spark, sf_dir), "text")
     return out.select("doc_id", F.posexplode("retrieved").alias("pos", "r")).select("doc_id", (F.col("pos") + 1).alias("rank"), "r.id", F.round("r.score", 6).alias("score"))
 
 
@@ -81,13 +85,13 @@ def flaky_embedder(texts):
 
 
 def embed_batch(spark, sf_dir):
-    out = retrieval.embed_batch(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), flaky_embedder)
+    out = retrieval.embed_batch(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), flaky_embedder)
     return out.select(F.col("id").alias("doc_id"), F.array_join(F.transform("vec", lambda x: x.cast("bigint").cast("string")), " ").alias("vec"))
 
 
 def vectors_append(spark, sf_dir):
     """Benchmark items are embedded and added to the embedded documents."""
-    base = retrieval.embed_batch(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
+    base = retrieval.embed_batch(documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text"))
     extra = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), "text")
     return retrieval.add_entries(base, extra).select("id", F.round(F.col("vec")[0] * DIGITS).cast("bigint").alias("first"))
 

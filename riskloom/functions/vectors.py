@@ -11,20 +11,14 @@ HASH_DIM = 128  # fixed value: length of the hash embedding
 
 def hash_embed(text: Column, dim: int = HASH_DIM) -> Column:
     """SHA-256 of the text, doubled up with digests of all bytes so far, as unit vector of byte/255."""
-    hexed = F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
+    data = F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
     have = 32
     while have < dim:
-        hexed = F.concat(hexed, F.sha2(F.unhex(hexed), 256))
+        data = F.concat(data, F.unhex(F.sha2(data, 256)))
         have += 32
-    digits = "0123456789abcdef"
-
-    def nibble(c: Column) -> Column:
-        return F.instr(F.lit(digits), c) - 1
-
-    # One pass over the byte pairs; the pairs are cut out once, before any arithmetic.
-    pairs = F.slice(F.split(F.regexp_replace(hexed, "(..)", "$1 "), " "), 1, dim)
-    values = F.transform(pairs, lambda p: (nibble(F.substring(p, 1, 1)) * 16 + nibble(F.substring(p, 2, 1))) / F.lit(255.0))
-    return unit(values)
+    # Read as Latin-1, each byte is one character with the byte's value as its code.
+    letters = F.slice(F.split(F.decode(data, "ISO-8859-1"), ""), 1, dim)
+    return unit(F.transform(letters, lambda c: F.ascii(c) / F.lit(255.0)))
 
 
 def norm(v: Column) -> Column:

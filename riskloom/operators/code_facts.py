@@ -112,7 +112,8 @@ def _call_fact(f: _File, node: ast.Call, inside: bool) -> dict:
 
 
 def _rule_facts(f: _File, kinds: frozenset) -> Iterator[dict]:
-    """What the P rules read, in visiting order."""
+    """What the P rules read, in visiting order. Assignments only matter where something is executed."""
+    runs_sql = ".execute" in f.source
     for node, inside in _preorder(f.tree):
         if isinstance(node, ast.Call) and "call" in kinds:
             yield _call_fact(f, node, inside)
@@ -128,7 +129,7 @@ def _rule_facts(f: _File, kinds: frozenset) -> Iterator[dict]:
             if text != " ":
                 mod = any(isinstance(n, ast.BinOp) and isinstance(n.op, ast.Mod) for n in ast.walk(node))
                 yield {"kind": "binop_add", "value": text, "flags": ["mod"] if mod else [], "line": node.lineno, "snippet": f.snippet(node)}
-        elif isinstance(node, ast.Assign) and "assign" in kinds and not inside:
+        elif isinstance(node, ast.Assign) and "assign" in kinds and not inside and runs_sql:
             if len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
                 form, text = _sql_source(f, node.value, (ast.BinOp, ast.JoinedStr, ast.Call))
                 yield {"kind": "assign", "name": node.targets[0].id, "value": text, "flags": [form], "line": node.lineno}

@@ -48,19 +48,27 @@ def locate(label: Column, lowered: Column) -> Column:
     return F.regexp_count(F.substring(lowered, F.lit(1), at - 1), F.lit(LINE_END)) + 1
 
 
-def to_findings(files: DataFrame) -> DataFrame:
-    """Rule hits of each file as findings with their line; still one row per file until the end."""
+def with_places(files: DataFrame) -> DataFrame:
+    """Add `issues` with their lines as `placed`, and the file's `lines`; still one row per file."""
     found = F.size("issues") > 0  # files without hits are not worth lower-casing or cutting into lines
     scanned = with_issues(files).withColumns({
         "lowered": F.when(found, F.lower("content")), "lines": F.when(found, split_lines(F.col("content")))})
-    placed = F.transform("issues", lambda i: F.struct(
+    return scanned.withColumn("placed", F.transform("issues", lambda i: F.struct(
         i["seq"].alias("seq"), i["rule_id"].alias("rule_id"), i["issue"].alias("type"),
-        locate(i["issue"], F.col("lowered")).alias("line"), i["suggestion"].alias("message")))
-    with_snippet = F.transform("placed", lambda p: F.struct(
+        locate(i["issue"], F.col("lowered")).alias("line"), i["suggestion"].alias("message"))))
+
+
+def placed_issues() -> Column:
+    """`placed` of with_places with the stripped source line as snippet."""
+    return F.transform("placed", lambda p: F.struct(
         p["seq"].alias("seq"), p["rule_id"].alias("rule_id"), p["type"].alias("type"), p["line"].alias("line"),
         F.coalesce(strip(F.try_element_at(F.col("lines"), p["line"])), F.lit("")).alias("snippet"),
         p["message"].alias("message")))
-    return scanned.withColumn("placed", placed).select("path", F.inline(with_snippet))
+
+
+def to_findings(files: DataFrame) -> DataFrame:
+    """Rule hits as findings with their line, without a shuffle."""
+    return with_places(files).select("path", F.inline(placed_issues()))
 
 
 def dedup_issues(issues: DataFrame) -> DataFrame:

@@ -21,17 +21,20 @@ SECRETS = [
 ]
 
 
-def secret_findings(files: DataFrame) -> DataFrame:
-    """(path, seq, rule_id, type, line, snippet, message): pattern by pattern, then in text order."""
+def secrets_of() -> Column:
+    """The secrets of a file, pattern by pattern, then in text order: array<struct<rule_id, type, line, snippet, message>>."""
     def search(rule: str, pattern: str, ci: bool, kind: str, message: str) -> Column:
         found = located_matches(F.col("content"), pattern, ci)
         return F.when(matches(F.col("content"), pattern, ci), F.transform(found, lambda m: F.struct(
             F.lit(rule).alias("rule_id"), F.lit(kind).alias("type"), m["line"].alias("line"),
             m["text"].alias("snippet"), F.lit(message).alias("message"))))
 
-    found = [search(*secret) for secret in SECRETS]
-    rows = files.select("path", F.posexplode(F.flatten(F.array_compact(F.array(*found)))).alias("pos", "f"))
-    return rows.select(
+    return F.flatten(F.array_compact(F.array(*[search(*secret) for secret in SECRETS])))
+
+
+def secret_findings(files: DataFrame) -> DataFrame:
+    """(path, seq, rule_id, type, line, snippet, message)."""
+    return files.select("path", F.posexplode(secrets_of()).alias("pos", "f")).select(
         "path", (F.col("pos") + 1).cast("bigint").alias("seq"), "f.rule_id", "f.type", "f.line", "f.snippet", "f.message"
     )
 
@@ -64,10 +67,16 @@ def blanked(tokens: Column, literals: bool) -> Column:
     return F.array_join(F.transform(tokens, one), "")
 
 
-def with_code_text(files: DataFrame) -> DataFrame:
-    """Add `uncommented` (comments blanked) and `bare` (literals blanked as well)."""
+def with_code_text(files: DataFrame, *gate: str) -> DataFrame:
+    """Add `uncommented` (comments blanked) and `bare` (literals blanked as well).
+
+    Only files that hold one of the `gate` words are worth cutting into tokens.
+    """
+    held = F.contains("content", F.lit(gate[0]))
+    for word in gate[1:]:
+        held = held | F.contains("content", F.lit(word))
     tokens = F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))
-    staged = files.withColumn("tokens", tokens)
+    staged = files.where(held).withColumn("tokens", tokens)
     return staged.withColumns({
         "uncommented": blanked(F.col("tokens"), literals=False),
         "bare": blanked(F.col("tokens"), literals=True),
@@ -120,7 +129,7 @@ def js_token_findings(files: DataFrame) -> DataFrame:
         return F.when(F.contains(column, F.lit(gate)), F.transform(found, lambda m: as_finding(rule, kind, m["line"], message)))
 
     found = [search(*rule) for rule in JS_TOKENS]
-    return with_code_text(files).select("path", F.inline(F.flatten(F.array_compact(F.array(*found)))))
+    return with_code_text(files, "eval", "exec", "RegExp").select("path", F.inline(F.flatten(F.array_compact(F.array(*found)))))
 
 
 BINDING = r"""\{([^{}]*)\}\s*=\s*require\s*\(\s*['"]child_process['"]\s*\)"""
@@ -133,7 +142,7 @@ def js_bound_calls(files: DataFrame) -> DataFrame:
     names = F.filter(
         F.transform(F.flatten(F.transform(lists, lambda l: F.split(l, ","))), lambda p: strip(F.substring_index(p, ":", 1))),
         lambda n: n != "")
-    binding = with_code_text(files.where(F.contains("content", F.lit("child_process")))).withColumn("names", names)
+    binding = with_code_text(files, "child_process").withColumn("names", names)
     sites = F.transform(located_matches(F.col("bare"), CALL_SITE), lambda m: F.struct(
         m["line"].alias("line"), F.regexp_extract(m["text"], r"^[\w$]+", 0).alias("name")))
     calls = F.filter(sites, lambda s: F.array_contains(F.col("names"), s["name"]))
@@ -152,7 +161,7 @@ def js_template_sql(files: DataFrame) -> DataFrame:
         F.split(m["text"], r"\$\{[^}]*\}", -1), lambda p: F.struct(m["line"].alias("line"), p.alias("piece")))))
     hits = F.filter(pieces, lambda p: F.rlike(p["piece"], F.lit(DIALECT_CI + SQL_PIECE)))
     return (
-        with_code_text(files.where(F.contains("content", F.lit("`"))))
+        with_code_text(files, "`")
         .select("path", "lines", F.posexplode(hits).alias("pos", "h"))
         .select(
             "path", (F.col("pos") + 1).alias("seq"), F.lit("JX5").alias("rule_id"), F.lit("Possible SQL Injection").alias("type"),
@@ -173,7 +182,7 @@ def cpp_calls_extent(files: DataFrame, around: int = 1) -> DataFrame:
         F.when(F.contains(m["text"], F.lit("\n")), F.length(F.substring_index(m["text"], "\n", -1)) + 1)
         .otherwise(m["column"] + F.length(m["text"])).alias("endColumn"),
         context_of(F.col("lines"), m["line"], around).alias("snippet")))
-    return with_code_text(files).select("path", F.inline(found))
+    return with_code_text(files, *C_NAMES).select("path", F.inline(found))
 
 
 # A variable with a type in front, given a literal on the same line.
@@ -189,7 +198,7 @@ def cpp_literal_decls(files: DataFrame, around: int = 1) -> DataFrame:
         (m["column"] + F.length(m["text"])).alias("endColumn"),
         F.concat(F.lit('"'), F.substring_index(F.substring_index(m["text"], '"', -2), '"', 1), F.lit('"')).alias("literal")))
     long_ones = F.filter(found, lambda f: F.length(f["literal"]) >= MIN_LITERAL)
-    return with_code_text(files.where(F.contains("content", F.lit('"')))).select("path", F.inline(F.transform(long_ones, lambda f: F.struct(
+    return with_code_text(files, '"').select("path", F.inline(F.transform(long_ones, lambda f: F.struct(
         F.lit("Hardcoded Secret").alias("type"), f["line"].alias("line"), f["line"].alias("startLine"), f["startColumn"].alias("startColumn"),
         f["line"].alias("endLine"), f["endColumn"].alias("endColumn"), f["literal"].alias("literal"),
         context_of(F.col("lines"), f["line"], around).alias("snippet")))))

@@ -36,74 +36,69 @@ def runs_sql() -> Column:
     return (F.col("kind") == "call") & F.col("name").isin(RUNS_SQL) & ~flag("bare") & ~flag("inside_call") & ~flag("params")
 
 
-def rule_of(facts: DataFrame) -> DataFrame:
-    """Facts that a rule other than P9 takes, with rule_id, detector (report order), type and message."""
+def rule(rule_id: str, detector: int, issue_type: str, message: Column | str) -> Column:
+    text = F.lit(message) if isinstance(message, str) else message
+    return F.struct(F.lit(rule_id).alias("rule_id"), F.lit(detector).alias("detector"), F.lit(issue_type).alias("type"), text.alias("message"))
+
+
+def rule_of_fact() -> Column:
+    """The rule a single fact meets, as struct<rule_id, detector, type, message>, else null. `detector` is the report order."""
     kind, name, qual, value = F.col("kind"), F.col("name"), F.col("qual"), F.col("value")
     call = kind == "call"
     pattern = strip(value)
     broad = pattern.isin(BROAD) | (F.contains(value, F.lit(".*")) & (F.length(pattern) < 10))
     formatted = flag("mod") | F.contains(value, F.lit("format(")) | F.contains(value, F.lit("%")) | F.contains(value, F.lit("{")) | F.contains(value, F.lit("f'"))
-
-    def rule(rule_id: str, detector: int, issue_type: str, message: Column | str) -> Column:
-        text = F.lit(message) if isinstance(message, str) else message
-        return F.struct(F.lit(rule_id).alias("rule_id"), F.lit(detector).alias("detector"), F.lit(issue_type).alias("type"), text.alias("message"))
-
     process = F.concat(F.lit("An external program is started; check its arguments."), F.when(flag("shell"), " It runs through the shell.").otherwise(""))
-    chosen = (
+    module = F.concat(name, F.lit(" can run commands; review its use."))
+    return (
         F.when(call & flag("bare") & name.isin(BARE_CALLS), rule("P1", 2, "Insecure Function Usage", F.concat(name, F.lit("() acts on its input as code or takes it unchecked."))))
         .when(call & (qual == "pickle") & name.isin(PICKLE_CALLS), rule("P2", 2, "Insecure Function Usage", "Unpickling untrusted bytes can run code."))
         .when(call & (qual == "subprocess") & name.isin(PROCESS_CALLS), rule("P3", 2, "Suspicious Subprocess Call", process))
-        .when((kind == "import") & name.isin(MODULES), rule("P4", 3, "Dangerous Import", F.concat(name, F.lit(" can run commands; review its use."))))
-        .when((kind == "import_from") & name.isin(MODULES), rule("P5", 3, "Dangerous Import", F.concat(name, F.lit(" can run commands; review its use."))))
+        .when((kind == "import") & name.isin(MODULES), rule("P4", 3, "Dangerous Import", module))
+        .when((kind == "import_from") & name.isin(MODULES), rule("P5", 3, "Dangerous Import", module))
         .when((kind == "attribute") & name.isin(WEAK_HASHES), rule("P6", 4, "Deprecated Hash", F.concat(name, F.lit(" is too weak for security; use SHA-256."))))
         .when((kind == "binop_add") & sql_word(value) & formatted, rule("P7", 5, "Possible SQL Injection", BUILT_SQL))
         .when(runs_sql() & flag("arg_const") & sql_word(F.lower(value)), rule("P8", 5, "Possible SQL Injection", "SQL is run without bound values."))
         .when(runs_sql() & flag("arg_built") & sql_word(value), rule("P8", 5, "Possible SQL Injection", "SQL is run without bound values."))
         .when(call & (qual == "re") & name.isin(REGEX_CALLS) & flag("arg_const") & broad, rule("P10", 6, "Insecure Regex", "The pattern matches almost anything."))
     )
-    return facts.withColumn("rule", chosen).where(F.col("rule").isNotNull()).select("path", "visit_seq", "line", "snippet", "rule.*")
-
-
-def sql_variables(facts: DataFrame) -> DataFrame:
-    """execute(variable) against the variable's latest earlier assignment in the file.
-
-    An as-of join as a running last value. Only assignments and execute calls
-    are shuffled, by file and variable, with their text cut down to one flag.
-    """
-    kind = F.col("kind")
-    use = runs_sql() & flag("arg_name")
-    moves = facts.where((kind == "assign") | use).select(
-        "path", "visit_seq", "line", "snippet",
-        F.when(kind == "assign", F.col("name")).otherwise(F.col("value")).alias("variable"),
-        F.when(kind == "assign", sql_word(F.lower("value"))).alias("assigned_sql"))
-    so_far = Window.partitionBy("path", "variable").orderBy("visit_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        moves.withColumn("holds_sql", F.last("assigned_sql", ignorenulls=True).over(so_far))
-        .where(F.col("assigned_sql").isNull() & F.col("holds_sql"))
-        .select(
-            "path", "visit_seq", "line", "snippet", F.lit("P9").alias("rule_id"), F.lit(5).alias("detector"),
-            F.lit("Possible SQL Injection").alias("type"), F.lit("The variable holds SQL text built from parts; bind values instead.").alias("message"))
-    )
 
 
 # Which facts each rule reads.
 RULE_FACTS = {
-    "P1": "call", "P2": "call", "P3": "call", "P4": "import", "P5": "import_from", "P6": "attribute",
-    "P7": "binop_add", "P8": "call", "P10": "call",
+    "P1": ("call",), "P2": ("call",), "P3": ("call",), "P4": ("import",), "P5": ("import_from",), "P6": ("attribute",),
+    "P7": ("binop_add",), "P8": ("call",), "P9": ("call", "assign"), "P10": ("call",),
 }
 
 
 def syntax_findings(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """P1-P10, or those named. Each branch asks only for the facts that it reads."""
-    plain = [r for r in RULE_FACTS if rules is None or r in rules]
-    found = []
-    if plain:
-        out = rule_of(code_facts(files, tuple({RULE_FACTS[r] for r in plain})))
-        found.append(out if rules is None else out.where(F.col("rule_id").isin(plain)))
-    if rules is None or "P9" in rules:
-        # only files that can hold an execute call are parsed for the as-of join
-        found.append(sql_variables(code_facts(files.where(F.contains("content", F.lit(".execute"))), ("call", "assign"))))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    """P1-P10, or those named, from one parse of each file.
+
+    P9 (J6, W4) is an as-of join: execute(variable) takes the variable's
+    latest earlier assignment in the file, found as a running last value.
+    Facts that no rule needs are dropped and SQL text is cut down to a flag
+    before the only shuffle, which goes by file and variable.
+    """
+    wanted = list(rules or RULE_FACTS)
+    facts = code_facts(files, tuple(sorted({k for r in wanted for k in RULE_FACTS[r]})))
+    met = rule_of_fact()
+    columns = ["path", "visit_seq", "line", "snippet"]
+    if "P9" not in wanted:
+        found = facts.select(*columns, met.alias("met"))
+    else:
+        assigned = F.col("kind") == "assign"
+        used = runs_sql() & flag("arg_name")
+        moves = facts.select(
+            *columns, met.alias("met"), used.alias("used"),
+            F.when(assigned, F.col("name")).when(used, F.col("value")).alias("variable"),
+            F.when(assigned, sql_word(F.lower("value"))).alias("holds_sql"),
+        ).where(F.col("met").isNotNull() | F.col("variable").isNotNull())
+        so_far = Window.partitionBy("path", "variable").orderBy("visit_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        latest = F.last("holds_sql", ignorenulls=True).over(so_far)
+        p9 = rule("P9", 5, "Possible SQL Injection", "The variable holds SQL text built from parts; bind values instead.")
+        found = moves.withColumn("latest", latest).select(*columns, F.coalesce("met", F.when(F.col("used") & F.col("latest"), p9)).alias("met"))
+    found = found.where(F.col("met").isNotNull()).select(*columns, "met.*")
+    return found.where(F.col("rule_id").isin(wanted)) if rules else found
 
 
 def analyze_python(files: DataFrame) -> DataFrame:

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from riskloom.functions.severity import severity_of
 from riskloom.operators import rollup
 from riskloom.operators.enrich import ExplainFn, enrich_with_backend
-from riskloom.operators.file_rules import engine_findings
-from riskloom.operators.findings import to_findings
+from riskloom.operators.file_rules import engine_findings, issues_of, prepared
+from riskloom.operators.findings import placed_issues, to_findings, with_places
 from riskloom.operators.line_rules import cpp_line_findings, js_line_findings
+from riskloom.operators.match_rules import secrets_of
 from riskloom.operators.python_rules import analyze_python
 from riskloom.sources.files import scan_files
 
+SECRETS_FROM = 101  # secrets are numbered from here, after the file rules
+
 
 def of_suffix(files: DataFrame, suffix: str) -> DataFrame:
     return files.where(F.lower("path").endswith(suffix))
@@ -24,6 +27,22 @@ def upload(files: DataFrame, explain_fn: ExplainFn | None = None) -> DataFrame:
     return enrich_with_backend(to_findings(files), explain_fn)
 
 
+def scan_all(files: DataFrame) -> DataFrame:
+    """File rules and secret search over one reading of the files: (path, seq, rule_id, type), secrets after the rules."""
+    issues = F.transform(issues_of(), lambda i: F.struct(i["seq"].cast("bigint").alias("seq"), i["rule_id"].alias("rule_id"), i["issue"].alias("type")))
+    secrets = F.transform(secrets_of(), lambda s, i: F.struct((i + SECRETS_FROM).cast("bigint").alias("seq"), s["rule_id"].alias("rule_id"), s["type"].alias("type")))
+    return prepared(files).select("path", F.inline(F.concat(issues, secrets)))
+
+
+def scan_all_located(files: DataFrame) -> DataFrame:
+    """The same findings with line, snippet and message."""
+    issues = F.transform(placed_issues(), lambda i: F.struct(
+        i["seq"].cast("bigint").alias("seq"), *[i[c].alias(c) for c in ("rule_id", "type", "line", "snippet", "message")]))
+    secrets = F.transform(secrets_of(), lambda s, i: F.struct(
+        (i + SECRETS_FROM).cast("bigint").alias("seq"), *[s[c].alias(c) for c in ("rule_id", "type", "line", "snippet", "message")]))
+    return with_places(files).select("path", F.inline(F.concat(issues, secrets)))
+
+
 def analyze(files: DataFrame) -> DataFrame:
     """Findings of .py, .js and .cpp files by their own rules, with a per-file order (`detector`, `seq`).
 
