@@ -56,11 +56,10 @@ def analyze(files: DataFrame) -> DataFrame:
 
 
 def top_files_text(scores: DataFrame) -> DataFrame:
-    """The three top files in one row; at most three short rows are gathered."""
-    entry = F.struct((-F.col("score")).alias("rank"), "path", "issues", "score")
-    listed = F.array_sort(F.collect_list(entry))
-    return rollup.top_files(scores).agg(F.transform(listed, lambda e: F.struct(
-        e["path"].alias("file"), e["score"].alias("score"), e["issues"].alias("issues"))).alias("top_files"))
+    """The three top files as `path:score:issues` in one row; at most three short rows are gathered."""
+    entry = F.struct((-F.col("score")).alias("rank"), "path", "score", "issues")
+    text = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat_ws(":", e["path"], e["score"].cast("string"), e["issues"].cast("string")))
+    return rollup.top_files(scores).agg(F.array_join(text, " ").alias("top_files"))
 
 
 def summary(files: DataFrame | None, spark: SparkSession | None = None) -> DataFrame:
@@ -76,8 +75,10 @@ def summary(files: DataFrame | None, spark: SparkSession | None = None) -> DataF
     totals = rollup.with_risk(per_file.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("high", "medium", "low", "total_issues")]))
     w = rollup.weighted(F.col("high"), F.col("medium"), F.col("low"))
     top = top_files_text(per_file.select("path", w.alias("score"), F.col("total_issues").alias("issues")))
-    text = F.array_join(F.transform("top_files", lambda t: F.concat_ws(":", t["file"], t["score"].cast("string"), t["issues"].cast("string"))), " ")
-    return totals.select("*", F.lit(1).alias("k")).join(top.select(text.alias("top_files"), F.lit(1).alias("k")), "k").drop("k", "weighted", "score", "score_2dp")
+    columns = ["high", "medium", "low", "total_issues", "risk", "rationale"]
+    # two one-row tables with different columns, folded into one row
+    both = totals.select(columns).unionByName(top, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in [*columns, "top_files"]])
 
 
 def summary_of_path(spark: SparkSession, path: str | None) -> DataFrame:

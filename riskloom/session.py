@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", **settings: str) -> SparkSession:
     """A local session for tests and the bench. On a cluster, use the session you are given."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("riskloom")
         .config("spark.ui.enabled", "false")
@@ -20,8 +20,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
