@@ -57,8 +57,6 @@ def explained(message: str) -> str:
     return f"coalesce(t_explanation, 'Detected issue: ''' || type || '''. ' || {message} || ' ' || snippet)"
 
 
-ASK = "As a security engineer, explain this code issue in plain words, its impact, a short fix and references."
-ANSWER = "Answer with a JSON object with the keys explanation, fix and references (a list of URLs)."
 
 URL = """CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '  ' || url || ' ' WHEN 2 THEN replace(url, 'http', 'HTTP')
   WHEN 3 THEN 'https://localhost/x' WHEN 4 THEN url || '\\s' ELSE 'see ' || url END"""
@@ -96,8 +94,6 @@ ORACLE = {
     "kb_lookup": corpus_sql(RATED + DIMS + """ SELECT path, seq, type, k.key AS kb_key, k.fix AS kb_fix, CAST(coalesce(len(string_split(k.links, ' ')), 0) AS BIGINT) AS n_links
         FROM rated LEFT JOIN kb k ON k.key = lower(type)"""),
     "merge_references": corpus_sql(TOLD + " SELECT path, seq, all_links AS links FROM merged"),
-    "build_prompts": corpus_sql(TOLD + f""" SELECT path, seq, '{ASK}' || chr(10) || 'Issue Type: ' || type || chr(10) || 'Line: ' || coalesce(CAST(line AS VARCHAR), 'None')
-        || chr(10) || 'Snippet: ' || snippet || chr(10) || 'Message: check' || chr(10) || 'Relevant Knowledge:' || chr(10) || coalesce(kb_summary, '') || chr(10) || '{ANSWER}' AS prompt FROM told"""),
     "enrich_findings": corpus_sql(TOLD + f""" SELECT path, seq, type, line, snippet, {severity("type")} AS severity,
         {explained("message")} AS explanation, fix, 'offline' AS llm_used, all_links AS links FROM (SELECT m.*, a.advice AS message FROM merged m LEFT JOIN advice a ON m.type = a.type)""").replace("WITH ", "WITH " + ADVICE, 1),
     "enrich_with_backend": corpus_sql(TOLD + BACKEND + " SELECT * FROM answered").replace("WITH ", "WITH " + ADVICE, 1),

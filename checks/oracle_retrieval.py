@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.corpus import corpus_sql, values
-from checks.oracle_enrich import RATED
+from checks.oracle_enrich import RATED, TOLD
 from riskloom import dims
 
 
@@ -46,7 +46,15 @@ def kb_ranked(source: str, key: str) -> str:
   SELECT t.{key}, k.key AS id, round({KB_COSINE}, 9) AS score FROM {source} t, kbv k)) WHERE rank <= 3)"""
 
 
+ASK = "As a security engineer, explain this code issue in plain words, its impact, a short fix and references."
+ANSWER = "Answer with a JSON object with the keys explanation, fix and references (a list of URLs)."
+
 ORACLE = {
+    "build_prompts": corpus_sql(TOLD.replace(", kb AS", ", kb_full AS", 1).replace("LEFT JOIN kb k", "LEFT JOIN kb_full k", 1) + f", {KB}, tv AS ({hashed('types', 'type', 'type')}), {kb_ranked('tv', 'type')}"
+        f""", near AS (SELECT r.type, string_agg(kb.summary, chr(10) ORDER BY rank) AS texts FROM ranked r JOIN kb ON r.id = kb.key GROUP BY r.type)
+        SELECT path, seq, '{ASK}' || chr(10) || 'Issue Type: ' || t.type || chr(10) || 'Line: ' || coalesce(CAST(line AS VARCHAR), 'None')
+        || chr(10) || 'Snippet: ' || snippet || chr(10) || 'Message: check' || chr(10) || 'Relevant Knowledge:' || chr(10)
+        || concat_ws(chr(10), kb_summary, texts) || chr(10) || '{ANSWER}' AS prompt FROM told t JOIN near n ON t.type = n.type"""),
     "hash_embed": f"SELECT doc_id, {PRINT.format('vec')} AS vec FROM ({hashed('documents', 'doc_id', 'text')})",
     "knn_cosine": ranked(COSINE, "DESC", 3) + " SELECT query AS label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM ranked",
     "knn_l2": ranked(L2, "ASC", 3) + " SELECT query AS label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM ranked",

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from checks.corpus import corpus_sql
-from checks.oracle_enrich import ALL, RATED
+from checks.oracle_enrich import ALL, RATED, severity
+from checks.oracle_python import FACTS
 from checks.oracle_scan import C_EXTENT, C_LINE, C_SRC, JS_LINE, JS_SRC, SECRET_SQL, hits_cte
 
 ASOF = "TIMESTAMP '2024-01-30 12:00:00'"
@@ -40,6 +41,13 @@ FILE_TOTALS = """SELECT CAST(sum(n + 1) AS BIGINT) AS lines, CAST(sum(length(tex
   CAST(sum(len(list_filter(string_split(text, chr(10)), lambda l: contains(l, 'token = ')))) AS BIGINT) AS token_lines
   FROM (SELECT doc_id, text, length(text) - length(replace(text, chr(10), '')) AS n FROM documents) WHERE """
 
+# .py by secrets and expected syntax findings, .js and .cpp by line rules, vendor folders left out
+SUMMARY = (FACTS + SECRET_SQL + ", src AS (SELECT * FROM corpus WHERE ext IN ('.js', '.cpp'))" + JS_LINE.replace("lines AS", "jlines AS").replace("FROM lines", "FROM jlines").replace("found AS", "jfound AS")
+           + C_LINE.replace("found AS", "cfound AS") + f""", r AS (SELECT path, {severity("type")} AS severity FROM (
+  SELECT path, type FROM rules UNION ALL SELECT path, type FROM secrets WHERE path LIKE '%.py'
+  UNION ALL SELECT path, type FROM jfound WHERE path LIKE '%.js' UNION ALL SELECT path, type FROM cfound WHERE path LIKE '%.cpp')
+  WHERE path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/build/%')""")
+
 ORACLE = {
     "sessions_expired": f"WITH {SESSIONS} SELECT session_id, {expired(3600)} AS expired, {expired(86400)} AS expired_day, FALSE AS expired_never FROM live",
     "sessions_evict": EVICT + f""" SELECT 'live' AS side, session_id FROM live WHERE session_id NOT IN (SELECT session_id FROM gone)
@@ -95,12 +103,13 @@ ORACLE = {
     "stream_findings": corpus_sql(hits_cte() + " SELECT path, seq, rule_id, issue FROM hits"),
     "stream_sessions": f"""WITH s AS (SELECT user_id, session_no, min(ts) AS started, max(ts) AS last_active, count(*) AS turns FROM ({sessionized(3600)}) GROUP BY ALL)
         SELECT user_id, started, last_active, turns FROM s WHERE last_active + INTERVAL 3600 SECOND + INTERVAL 1 MICROSECOND <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
-    "summary_job": corpus_sql(RATED + """, r AS (SELECT * FROM rated WHERE seq <= 41),
+    "summary_job": corpus_sql(SUMMARY + """,
         f AS (SELECT path, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low, count(*) AS n FROM r GROUP BY path),
         t AS (SELECT CAST(sum(high) AS BIGINT) AS high, CAST(sum(medium) AS BIGINT) AS medium, CAST(sum(low) AS BIGINT) AS low, CAST(sum(n) AS BIGINT) AS total_issues FROM f),
         top AS (SELECT path, 5 * high + 3 * medium + low AS score, n FROM f ORDER BY 2 DESC, 1 LIMIT 3)
         SELECT high, medium, low, total_issues,
           CASE WHEN 10 * (5 * high + 3 * medium + low) >= 35 * total_issues THEN 'High' WHEN 10 * (5 * high + 3 * medium + low) >= 15 * total_issues THEN 'Medium' ELSE 'Low' END AS risk,
-          high || ' high-severity issue(s), ' || medium || ' medium-severity issue(s), ' || low || ' low-severity issue(s).' AS rationale,
+          coalesce(nullif(concat_ws(', ', CASE WHEN high > 0 THEN high || ' high-severity issue(s)' END, CASE WHEN medium > 0 THEN medium || ' medium-severity issue(s)' END,
+            CASE WHEN low > 0 THEN low || ' low-severity issue(s)' END), '') || '.', 'No issues detected.') AS rationale,
           (SELECT string_agg(path || ':' || score || ':' || n, ' ' ORDER BY score DESC, path) FROM top) AS top_files FROM t"""),
 }

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from checks.corpus import code_corpus, of_type, table, with_code
 from checks.queries_enrich import all_findings, canned_backend, rated
+from riskloom.dims import SOURCE_EXTENSIONS
 from riskloom.operators import enrich, export, line_rules, match_rules, reports, rollup, sessions
 from riskloom.plans import scan
-from riskloom.session import scratch_dir
+from riskloom.session import scratch_dir, spread
 from riskloom.sources import files as sources
 from riskloom.streaming import findings_stream, session_stream
 
@@ -178,7 +179,8 @@ def export_run(spark, sf_dir):
 
 
 def summary_job(spark, sf_dir):
-    return scan.summary(code_corpus(spark, sf_dir).select("path", "content"))
+    files = sources.exclude_vendor(code_corpus(spark, sf_dir).select("path", "content"))
+    return scan.summary(files.where(sources.has_extension(F.col("path"), SOURCE_EXTENSIONS)))
 
 
 def pack(rows):
@@ -211,7 +213,8 @@ def pack(rows):
 
 
 def expand_archives(spark, sf_dir):
-    named = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/d"), F.col("doc_id").cast("string")).alias("path"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    named = docs.select("doc_id", F.concat("source", F.lit("/d"), F.col("doc_id").cast("string")).alias("path"), "text")
     return sources.expand_archives(pack(named)).select("archive", "path", F.md5(F.col("content").cast("binary")).alias("digest"), F.col("error").isNotNull().alias("broken"))
 
 

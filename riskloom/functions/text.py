@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ def matches(col: Column, pattern: str, ci: bool = False) -> Column:
     return F.rlike(col, F.lit((DIALECT_CI if ci else DIALECT) + pattern))
 
 
+def whole(literal: str) -> str:
+    """Pattern for a literal at a word start: the literal first, so that Java can skip ahead to it, then the check."""
+    text = re.escape(literal)
+    return rf"{text}(?<=\b{text})"
+
+
 def folded(col: Column) -> Column:
     """Upper case such that every case-insensitive match of an ASCII word survives.
 
@@ -37,10 +45,21 @@ def folded(col: Column) -> Column:
     return F.upper(F.replace(col, F.lit("\u212a"), F.lit("K")))
 
 
+def only_newlines(content: Column) -> Column:
+    """Whether \\n is the only line end in use, as in almost every file; then plain string functions do."""
+    return ~F.rlike(content, F.lit(r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"))
+
+
 def split_lines(content: Column) -> Column:
     """str.splitlines as an array: no empty piece after a final line end."""
     drop_tail = lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
-    return let(F.split(content, LINE_END, -1), drop_tail)
+    pieces = F.when(only_newlines(content), F.split(content, "\n", -1)).otherwise(F.split(content, LINE_END, -1))
+    return let(pieces, drop_tail)
+
+
+def line_ends(text: Column, simple: Column) -> Column:
+    """How many line ends `text` has; `simple` says that they are all \\n."""
+    return F.when(simple, occurrences(text, "\n")).otherwise(F.regexp_count(text, F.lit(LINE_END)))
 
 
 def strip(col: Column) -> Column:

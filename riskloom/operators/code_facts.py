@@ -124,15 +124,16 @@ def _rule_facts(f: _File, kinds: frozenset) -> Iterator[dict]:
             yield {"kind": "import_from", "name": node.module, "line": node.lineno, "snippet": f.snippet(node)}
         elif isinstance(node, ast.Attribute) and "attribute" in kinds and isinstance(node.value, ast.Name):
             yield {"kind": "attribute", "name": node.attr, "qual": node.value.id, "line": node.lineno, "snippet": f.snippet(node)}
-        elif isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add) and "binop_add" in kinds and not inside:
+        elif isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add) and "binop_add" in kinds:
             text = (_constant(node.left) + " " + _constant(node.right)).lower()
             if text != " ":
                 mod = any(isinstance(n, ast.BinOp) and isinstance(n.op, ast.Mod) for n in ast.walk(node))
-                yield {"kind": "binop_add", "value": text, "flags": ["mod"] if mod else [], "line": node.lineno, "snippet": f.snippet(node)}
-        elif isinstance(node, ast.Assign) and "assign" in kinds and not inside and runs_sql:
+                flags = ["mod"] * mod + ["inside_call"] * inside
+                yield {"kind": "binop_add", "value": text, "flags": flags, "line": node.lineno, "snippet": f.snippet(node)}
+        elif isinstance(node, ast.Assign) and "assign" in kinds and runs_sql:
             if len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
                 form, text = _sql_source(f, node.value, (ast.BinOp, ast.JoinedStr, ast.Call))
-                yield {"kind": "assign", "name": node.targets[0].id, "value": text, "flags": [form], "line": node.lineno}
+                yield {"kind": "assign", "name": node.targets[0].id, "value": text, "flags": [form], "line": node.lineno}  # a statement: never inside a call
 
 
 def _callee(f: _File, func: ast.AST) -> str:

@@ -12,6 +12,7 @@ from riskloom import dims
 from riskloom.functions.references import merge_references
 from riskloom.functions.responses import parse_explanation
 from riskloom.functions.severity import severity_of
+from riskloom.operators.retrieval import with_neighbours
 
 ExplainFn = Callable[[str], str]
 
@@ -89,9 +90,12 @@ def prompt_for(issue_type: Column, line: Column, snippet: Column, message: Colum
     return F.concat_ws("\n", *parts)
 
 
-def with_prompts(findings: DataFrame) -> DataFrame:
-    return with_kb(findings).withColumn("prompt", prompt_for(
-        F.col("type"), F.col("line"), F.col("snippet"), F.col("message"), F.col("kb_summary")))
+def with_prompts(findings: DataFrame, retrieve: int = 3) -> DataFrame:
+    """Findings with their knowledge-base entry, its nearest neighbours and the prompt made of them."""
+    known = with_kb(with_neighbours(findings, retrieve))
+    texts = F.transform("retrieved", lambda r: r["text"])
+    return known.withColumn("prompt", prompt_for(
+        F.col("type"), F.col("line"), F.col("snippet"), F.col("message"), F.col("kb_summary"), texts)).drop("retrieved")
 
 
 def ask(prompts: DataFrame, explain_fn: ExplainFn) -> DataFrame:

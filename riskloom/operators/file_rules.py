@@ -7,13 +7,15 @@ hold, so clean files mostly pay for substring searches only.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.dims import HINTS
-from riskloom.functions.text import folded, matches
+from riskloom.functions.text import folded, matches, whole
 
 HINT_TEXT = dict(HINTS)
 
@@ -36,19 +38,12 @@ class FileRule(NamedTuple):
     advice: str
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
 def has(*words: str) -> Test:
-    return lambda s: _any([F.contains(s.text, F.lit(w)) for w in words])
+    return lambda s: reduce(or_, [F.contains(s.text, F.lit(w)) for w in words])
 
 
 def has_ci(*words: str) -> Test:
-    return lambda s: _any([F.contains(s.upper, F.lit(w.upper())) for w in words])
+    return lambda s: reduce(or_, [F.contains(s.upper, F.lit(w.upper())) for w in words])
 
 
 def rx(pattern: str, *gate: str) -> Test:
@@ -107,35 +102,35 @@ RULES = [
         r"""\b(key|secret|token|credential)\b\s*=\s*["'][A-Za-z0-9+/=_-]{32,}["']""", "KEY", "SECRET", "TOKEN", "CREDENTIAL"), HINT_TEXT["hardcoded secret"]),
     FileRule("E08", "all", "Possible SQL injection", rx_ci(SQL_BUILT, *SQL_GATE), HINT_TEXT["sql injection"]),
     FileRule("E09", "all", "Possible SQL injection (template literal)", without(rx_ci(SQL_TEMPLATE, "`SELECT"), rx_ci(SQL_BUILT, *SQL_GATE)), HINT_TEXT["sql injection"]),
-    FileRule("E10", "py", "Use of eval() detected", rx(r"\beval\s*\(", "eval"), HINT_TEXT["insecure function"]),
-    FileRule("E11", "py", "Use of exec() detected", rx(r"\bexec\s*\(", "exec"), "Do not run text as statements; dispatch to known functions."),
-    FileRule("E12", "py", "Insecure deserialization (pickle)", rx(r"\bpickle\.loads?\s*\(", "pickle."), HINT_TEXT["insecure deserialization"]),
-    FileRule("E13", "py", "Insecure YAML deserialization", without(rx(r"\byaml\.load\s*\(", "yaml.load"), has("SafeLoader", "safe_load")), "Load YAML with the safe loader."),
-    FileRule("E14", "py", "Insecure deserialization (marshal)", rx(r"\bmarshal\.loads?\s*\(", "marshal."), "marshal trusts its input; use a checked data format."),
+    FileRule("E10", "py", "Use of eval() detected", rx(whole("eval") + r"\s*\(", "eval"), HINT_TEXT["insecure function"]),
+    FileRule("E11", "py", "Use of exec() detected", rx(whole("exec") + r"\s*\(", "exec"), "Do not run text as statements; dispatch to known functions."),
+    FileRule("E12", "py", "Insecure deserialization (pickle)", rx(whole("pickle.load") + r"s?\s*\(", "pickle."), HINT_TEXT["insecure deserialization"]),
+    FileRule("E13", "py", "Insecure YAML deserialization", without(rx(whole("yaml.load") + r"\s*\(", "yaml.load"), has("SafeLoader", "safe_load")), "Load YAML with the safe loader."),
+    FileRule("E14", "py", "Insecure deserialization (marshal)", rx(whole("marshal.load") + r"s?\s*\(", "marshal."), "marshal trusts its input; use a checked data format."),
     FileRule("E15", "py", "subprocess with shell=True", has("shell=True"), HINT_TEXT["command injection"]),
-    FileRule("E16", "py", "os.system/os.popen command execution", rx(r"\bos\.(system|popen)\s*\(", "os.system", "os.popen"), "Start programs with an argument list."),
+    FileRule("E16", "py", "os.system/os.popen command execution", rx(whole("os.") + r"(system|popen)\s*\(", "os.system", "os.popen"), "Start programs with an argument list."),
     FileRule("E17", "py", "Deprecated hash algorithm (MD5/SHA-1)", rx(r"hashlib\.(md5|sha1)\s*\(", "hashlib."), HINT_TEXT["deprecated hash"]),
     FileRule("E18", "py", "Insecure random used for security-sensitive value", both(
-        rx(r"\brandom\.(random|randint|choice|randrange)\s*\(", "random."),
+        rx(whole("random.") + r"(random|randint|choice|randrange)\s*\(", "random."),
         has_ci("token", "secret", "password", "key", "nonce", "salt", "otp")), "Draw security values from the secrets module."),
     FileRule("E19", "py", "Assert used for access control", rx_ci(r"\bassert\b.*(auth|permission|role|admin|allowed)", "ASSERT"), "Raise an error; asserts vanish in optimised runs."),
     FileRule("E20", "py", "TLS certificate verification disabled", rx(r"verify\s*=\s*False", "verify"), HINT_TEXT["insecure tls"]),
     FileRule("E21", "py", "Debug mode enabled", either(
         rx_ci(r"\bDEBUG\s*=\s*True\b", "DEBUG"), rx(r"\.run\s*\(.*debug\s*=\s*True", ".run")), "Run without debug mode in production."),
     FileRule("E22", "py", "Overly broad regex pattern", rx(r"""re\.(compile|search|match)\s*\(\s*['"](\.\*|\.\*\?|\^\.\*\$)['"]""", "re."), HINT_TEXT["insecure regex"]),
-    FileRule("E23", "py", "Insecure temp file creation (mktemp)", rx(r"\btempfile\.mktemp\s*\(", "tempfile.mktemp"), "Create the temporary file in one step."),
+    FileRule("E23", "py", "Insecure temp file creation (mktemp)", rx(whole("tempfile.mktemp") + r"\s*\(", "tempfile.mktemp"), "Create the temporary file in one step."),
     FileRule("E24", "py", "Potential path traversal via open()", rx_ci(r"open\s*\(.*\b(request|input|argv|param|user|filename)\b", "OPEN"), HINT_TEXT["path traversal"]),
-    FileRule("E25", "js", "Use of eval() in JavaScript", rx(r"\beval\s*\(", "eval"), HINT_TEXT["insecure function"]),
+    FileRule("E25", "js", "Use of eval() in JavaScript", rx(whole("eval") + r"\s*\(", "eval"), HINT_TEXT["insecure function"]),
     FileRule("E26", "js", "Dynamic Function constructor (new Function)", rx(r"\bnew\s+Function\s*\(", "Function"), "Do not build functions from text."),
     FileRule("E27", "js", "child_process module imported", rx(r"""require\s*\(\s*["']child_process["']\s*\)""", "child_process"), HINT_TEXT["command injection"]),
-    FileRule("E28", "js", "child_process.exec() – command injection risk", both(has("child_process"), rx(r"\bexec\s*\(", "exec")), "Use the variant that takes an argument list."),
+    FileRule("E28", "js", "child_process.exec() – command injection risk", both(has("child_process"), rx(whole("exec") + r"\s*\(", "exec")), "Use the variant that takes an argument list."),
     FileRule("E29", "js", "DOM-based XSS risk (innerHTML/document.write)", either(
-        rx(r"\binnerHTML\s*=", "innerHTML"), rx(r"\bdocument\.write\s*\(", "document.write")), HINT_TEXT["xss"]),
+        rx(whole("innerHTML") + r"\s*=", "innerHTML"), rx(whole("document.write") + r"\s*\(", "document.write")), HINT_TEXT["xss"]),
     FileRule("E30", "js", "React dangerouslySetInnerHTML (XSS risk)", has("dangerouslySetInnerHTML"), "Clean the markup before you set it."),
     FileRule("E31", "js", "Hardcoded secret in JavaScript", rx_ci(
         r"""\b(password|api_key|secret|token)\b\s*[:=]\s*["']""", "PASSWORD", "API_KEY", "SECRET", "TOKEN"), HINT_TEXT["hardcoded secret"]),
-    *[FileRule(rid, "c", f"Dangerous C function: {fn}()", rx(rf"\b{fn}\s*\(", fn), advice) for rid, fn, advice in C_CALLS],
-    FileRule("E40", "c", "Potential format-string vulnerability (printf with variable)", rx(r"\bprintf\s*\(\s*[a-zA-Z_]\w*\s*\)", "printf"), "Keep the format a literal."),
+    *[FileRule(rid, "c", f"Dangerous C function: {fn}()", rx(whole(fn) + r"\s*\(", fn), advice) for rid, fn, advice in C_CALLS],
+    FileRule("E40", "c", "Potential format-string vulnerability (printf with variable)", rx(whole("printf") + r"\s*\(\s*[a-zA-Z_]\w*\s*\)", "printf"), "Keep the format a literal."),
     FileRule("E41", "c", "Hardcoded password in C/C++ source", rx_ci(r'\b(password|passwd)\b.*=\s*"', "PASSW"), HINT_TEXT["hardcoded secret"]),
 ]
 
@@ -181,7 +176,7 @@ def issues_of(only: list[str] | None = None) -> Column:
 
 
 def with_issues(files: DataFrame) -> DataFrame:
-    return prepared(files).withColumn("issues", issues_of()).drop("folded")
+    return prepared(files).withColumn("issues", issues_of())
 
 
 def engine_findings(files: DataFrame, only: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import LINE_END, rstrip, split_lines, strip
+from riskloom.functions.text import line_ends, only_newlines, rstrip, split_lines, strip
 from riskloom.operators.file_rules import with_issues
 
 # Label words -> words that mark the source line.
@@ -26,11 +26,11 @@ LINE_WORDS = [
 ]
 
 
-def locate(label: Column, lowered: Column) -> Column:
+def locate(label: Column, lowered: Column, simple: Column) -> Column:
     """1-based number of the first line that holds a word belonging to `label`, else null.
 
     The words hold no line end, so the first matching line is the line of the
-    earliest word position in the whole lower-cased text.
+    earliest word position in the whole lower-cased text. `simple`: see line_ends.
     """
     it = F.lower(label)
 
@@ -45,17 +45,18 @@ def locate(label: Column, lowered: Column) -> Column:
             relevant = relevant | F.contains(it, F.lit(n))
         positions.append(F.when(relevant, earliest(words)))
     at = F.array_min(F.array(*positions))
-    return F.regexp_count(F.substring(lowered, F.lit(1), at - 1), F.lit(LINE_END)) + 1
+    return line_ends(F.substring(lowered, F.lit(1), at - 1), simple) + 1
 
 
 def with_places(files: DataFrame) -> DataFrame:
     """Add `issues` with their lines as `placed`, and the file's `lines`; still one row per file."""
     found = F.size("issues") > 0  # files without hits are not worth lower-casing or cutting into lines
     scanned = with_issues(files).withColumns({
-        "lowered": F.when(found, F.lower("content")), "lines": F.when(found, split_lines(F.col("content")))})
+        "lowered": F.when(found, F.lower("content")), "lines": F.when(found, split_lines(F.col("content"))),
+        "simple": F.when(found, only_newlines(F.col("content")))})
     return scanned.withColumn("placed", F.transform("issues", lambda i: F.struct(
         i["seq"].alias("seq"), i["rule_id"].alias("rule_id"), i["issue"].alias("type"),
-        locate(i["issue"], F.col("lowered")).alias("line"), i["suggestion"].alias("message"))))
+        locate(i["issue"], F.col("lowered"), F.col("simple")).alias("line"), i["suggestion"].alias("message"))))
 
 
 def placed_issues() -> Column:

@@ -6,26 +6,33 @@ text is never shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import DIALECT, DIALECT_CI, MARK, located_matches, matches, split_lines, strip
+from riskloom.functions.text import DIALECT, DIALECT_CI, MARK, folded, located_matches, matches, split_lines, strip
 from riskloom.operators.findings import context_of
 from riskloom.operators.line_rules import C_NAMES
 
-# Fixed values: (rule, pattern, case-insensitive, type) of the secret search, in report order.
+# Fixed values: (rule, pattern, case-insensitive, type) of the secret search, in report order; then our message and
+# the upper-case words of which a match must hold one.
 SECRETS = [
-    ("P11", r"""\b(password|passwd|pwd)\s*=\s*(['"][^'"]{4,}['"])""", True, "Hardcoded Secret", "A password is assigned as a literal; read it from a secret store."),
-    ("P12", r"""\b(api_key|apikey|aws_access_key_id|aws_secret_access_key)\s*=\s*(['"][^'"]{4,}['"])""", True, "Hardcoded Secret", "A key is assigned as a literal; read it from a secret store."),
-    ("P13", r"""['"][A-Za-z0-9_\-]{20,}['"]""", False, "Possible Hardcoded Token", "A long literal looks like a token; make sure it is not one."),
+    ("P11", r"""\b(password|passwd|pwd)\s*=\s*(['"][^'"]{4,}['"])""", True, "Hardcoded Secret", "A password is assigned as a literal; read it from a secret store.", ("PASSW", "PWD")),
+    ("P12", r"""\b(api_key|apikey|aws_access_key_id|aws_secret_access_key)\s*=\s*(['"][^'"]{4,}['"])""", True, "Hardcoded Secret", "A key is assigned as a literal; read it from a secret store.", ("API_KEY", "APIKEY", "AWS_")),
+    ("P13", r"""['"][A-Za-z0-9_\-]{20,}['"]""", False, "Possible Hardcoded Token", "A long literal looks like a token; make sure it is not one.", ()),
 ]
 
 
 def secrets_of() -> Column:
-    """The secrets of a file, pattern by pattern, then in text order: array<struct<rule_id, type, line, snippet, message>>."""
-    def search(rule: str, pattern: str, ci: bool, kind: str, message: str) -> Column:
+    """The secrets of a prepared file, pattern by pattern, then in text order: array<struct<rule_id, type, line, snippet, message>>."""
+    def search(rule: str, pattern: str, ci: bool, kind: str, message: str, words: tuple) -> Column:
         found = located_matches(F.col("content"), pattern, ci)
-        return F.when(matches(F.col("content"), pattern, ci), F.transform(found, lambda m: F.struct(
+        test = matches(F.col("content"), pattern, ci)
+        if words:
+            test = reduce(or_, [F.contains("folded", F.lit(w)) for w in words]) & test
+        return F.when(test, F.transform(found, lambda m: F.struct(
             F.lit(rule).alias("rule_id"), F.lit(kind).alias("type"), m["line"].alias("line"),
             m["text"].alias("snippet"), F.lit(message).alias("message"))))
 
@@ -34,7 +41,8 @@ def secrets_of() -> Column:
 
 def secret_findings(files: DataFrame) -> DataFrame:
     """(path, seq, rule_id, type, line, snippet, message)."""
-    return files.select("path", F.posexplode(secrets_of()).alias("pos", "f")).select(
+    prepared = files.select("path", "content", folded(F.col("content")).alias("folded"))
+    return prepared.select("path", F.posexplode(secrets_of()).alias("pos", "f")).select(
         "path", (F.col("pos") + 1).cast("bigint").alias("seq"), "f.rule_id", "f.type", "f.line", "f.snippet", "f.message"
     )
 
@@ -72,9 +80,7 @@ def with_code_text(files: DataFrame, *gate: str) -> DataFrame:
 
     Only files that hold one of the `gate` words are worth cutting into tokens.
     """
-    held = F.contains("content", F.lit(gate[0]))
-    for word in gate[1:]:
-        held = held | F.contains("content", F.lit(word))
+    held = reduce(or_, [F.contains("content", F.lit(word)) for word in gate])
     tokens = F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))
     staged = files.where(held).withColumn("tokens", tokens)
     return staged.withColumns({

@@ -31,9 +31,13 @@ def sql_word(text: Column) -> Column:
     return F.coalesce(text.rlike("|".join(SQL_WORDS)), F.lit(False))
 
 
-def runs_sql() -> Column:
-    # Receivers of any form count; a call within another call's text is not looked at.
-    return (F.col("kind") == "call") & F.col("name").isin(RUNS_SQL) & ~flag("bare") & ~flag("inside_call") & ~flag("params")
+def seen(strict: bool) -> Column:
+    """The SQL rules do not look inside calls, so a chained `.execute(...).fetchall()` goes unseen; the mended mode looks."""
+    return ~flag("inside_call") if strict else F.lit(True)
+
+
+def runs_sql(strict: bool = True) -> Column:
+    return (F.col("kind") == "call") & F.col("name").isin(RUNS_SQL) & ~flag("bare") & ~flag("params") & seen(strict)
 
 
 def rule(rule_id: str, detector: int, issue_type: str, message: Column | str) -> Column:
@@ -41,7 +45,7 @@ def rule(rule_id: str, detector: int, issue_type: str, message: Column | str) ->
     return F.struct(F.lit(rule_id).alias("rule_id"), F.lit(detector).alias("detector"), F.lit(issue_type).alias("type"), text.alias("message"))
 
 
-def rule_of_fact() -> Column:
+def rule_of_fact(strict: bool = True) -> Column:
     """The rule a single fact meets, as struct<rule_id, detector, type, message>, else null. `detector` is the report order."""
     kind, name, qual, value = F.col("kind"), F.col("name"), F.col("qual"), F.col("value")
     call = kind == "call"
@@ -57,9 +61,9 @@ def rule_of_fact() -> Column:
         .when((kind == "import") & name.isin(MODULES), rule("P4", 3, "Dangerous Import", module))
         .when((kind == "import_from") & name.isin(MODULES), rule("P5", 3, "Dangerous Import", module))
         .when((kind == "attribute") & name.isin(WEAK_HASHES), rule("P6", 4, "Deprecated Hash", F.concat(name, F.lit(" is too weak for security; use SHA-256."))))
-        .when((kind == "binop_add") & sql_word(value) & formatted, rule("P7", 5, "Possible SQL Injection", BUILT_SQL))
-        .when(runs_sql() & flag("arg_const") & sql_word(F.lower(value)), rule("P8", 5, "Possible SQL Injection", "SQL is run without bound values."))
-        .when(runs_sql() & flag("arg_built") & sql_word(value), rule("P8", 5, "Possible SQL Injection", "SQL is run without bound values."))
+        .when((kind == "binop_add") & seen(strict) & sql_word(value) & formatted, rule("P7", 5, "Possible SQL Injection", BUILT_SQL))
+        .when(runs_sql(strict) & flag("arg_const") & sql_word(F.lower(value)), rule("P8", 5, "Possible SQL Injection", "SQL is run without bound values."))
+        .when(runs_sql(strict) & flag("arg_built") & sql_word(value if strict else F.lower(value)), rule("P8", 5, "Possible SQL Injection", "SQL is run without bound values."))
         .when(call & (qual == "re") & name.isin(REGEX_CALLS) & flag("arg_const") & broad, rule("P10", 6, "Insecure Regex", "The pattern matches almost anything."))
     )
 
@@ -71,9 +75,12 @@ RULE_FACTS = {
 }
 
 
-def syntax_findings(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
+def syntax_findings(files: DataFrame, rules: list[str] | None = None, strict: bool = True) -> DataFrame:
     """P1-P10, or those named, from one parse of each file.
 
+    `strict` keeps two known gaps of the SQL rules: upper-case words in text
+    built inside execute(), and anything inside another call. False mends them.
+
     P9 (J6, W4) is an as-of join: execute(variable) takes the variable's
     latest earlier assignment in the file, found as a running last value.
     Facts that no rule needs are dropped and SQL text is cut down to a flag
@@ -81,13 +88,13 @@ def syntax_findings(files: DataFrame, rules: list[str] | None = None) -> DataFra
     """
     wanted = list(rules or RULE_FACTS)
     facts = code_facts(files, tuple(sorted({k for r in wanted for k in RULE_FACTS[r]})))
-    met = rule_of_fact()
+    met = rule_of_fact(strict)
     columns = ["path", "visit_seq", "line", "snippet"]
     if "P9" not in wanted:
         found = facts.select(*columns, met.alias("met"))
     else:
         assigned = F.col("kind") == "assign"
-        used = runs_sql() & flag("arg_name")
+        used = runs_sql(strict) & flag("arg_name")
         moves = facts.select(
             *columns, met.alias("met"), used.alias("used"),
             F.when(assigned, F.col("name")).when(used, F.col("value")).alias("variable"),

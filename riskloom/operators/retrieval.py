@@ -156,8 +156,9 @@ def kb_neighbours(texts: DataFrame, text: str, k: int = 3) -> DataFrame:
 
 def with_neighbours(findings: DataFrame, k: int = 3) -> DataFrame:
     """Retrieval runs once per distinct type; the join back is left to AQE, which splits a hot type."""
-    types = findings.select("type").distinct()
-    return findings.join(kb_neighbours(types, "type", k), "type", "left")
+    types = findings.select(F.coalesce("type", F.lit("")).alias("__type")).distinct()
+    near = kb_neighbours(types, "__type", k)
+    return findings.join(near, F.coalesce("type", F.lit("")) == F.col("__type"), "left").drop("__type")
 
 
 def embed_batch(texts: DataFrame, embed_fn: EmbedFn | None = None, dim: int = HASH_DIM) -> DataFrame:

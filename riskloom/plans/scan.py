@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.severity import severity_of
 from riskloom.operators import rollup
 from riskloom.operators.enrich import ExplainFn, enrich_with_backend
-from riskloom.operators.file_rules import engine_findings, issues_of, prepared
+from riskloom.operators.file_rules import issues_of, prepared
 from riskloom.operators.findings import placed_issues, to_findings, with_places
 from riskloom.operators.line_rules import cpp_line_findings, js_line_findings
 from riskloom.operators.match_rules import secrets_of
@@ -63,14 +63,14 @@ def top_files_text(scores: DataFrame) -> DataFrame:
 
 
 def summary(files: DataFrame | None, spark: SparkSession | None = None) -> DataFrame:
-    """One row with counts, risk, score, rationale and top files. Without files, the risk is Unknown.
+    """Analyse source files into one row with counts, risk, score, rationale and top files. Without files, the risk is Unknown.
 
     Scores per file come first; the counts over all files are sums of those
     rows, so the findings themselves are aggregated once.
     """
     if files is None:
         return spark.createDataFrame([("Unknown", 0)], "risk string, total_issues bigint")
-    found = engine_findings(files).select("path", severity_of(F.col("issue")).alias("severity"))
+    found = analyze(files).select("path", severity_of(F.col("type")).alias("severity"))
     per_file = rollup.severity_counts(found, by=["path"])
     totals = rollup.with_risk(per_file.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("high", "medium", "low", "total_issues")]))
     w = rollup.weighted(F.col("high"), F.col("medium"), F.col("low"))

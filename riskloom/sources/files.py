@@ -85,6 +85,7 @@ def pages(fetched: DataFrame) -> DataFrame:
     return fetched.select(F.col("url").alias("path"), F.col("html").alias("content"))
 
 
+FRAME_BYTES, FRAME_ROWS = 16 << 20, 2000  # members go back to the JVM in frames of about this size
 MEMBERS = "archive string, member string, data binary, error string"
 
 
@@ -125,11 +126,17 @@ def expand_archives(files: DataFrame) -> DataFrame:
     archive = F.lower("path").rlike(r"\.(?:zip|tar|tgz|tar\.gz)\z")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
-                # one member per output frame: memory holds one archive, never a whole batch of members
                 for row in _members(name, data):
-                    yield pd.DataFrame([row], columns=["archive", "member", "data", "error"])
+                    rows.append(row)
+                    held += len(row[2] or b"")
+                    if held >= FRAME_BYTES or len(rows) >= FRAME_ROWS:
+                        yield pd.DataFrame(rows, columns=["archive", "member", "data", "error"])
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["archive", "member", "data", "error"])
 
     unpacked = files.where(archive).select("path", "content").mapInPandas(unpack, MEMBERS)
     plain = files.where(~archive).select(

@@ -104,6 +104,14 @@ def test_python_findings_in_detector_order(files):
     assert ordered(found, "detector", "seq") == INSECURE_FOUND
 
 
+def test_mended_sql_rules(files):
+    text = 'q = "select " + x\ncursor.execute(q).fetchall()\ncursor.execute("SELECT A" + b)\nprint("select %s" + "" % z)\n'
+    strict = python_rules.syntax_findings(files(("a.py", text)))
+    mended = python_rules.syntax_findings(files(("a.py", text)), strict=False)
+    assert strict.count() == 0
+    assert sorted((r.rule_id, r.line) for r in mended.collect()) == [("P7", 4), ("P8", 3), ("P9", 2)]
+
+
 def test_risk_of_the_insecure_file(files):
     source = files(("insecure.py", INSECURE))
     found = python_rules.analyze_python(source).withColumn("severity", severity_of(F.col("type")))

@@ -46,7 +46,7 @@ def test_dialect(spark, pattern):
 
 @pytest.mark.parametrize("secret", SECRETS, ids=[s[0] for s in SECRETS])
 def test_located_matches(spark, secret):
-    _, pattern, ci, _, _ = secret
+    _, pattern, ci, *_ = secret
     texts = TEXTS + [
         "password = 'abcd\nefgh'\nx\npwd='qqqqq' passwd=\"12345\"", "API_KEY='aaaa'\n\nApiKey = \"bbbb\"\x01 apikey='c\x01ccc'",
         "'" + "k" * 25 + "'\n" * 3 + '"' + "Z_-" * 9 + '"', "password='abc'", "\r\npwd = 'wxyz'",
