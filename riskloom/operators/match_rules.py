@@ -12,7 +12,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import DIALECT, DIALECT_CI, MARK, folded, located_matches, matches, split_lines, strip
+from riskloom.functions.text import DIALECT, DIALECT_CI, MARK, folded, let, located_matches, matches, split_lines, strip
 from riskloom.operators.findings import context_of
 from riskloom.operators.line_rules import C_NAMES
 
@@ -86,10 +86,52 @@ def with_code_text(files: DataFrame, *gate: str) -> DataFrame:
     return staged.withColumns({
         "uncommented": blanked(F.col("tokens"), literals=False),
         "bare": blanked(F.col("tokens"), literals=True),
-        "lines": split_lines(F.col("content")),
     }).drop("tokens")
 
 
+def stripped_lines() -> Column:
+    """The file's lines as snippets.
+
+    Bind this with let() and pick from it: findings on one line then share one
+    string, also when a minified line has tens of thousands of them.
+    """
+    return F.transform(split_lines(F.col("content")), strip)
+
+
+def line_contexts(around: int) -> Column:
+    """Each line's context snippet, to be shared in the same way."""
+    return let(split_lines(F.col("content")), lambda lines: F.transform(lines, lambda _, i: context_of(lines, i + 1, around)))
+
+
+def at(snippets: Column, line: Column) -> Column:
+    return F.coalesce(F.try_element_at(snippets, line), F.lit(""))
+
+
+BLOCK = 256
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers of an array.
+
+    Block by block, so that a minified line with tens of thousands of matches
+    costs n * sqrt(n) and not n * n.
+    """
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+
+    def with_blocks(xs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(BLOCK))
+        return let(F.transform(starts, lambda at: total(F.slice(xs, at, F.lit(BLOCK)))), lambda sums: with_heads(xs, sums))
+
+    def with_heads(xs: Column, sums: Column) -> Column:
+        heads = F.transform(sums, lambda _, b: F.when(b == 0, 0).otherwise(total(F.slice(sums, F.lit(1), F.greatest(b, F.lit(1))))))
+        return let(heads, lambda before: F.transform(xs, lambda _, j: (
+            F.get(before, F.floor(j / BLOCK).cast("int"))
+            + total(F.slice(xs, (F.floor(j / BLOCK) * BLOCK + 1).cast("int"), j % BLOCK + 1)))))
+
+    return let(numbers, with_blocks)
+
+
 def placed_matches(text: Column, pattern: str) -> Column:
     """located_matches with the 1-based column as well: array<struct<line, column, text>>."""
     regex = DIALECT + pattern
@@ -98,10 +140,8 @@ def placed_matches(text: Column, pattern: str) -> Column:
 
     def places(piece: Column, pos: Column) -> Column:
         widths = F.transform(F.split(piece, MARK, -1), lambda part: F.length(part))
-        starts = F.transform(
-            F.slice(widths, F.lit(1), F.size(widths) - 1),
-            lambda _, j: F.aggregate(F.slice(widths, F.lit(1), j + 1), F.lit(1), lambda acc, w: acc + w))
-        return F.transform(starts, lambda c: F.struct((pos + 1).cast("int").alias("line"), c.alias("column")))
+        starts = let(widths, lambda w: running_sums(F.slice(w, F.lit(1), F.size(w) - 1)))
+        return F.transform(starts, lambda c: F.struct((pos + 1).cast("int").alias("line"), (c + 1).alias("column")))
 
     spots = F.flatten(F.transform(F.filter(
         F.transform(F.split(marked, "\n", -1), lambda piece, i: F.struct(piece.alias("piece"), i.alias("pos"))),
@@ -119,23 +159,18 @@ JS_TOKENS = [
     ("JX2", "bare", "exec", NOT_MEMBER + r"(?:child_process|require\s*\([^()]*\))\s*\.\s*exec\s*\(", "Suspicious Subprocess Call", "A command is run through child_process."),
     ("JX4", "uncommented", "RegExp", REGEXP_LITERAL, "Insecure Regex", "The pattern holds '.*'."),
 ]
-FOUND = "array<struct<rule_id:string,type:string,line:int,snippet:string,message:string>>"
-
-
-def as_finding(rule: str, kind: str, line: Column, message: str) -> Column:
-    return F.struct(
-        F.lit(rule).alias("rule_id"), F.lit(kind).alias("type"), line.alias("line"),
-        strip(F.coalesce(F.try_element_at("lines", line), F.lit(""))).alias("snippet"), F.lit(message).alias("message"))
 
 
 def js_token_findings(files: DataFrame) -> DataFrame:
     """JX1, JX2, JX4 on text whose comments (and literals) are blanked."""
-    def search(rule: str, column: str, gate: str, pattern: str, kind: str, message: str) -> Column:
+    def search(lines: Column, rule: str, column: str, gate: str, pattern: str, kind: str, message: str) -> Column:
         found = located_matches(F.col(column), pattern)
-        return F.when(F.contains(column, F.lit(gate)), F.transform(found, lambda m: as_finding(rule, kind, m["line"], message)))
+        return F.when(F.contains(column, F.lit(gate)), F.transform(found, lambda m: F.struct(
+            F.lit(rule).alias("rule_id"), F.lit(kind).alias("type"), m["line"].alias("line"),
+            at(lines, m["line"]).alias("snippet"), F.lit(message).alias("message"))))
 
-    found = [search(*rule) for rule in JS_TOKENS]
-    return with_code_text(files, "eval", "exec", "RegExp").select("path", F.inline(F.flatten(F.array_compact(F.array(*found)))))
+    found = let(stripped_lines(), lambda lines: F.flatten(F.array_compact(F.array(*[search(lines, *rule) for rule in JS_TOKENS]))))
+    return with_code_text(files, "eval", "exec", "RegExp").select("path", F.inline(found))
 
 
 BINDING = r"""\{([^{}]*)\}\s*=\s*require\s*\(\s*['"]child_process['"]\s*\)"""
@@ -148,13 +183,14 @@ def js_bound_calls(files: DataFrame) -> DataFrame:
     names = F.filter(
         F.transform(F.flatten(F.transform(lists, lambda l: F.split(l, ","))), lambda p: strip(F.substring_index(p, ":", 1))),
         lambda n: n != "")
-    binding = with_code_text(files, "child_process").withColumn("names", names)
+    binding = with_code_text(files, "child_process")
     sites = F.transform(located_matches(F.col("bare"), CALL_SITE), lambda m: F.struct(
         m["line"].alias("line"), F.regexp_extract(m["text"], r"^[\w$]+", 0).alias("name")))
-    calls = F.filter(sites, lambda s: F.array_contains(F.col("names"), s["name"]))
-    return binding.select("path", F.inline(F.transform(calls, lambda c: F.struct(
+    calls = let(names, lambda bound: F.filter(sites, lambda s: F.array_contains(bound, s["name"])))
+    found = let(stripped_lines(), lambda lines: F.transform(calls, lambda c: F.struct(
         F.lit("JX3").alias("rule_id"), F.lit("Suspicious Subprocess Call").alias("type"), c["line"].alias("line"), c["name"].alias("name"),
-        strip(F.try_element_at("lines", c["line"])).alias("snippet")))))
+        at(lines, c["line"]).alias("snippet"))))
+    return binding.select("path", F.inline(found))
 
 
 SQL_PIECE = r"select|insert|update|delete|where|from"
@@ -166,13 +202,10 @@ def js_template_sql(files: DataFrame) -> DataFrame:
     pieces = F.flatten(F.transform(literals, lambda m: F.transform(
         F.split(m["text"], r"\$\{[^}]*\}", -1), lambda p: F.struct(m["line"].alias("line"), p.alias("piece")))))
     hits = F.filter(pieces, lambda p: F.rlike(p["piece"], F.lit(DIALECT_CI + SQL_PIECE)))
-    return (
-        with_code_text(files, "`")
-        .select("path", "lines", F.posexplode(hits).alias("pos", "h"))
-        .select(
-            "path", (F.col("pos") + 1).alias("seq"), F.lit("JX5").alias("rule_id"), F.lit("Possible SQL Injection").alias("type"),
-            "h.line", strip(F.try_element_at("lines", F.col("h.line"))).alias("snippet"))
-    )
+    found = let(stripped_lines(), lambda lines: F.transform(hits, lambda h, i: F.struct(
+        (i + 1).alias("seq"), F.lit("JX5").alias("rule_id"), F.lit("Possible SQL Injection").alias("type"), h["line"].alias("line"),
+        at(lines, h["line"]).alias("snippet"))))
+    return with_code_text(files, "`").select("path", F.inline(found))
 
 
 C_CALL = r"\b(?:" + "|".join(C_NAMES) + r")\s*\("
@@ -180,14 +213,14 @@ C_CALL = r"\b(?:" + "|".join(C_NAMES) + r")\s*\("
 
 def cpp_calls_extent(files: DataFrame, around: int = 1) -> DataFrame:
     """CX1: calls of exactly the six names, with start and end position."""
-    found = F.transform(placed_matches(F.col("bare"), C_CALL), lambda m: F.struct(
+    found = let(line_contexts(around), lambda contexts: F.transform(placed_matches(F.col("bare"), C_CALL), lambda m: F.struct(
         F.lit("Dangerous Function").alias("type"), m["line"].alias("line"),
         F.regexp_extract(m["text"], r"^\w+", 0).alias("name"),
         m["line"].alias("startLine"), m["column"].alias("startColumn"),
         (m["line"] + F.length(m["text"]) - F.length(F.replace(m["text"], F.lit("\n"), F.lit("")))).alias("endLine"),
         F.when(F.contains(m["text"], F.lit("\n")), F.length(F.substring_index(m["text"], "\n", -1)) + 1)
         .otherwise(m["column"] + F.length(m["text"])).alias("endColumn"),
-        context_of(F.col("lines"), m["line"], around).alias("snippet")))
+        at(contexts, m["line"]).alias("snippet"))))
     return with_code_text(files, *C_NAMES).select("path", F.inline(found))
 
 
@@ -204,7 +237,8 @@ def cpp_literal_decls(files: DataFrame, around: int = 1) -> DataFrame:
         (m["column"] + F.length(m["text"])).alias("endColumn"),
         F.concat(F.lit('"'), F.substring_index(F.substring_index(m["text"], '"', -2), '"', 1), F.lit('"')).alias("literal")))
     long_ones = F.filter(found, lambda f: F.length(f["literal"]) >= MIN_LITERAL)
-    return with_code_text(files, '"').select("path", F.inline(F.transform(long_ones, lambda f: F.struct(
+    described = let(line_contexts(around), lambda contexts: F.transform(long_ones, lambda f: F.struct(
         F.lit("Hardcoded Secret").alias("type"), f["line"].alias("line"), f["line"].alias("startLine"), f["startColumn"].alias("startColumn"),
         f["line"].alias("endLine"), f["endColumn"].alias("endColumn"), f["literal"].alias("literal"),
-        context_of(F.col("lines"), f["line"], around).alias("snippet")))))
+        at(contexts, f["line"]).alias("snippet"))))
+    return with_code_text(files, '"').select("path", F.inline(described))
