@@ -118,6 +118,10 @@ ORACLE = {
     "findings_by_file": corpus_sql(DOCS + """ SELECT doc_id, path, CAST(0 AS BIGINT) AS part,
         string_agg(seq || ':' || coalesce(type, '-'), ' ' ORDER BY seq) AS issues FROM rows_ GROUP BY doc_id, path"""),
     "severity_counts": corpus_sql(SOURCE_RISK + " SELECT * FROM counts"),
+    "risk_by_source": corpus_sql(SOURCE_RISK + """ SELECT source, high, medium, low, total_issues, round(CAST(weighted AS DOUBLE) / (5.0 * total_issues), 9) AS score,
+        CASE WHEN 10 * weighted >= 35 * total_issues THEN 'High' WHEN 10 * weighted >= 15 * total_issues THEN 'Medium' ELSE 'Low' END AS risk,
+        coalesce(nullif(concat_ws(', ', CASE WHEN high > 0 THEN high || ' high-severity issue(s)' END,
+        CASE WHEN medium > 0 THEN medium || ' medium-severity issue(s)' END, CASE WHEN low > 0 THEN low || ' low-severity issue(s)' END), '') || '.', 'No issues detected.') AS rationale FROM risk"""),
     "risk_score": corpus_sql(SOURCE_RISK + " SELECT source, weighted, total_issues, round(weighted / (5.0 * total_issues), 9) AS score FROM (SELECT *, CAST(weighted AS DOUBLE) AS w FROM risk)").replace("round(weighted /", "round(w /"),
     "risk_bucket": corpus_sql(SOURCE_RISK + " SELECT source, CASE WHEN 10 * weighted >= 35 * total_issues THEN 'High' WHEN 10 * weighted >= 15 * total_issues THEN 'Medium' ELSE 'Low' END AS risk FROM risk"),
     "risk_rationale": corpus_sql(SOURCE_RISK + """ SELECT source, coalesce(nullif(concat_ws(', ', CASE WHEN high > 0 THEN high || ' high-severity issue(s)' END,

@@ -204,7 +204,7 @@ SELECT f.path, 'Dangerous Function' AS type, f.line, regexp_extract(f.text, '^\\
        f.line AS "endLine", CAST(f.col + length(f.text) AS INTEGER) AS "endColumn", {context(1)} AS snippet
 FROM call f JOIN code c ON f.path = c.path"""
 
-C_DECLS = CODE + matches_cte("decl", "code", "uncommented", r'[A-Za-z_]\w*[ \t*&]+[A-Za-z_]\w*[ \t]*(?:\[[^\]\n]*\])?[ \t]*=[ \t]*"[^"\n]*"', "path") + f""", d AS (
+C_DECLS = CODE + matches_cte("decl", "code", "uncommented", r'\b[A-Za-z_]\w*[ \t*&]+[A-Za-z_]\w*[ \t]*(?:\[[^\]\n]*\])?[ \t]*=[ \t]*"[^"\n]*"', "path") + f""", d AS (
   SELECT *, regexp_extract(text, '"[^"]*"$') AS literal FROM decl)
 SELECT f.path, 'Hardcoded Secret' AS type, f.line, f.line AS "startLine", CAST(f.col + instr(f.text, '"') - 1 AS INTEGER) AS "startColumn",
        f.line AS "endLine", CAST(f.col + length(f.text) AS INTEGER) AS "endColumn", f.literal, {context(1)} AS snippet

@@ -211,6 +211,10 @@ def _risk(spark, sf_dir, *columns):
     return out.select("source", *columns)
 
 
+def risk_by_source(spark, sf_dir):
+    return _risk(spark, sf_dir, "high", "medium", "low", "total_issues", F.round("score", 9).alias("score"), "risk", "rationale")
+
+
 def risk_score(spark, sf_dir):
     return _risk(spark, sf_dir, "weighted", "total_issues", F.round("score", 9).alias("score"))
 
@@ -257,6 +261,6 @@ def exclude_globs(spark, sf_dir):
 QUERIES = {f.__name__.rstrip("_"): f for f in [
     severity_map, hint_lookup, explain_template, kb_lookup, merge_references, enrich_findings, build_prompts, enrich_with_backend,
     llm_usage, chat_reply, sanitize_text, valid_url, normalize_refs, sanitize_stats, parse_completions, parse_explanations,
-    parse_embeddings, json_or_raw, findings_from_json_, findings_by_file, severity_counts, risk_score, risk_bucket, risk_rationale,
+    parse_embeddings, json_or_raw, findings_from_json_, findings_by_file, severity_counts, risk_by_source, risk_score, risk_bucket, risk_rationale,
     file_scores, top_files, corpus_summary, type_counts, digest_top10, exclude_vendor, exclude_globs,
 ]}

@@ -35,6 +35,16 @@ def whole(literal: str) -> str:
     return rf"{text}(?<=\b{text})"
 
 
+def on_line(*parts: str) -> str:
+    """Pattern for parts that follow each other on one line, with anything in between.
+
+    The first place of each part but the last is the best one, so none is
+    tried twice: linear also on a long line, where `a.*b.*c` is not. The parts
+    before the last must not span lines.
+    """
+    return "(?m)^" + "".join(f"(?>.*?{p})" for p in parts[:-1]) + ".*" + parts[-1]
+
+
 def folded(col: Column) -> Column:
     """Upper case such that every case-insensitive match of an ASCII word survives.
 

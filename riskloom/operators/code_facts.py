@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import io
 import tokenize
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,7 +42,10 @@ class _File:
 
     def unparse(self, node: ast.AST) -> str:
         if node not in self.texts:
-            self.texts[node] = ast.unparse(node)
+            try:
+                self.texts[node] = ast.unparse(node)
+            except RecursionError:  # nested too deeply to be written out
+                self.texts[node] = type(node).__name__
         return self.texts[node]
 
     def segment(self, node: ast.AST) -> str:
@@ -199,8 +203,10 @@ def _comment_facts(f: _File) -> Iterator[dict]:
 def facts_of(source: str, kinds: frozenset) -> Iterator[dict]:
     """All wanted facts of one text; none if it does not parse."""
     try:
-        f = _File(source)
-    except Exception:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # about odd escapes in foreign code
+            f = _File(source)
+    except Exception:  # it does not parse, for whatever reason
         return
     if kinds & set(RULE_KINDS):
         yield from filter(None, _rule_facts(f, kinds))

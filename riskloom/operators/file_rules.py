@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.dims import HINTS
-from riskloom.functions.text import folded, matches, whole
+from riskloom.functions.text import folded, matches, on_line, whole
 
 HINT_TEXT = dict(HINTS)
 
@@ -66,15 +66,15 @@ def without(a: Test, b: Test) -> Test:
     return lambda s: a(s) & ~b(s)
 
 
-# The patterns of the SQL rule, one alternation instead of fifteen searches.
+# Words and forms of the SQL rule. The fifteen searches come down to four forms in one alternation.
 SQL_GATE = ["SELECT", "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "MERGE"]
-SQL_BUILT = (
-    r"""["'](?:SELECT|INSERT|UPDATE|DELETE|DROP)\b.*\+"""
-    r"""|f["'].*(?:SELECT|INSERT|UPDATE|DELETE|DROP)\b.*\{"""
-    r"""|["'](?:SELECT|INSERT|UPDATE|DELETE)\b.*\.format\s*\("""
-    r"""|["']SELECT\b.*%\s*[\(s]"""
-)
-SQL_TEMPLATE = r"`SELECT\b.*\$\{"
+SQL_BUILT = "|".join([
+    on_line(r"""["'](?:SELECT|INSERT|UPDATE|DELETE|DROP)\b""", r"\+"),
+    on_line(r"""f["']""", r"(?:SELECT|INSERT|UPDATE|DELETE|DROP)\b", r"\{"),
+    on_line(r"""["'](?:SELECT|INSERT|UPDATE|DELETE)\b""", r"\.format\s*\("),
+    on_line(r"""["']SELECT\b""", r"%\s*[\(s]"),
+])
+SQL_TEMPLATE = on_line(r"`SELECT\b", r"\$\{")
 
 # C functions of E32-E39 with our advice.
 C_CALLS = [
@@ -113,7 +113,7 @@ RULES = [
     FileRule("E18", "py", "Insecure random used for security-sensitive value", both(
         rx(whole("random.") + r"(random|randint|choice|randrange)\s*\(", "random."),
         has_ci("token", "secret", "password", "key", "nonce", "salt", "otp")), "Draw security values from the secrets module."),
-    FileRule("E19", "py", "Assert used for access control", rx_ci(r"\bassert\b.*(auth|permission|role|admin|allowed)", "ASSERT"), "Raise an error; asserts vanish in optimised runs."),
+    FileRule("E19", "py", "Assert used for access control", rx_ci(on_line(r"\bassert\b", "(?:auth|permission|role|admin|allowed)"), "ASSERT"), "Raise an error; asserts vanish in optimised runs."),
     FileRule("E20", "py", "TLS certificate verification disabled", rx(r"verify\s*=\s*False", "verify"), HINT_TEXT["insecure tls"]),
     FileRule("E21", "py", "Debug mode enabled", either(
         rx_ci(r"\bDEBUG\s*=\s*True\b", "DEBUG"), rx(r"\.run\s*\(.*debug\s*=\s*True", ".run")), "Run without debug mode in production."),
@@ -131,7 +131,7 @@ RULES = [
         r"""\b(password|api_key|secret|token)\b\s*[:=]\s*["']""", "PASSWORD", "API_KEY", "SECRET", "TOKEN"), HINT_TEXT["hardcoded secret"]),
     *[FileRule(rid, "c", f"Dangerous C function: {fn}()", rx(whole(fn) + r"\s*\(", fn), advice) for rid, fn, advice in C_CALLS],
     FileRule("E40", "c", "Potential format-string vulnerability (printf with variable)", rx(whole("printf") + r"\s*\(\s*[a-zA-Z_]\w*\s*\)", "printf"), "Keep the format a literal."),
-    FileRule("E41", "c", "Hardcoded password in C/C++ source", rx_ci(r'\b(password|passwd)\b.*=\s*"', "PASSW"), HINT_TEXT["hardcoded secret"]),
+    FileRule("E41", "c", "Hardcoded password in C/C++ source", rx_ci(on_line(r"\b(?:password|passwd)\b", r'=\s*"'), "PASSW"), HINT_TEXT["hardcoded secret"]),
 ]
 
 NO_ISSUE = "No obvious issues found"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import folded, matches, split_lines, strip
+from riskloom.functions.text import folded, matches, on_line, split_lines, strip
 from riskloom.operators.findings import context_of
 
 # C and C++ names that CP1 and CX1 look for.
@@ -46,12 +46,12 @@ def js_hits(text: Column, upper: Column) -> list[Column]:
 def c_hits(text: Column, upper: Column) -> list[Column]:
     # A name somewhere before the last "(" on the line; a direct call is a special case of that.
     calls = [
-        hit(i, word(text, fn) & matches(text, fn + r".*\("), "Dangerous Function", f"{fn} is unsafe; choose a bounded or checked function.")
+        hit(i, word(text, fn) & matches(text, on_line(fn, r"\(")), "Dangerous Function", f"{fn} is unsafe; choose a bounded or checked function.")
         for i, fn in enumerate(C_NAMES, 1)
     ]
     secret = word(upper, "PASSWORD") | word(upper, "API_KEY") | word(upper, "SECRET")
     return calls + [
-        hit(7, secret & matches(text, r"""\b(password|api_key|secret)\b.*=[^\n]*['"]""", ci=True), "Hardcoded Secret", "A secret is written into the source.")
+        hit(7, secret & matches(text, on_line(r"\b(?:password|api_key|secret)\b", "=", "['\"]"), ci=True), "Hardcoded Secret", "A secret is written into the source.")
     ]
 
 

@@ -174,7 +174,7 @@ def js_token_findings(files: DataFrame) -> DataFrame:
 
 
 BINDING = r"""\{([^{}]*)\}\s*=\s*require\s*\(\s*['"]child_process['"]\s*\)"""
-CALL_SITE = r"(?<![\w$.])(?<!\bfunction )[A-Za-z_$][\w$]*\s*\("
+CALL_SITE = r"(?<![\w$.])(?<!\bfunction )[A-Za-z_$][\w$]*+\s*\("
 
 
 def js_bound_calls(files: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def cpp_calls_extent(files: DataFrame, around: int = 1) -> DataFrame:
 
 
 # A variable with a type in front, given a literal on the same line.
-DECLARED = r'[A-Za-z_]\w*[ \t*&]+[A-Za-z_]\w*[ \t]*(?:\[[^\]\n]*\])?[ \t]*=[ \t]*"[^"\n]*"'
+DECLARED = r'\b[A-Za-z_]\w*+[ \t*&]++[A-Za-z_]\w*+[ \t]*+(?:\[[^\]\n]*\])?[ \t]*=[ \t]*"[^"\n]*"'
 MIN_LITERAL = 9  # fixed value: more than 8 characters, counting the quotes as part of the literal's spelling
 
 
