@@ -54,7 +54,7 @@ ADVICE = "advice AS (SELECT * FROM " + values(
 
 
 def explained(message: str) -> str:
-    return f"coalesce(t_explanation, 'Detected issue: ''' || type || '''. ' || {message} || ' ' || snippet)"
+    return f"coalesce(t_explanation, 'Finding ''' || type || ''': ' || {message} || ' ' || snippet)"
 
 
 
@@ -98,7 +98,7 @@ ORACLE = {
         {explained("message")} AS explanation, fix, 'offline' AS llm_used, all_links AS links FROM (SELECT m.*, a.advice AS message FROM merged m LEFT JOIN advice a ON m.type = a.type)""").replace("WITH ", "WITH " + ADVICE, 1),
     "enrich_with_backend": corpus_sql(TOLD + BACKEND + " SELECT * FROM answered").replace("WITH ", "WITH " + ADVICE, 1),
     "llm_usage": corpus_sql(ALL + " SELECT count(line) AS online, count(*) - count(line) AS offline FROM found"),
-    "chat_reply": "SELECT conv_id, turn, 'Detected issue: ''chat''. ' || text || ' ' AS reply FROM conversations WHERE role = 'user'",
+    "chat_reply": "SELECT conv_id, turn, 'Finding ''chat'': ' || text || ' ' AS reply FROM conversations WHERE role = 'user'",
     "sanitize_text": "SELECT doc_id, trim(regexp_replace(regexp_replace(' ' || text || ' ! end ', '[\\x00-\\x1f]', '', 'g'), ' +', ' ', 'g')) AS clean FROM documents",
     "valid_url": f"SELECT page_id, {VALID} AS valid, {VALID} AND NOT contains(u, '\\s') AS valid_clean FROM (SELECT page_id, {URL} AS u FROM pages)",
     "normalize_refs": REFS + """ SELECT page_id, CAST(0 AS INTEGER) AS pos, u AS url, CAST(NULL AS VARCHAR) AS description FROM v WHERE ok

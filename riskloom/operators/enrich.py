@@ -39,7 +39,7 @@ def explain_offline(issue_type: Column, message: Column, snippet: Column) -> Col
         return F.try_element_at(dims.strings([t[i] for t in dims.TEMPLATES]), at)
 
     blank = F.lit("")
-    generic = F.concat(F.lit("Detected issue: '"), F.coalesce(issue_type, blank), F.lit("'. "),
+    generic = F.concat(F.lit("Finding '"), F.coalesce(issue_type, blank), F.lit("': "),
                        F.coalesce(message, blank), F.lit(" "), F.coalesce(snippet, blank))
     links = F.try_element_at(F.array(*[dims.strings(t[3]) for t in dims.TEMPLATES]), at)
     return F.struct(
