@@ -45,12 +45,14 @@ def sessionize(events: DataFrame, key: str, ts: str, order: str, ttl: int = TTL_
     gaps are found inside (key, time slice) groups of `width`; per slice only
     its edges and number of starts go on to a window over the key's slices,
     which hands each slice the last time and session number before it.
+    Events without key or time belong to no session.
     """
     slice_ = F.window(ts, width)["start"]
     inner = Window.partitionBy(key, "slice").orderBy(ts, order)
     before = F.lag(ts).over(inner)
     starts = F.when(before.isNotNull(), too_long(F.col(ts) - before, ttl)).otherwise(0)
-    flagged = events.withColumn("slice", slice_).withColumn("starts", starts)
+    known = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())  # said up front, so that both uses below share one shuffle
+    flagged = known.withColumn("slice", slice_).where(F.col("slice").isNotNull()).withColumn("starts", starts)
     edges = flagged.groupBy(key, "slice").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.sum("starts").alias("n_starts"))
     across = Window.partitionBy(key).orderBy("slice")
     previous = F.lag("last").over(across)
