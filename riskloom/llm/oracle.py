@@ -51,3 +51,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND rid NOT IN (SELECT rid FROM far) AS kept
 FROM counted
 """
+
+DECONTAMINATE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+  FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+  FROM benchmark
+), grams AS (
+  SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+  FROM (SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
+), sizes AS (SELECT DISTINCT n FROM grams
+), probes AS (
+  SELECT rid, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)
+), hits AS (
+  SELECT rid, p.n, i, item FROM probes p JOIN grams USING (n, g)
+), places AS (
+  SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT rid, i, n FROM hits)) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rid, item FROM hits WHERE item IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (rid) LEFT JOIN items USING (rid)
+"""
+
+SHARDS = """
+WITH RECURSIVE shards AS (
+  SELECT list(('0x' || substr(md5('offset shard-' || k), 1, 8))::BIGINT % 4099 ORDER BY k) AS first,
+    list(('0x' || substr(md5('skip shard-' || k), 1, 8))::BIGINT % 4098 + 1 ORDER BY k) AS skip
+  FROM range(32) t(k)
+), turns(turn, owner, first, skip) AS (
+  SELECT 0, list_transform(range(4099), lambda j: -1), first, skip FROM shards
+  UNION ALL
+  SELECT turn + 1, list_transform(owner, lambda o, j: CASE WHEN j = slot + 1 THEN turn % 32 ELSE o END), first, skip
+  FROM (
+    SELECT *, list_filter(list_transform(range(4099), lambda j: (first[turn % 32 + 1] + j * skip[turn % 32 + 1]) % 4099), lambda s: owner[s + 1] = -1)[1] AS slot
+    FROM turns WHERE turn < 4099
+  )
+), filled AS (
+  SELECT unnest(range(4099)) AS slot, unnest(owner) AS shard FROM turns WHERE turn = 4099
+)
+SELECT doc_id, slot::INTEGER AS slot, shard::INTEGER AS shard
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % 4099 AS slot FROM documents) JOIN filled USING (slot)
+"""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import oracle, quality_rules
+from riskloom.llm import decontaminate, oracle, packing, quality_rules, sharding
 from riskloom.llm.common import table
 
 
@@ -16,7 +18,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.size("hit.places").cast("long")
+    return found.select(
+        "row.doc_id", "hit.n_words", n_hit.alias("n_hit"), F.size("hit.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op5_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"shard-{i}" for i in range(sharding.SHARDS)]
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), names)
+
+
+def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op10_quality_rules,)
+    f.__name__: f for f in (op4_decontaminate, op5_shard_lookup, op6_power_of_two_packing, op10_quality_rules)
+}
+ORACLE: dict[str, str] = {
+    "op4_decontaminate": oracle.DECONTAMINATE, "op5_shard_lookup": oracle.SHARDS, "op10_quality_rules": oracle.QUALITY,
 }
-ORACLE: dict[str, str] = {"op10_quality_rules": oracle.QUALITY}
