@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 CAPACITY, END = 4096, 2
 #: A task keeps at most this many known words.
 KNOWN_WORDS = 1_000_000
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 24_000_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 # Fixed value: the pattern by which the tokenizer parts words, and the bytes that its byte alphabet shows as themselves.
@@ -50,9 +50,9 @@ class WordIds:
         hidden = [b for b in range(256) if b not in set(SHOWN)]
         self.alphabet = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.clear()
         same = "L'Été, d'où 3² «Straße» it's ÿ½%%% | naïve... I'LL µ§ {a_b}"
         self.quick = [i for w in same.split() for i in self._quick(w)] == self.tokenizer.encode(same, add_special_tokens=False).ids
-        self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
@@ -60,19 +60,22 @@ class WordIds:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
 
+    def _part(self, part: str) -> list[int]:
+        found = self.pieces.get(part)
+        if found is None:
+            found = self.pieces[part] = [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]
+        return found
+
     def _quick(self, word: str) -> list[int]:
-        ids = []
-        for part in self.parts.findall(word.lower()):
-            found = self.pieces.get(part) if hasattr(self, "pieces") else None
-            if found is None:
-                found = [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]
-                if hasattr(self, "pieces"):
-                    self.pieces[part] = found
-            ids += found
-        return ids
+        word = word.lower()
+        if word.isalpha():
+            return self._part(word)
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self._part(word[:-1]) + self._part(word[-1])
+        return [i for part in self.parts.findall(word) for i in self._part(part)]
 
     def ids(self, word: str) -> list[int]:
-        if self.quick and self.plain.fullmatch(word) and not any(s in word for s in self.special):
+        if self.quick and self.plain.fullmatch(word) and not ("<|" in word and any(s in word for s in self.special)):
             return self._quick(word)
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
@@ -81,20 +84,17 @@ class WordIds:
         if len(self.known) + len(words) > KNOWN_WORDS:
             self.clear()
         known, n = self.known, len(self.known)
-        rows, new = np.empty(len(words), np.int64), []
-        for k, word in enumerate(words):
-            row = known.get(word, -1)
-            if row < 0:
-                row = known[word] = n + len(new)
-                new.append(self.ids(word))
-            rows[k] = row
+        rows, new = [known.get(word, -1) for word in words], []
+        for k in [k for k, row in enumerate(rows) if row < 0]:
+            rows[k] = known[words[k]] = n + len(new)
+            new.append(self.ids(words[k]))
         if new:
             sizes = np.fromiter(map(len, new), np.int64, len(new))
             used, total = int(self.begin[n]), int(sizes.sum())
             self.flat, self.begin = _room(self.flat, used + total), _room(self.begin, n + len(new) + 1)
             self.flat[used:used + total] = np.fromiter((i for ids in new for i in ids), np.uint32, total)
             self.begin[n + 1:n + 1 + len(new)] = used + np.cumsum(sizes)
-        return rows
+        return np.array(rows, np.int64)
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def token_ids(texts: pa.Array, words: WordIds, end: int) -> tuple[np.ndarray, np
     texts = texts.cast(pa.large_string()).fill_null("")
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
-    rows = words.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+    rows = words.rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
     begin, size = words.begin[rows], words.begin[rows + 1] - words.begin[rows]
     offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
     ends = np.concatenate([[0], np.cumsum(size)])[offsets]
