@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, oracle, packing, quality_rules, sharding
+from riskloom.llm import decontaminate, oracle, packing, quality_rules, sharding, simhash
 from riskloom.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hit.places").cast("long")
@@ -38,7 +43,7 @@ def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_decontaminate, op5_shard_lookup, op6_power_of_two_packing, op10_quality_rules)
+    f.__name__: f for f in (op3_simhash, op4_decontaminate, op5_shard_lookup, op6_power_of_two_packing, op10_quality_rules)
 }
 ORACLE: dict[str, str] = {
     "op4_decontaminate": oracle.DECONTAMINATE, "op5_shard_lookup": oracle.SHARDS, "op10_quality_rules": oracle.QUALITY,
