@@ -230,6 +230,73 @@ def context_batch(rows: dict[str, np.ndarray], flanks: np.ndarray) -> Iterator[p
             [c.split()[0] for c in CONTEXTS.split(", ")])
 
 
+def contexts(docs: DataFrame, sketch: Sketch, w: Windows, scan: Callable, flanks_of: Callable) -> DataFrame:
+    """The contexts of the anchors that the sketch lets through.
+
+    `scan` gives runs of an Arrow column of texts: first, last, units, their number per text, and anchors.
+    `flanks_of(found, pick, units)` gives what surrounds the cores, as rows of bytes (a multiple of 8 each).
+    The windows of a hot core go as rows of their own: `bit` tells which, and their own hash is the key.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(sketch)
+
+    def rows_of(found: Anchors, keep: np.ndarray, units: np.ndarray, of_doc: dict[str, np.ndarray], at: np.ndarray, hot_keys: np.ndarray) -> tuple[dict, np.ndarray]:
+        flanks = flanks_of(found, keep, units)
+        weights = np.arange(1, flanks.shape[1] // 4, 2, dtype=np.uint64)
+        rows = {"key": found.key[keep], "key2": found.key2[keep], "at": at, "bit": np.full(len(keep), -1), **of_doc}
+        rows["context"] = mix((mix(flanks.view(np.uint64)) * weights).sum(axis=1, dtype=np.uint64))
+        hot = np.isin(rows["key"], hot_keys)
+        if hot.any():
+            starts = found.at[keep[hot]][:, None] - np.arange(w.span)
+            real = (starts >= found.first[keep[hot]][:, None]) & (starts <= found.last[keep[hot]][:, None])
+            row, bit = np.nonzero(real)
+            one = {c: x[hot][row] for c, x in rows.items()}
+            one["key"] = mix(one["key"] ^ found.hashes.of(starts[real], w.length)) + bit.astype(np.uint64)
+            one["bit"], one["context"] = bit, np.zeros(len(bit), np.uint64)
+            rows = {c: np.concatenate([x[~hot], one[c]]) for c, x in rows.items()}
+            flanks = np.concatenate([flanks[~hot], np.zeros((len(bit), flanks.shape[1]), np.uint8)])
+        return rows, flanks
+
+    def joined(parts: list) -> Iterator[pa.RecordBatch]:
+        yield from context_batch({c: np.concatenate([r[c] for r, _ in parts]) for c in parts[0][0]}, np.concatenate([f for _, f in parts]))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, parts = held.value, []
+        for batch in batches:
+            ids = batch.column(0)
+            doc_id, null, own_key = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            for a, _, units, sizes, found in scan(batch.column(2)):
+                keep = np.flatnonzero(sketch.repeated(found.key, found.key2))
+                if len(keep):
+                    doc = np.repeat(np.arange(len(sizes)), sizes)[found.at[keep]]
+                    of_doc = {"doc_id": doc_id[a + doc], "null": null[a + doc], "text_key": own_key[a + doc]}
+                    parts.append(rows_of(found, keep, units, of_doc, found.at[keep] - (np.cumsum(sizes) - sizes)[doc], sketch.hot))
+                if sum(len(f) for _, f in parts) > 200_000:
+                    yield from joined(parts)
+                    parts = []
+        if parts:
+            yield from joined(parts)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text").mapInArrow(each, CONTEXTS)
+
+
+def copies_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each different context of a core, and how many places have it."""
+    key, key2, context = (part.column(c).to_numpy().view(np.uint64) for c in ("key", "key2", "context"))
+    _, same = np.unique(mix(key ^ mix(key2 + context)), return_inverse=True)
+    return same, np.bincount(same, weights=part.column("n").to_numpy())[same]
+
+
+def flank_rows(part: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(part.column("flank").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+
+
+def missing_batch(part: pa.Table, missing: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    bits = np.packbits(missing[rows], axis=1, bitorder="little")
+    return pa.RecordBatch.from_arrays(
+        [*[part.column(c).combine_chunks().take(pa.array(rows)) for c in ("doc_id", "text_key", "at")], pa.array([b.tobytes() for b in bits], pa.binary())],
+        ["doc_id", "text_key", "at", "missing"])
+
+
 def whole_keys(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.Table]:
     """Tables of about `most` rows, cut where the key (column 0) changes; rows come sorted by it."""
     held: list[pa.RecordBatch] = []

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import repeats
-from riskloom.llm.common import text_key
 from riskloom.llm.repeats import P1, Anchors, Hashes, Windows, mix
 
 WINDOW = 35
@@ -71,82 +70,23 @@ def _flanks(found: Anchors, pick: np.ndarray, w: Windows) -> np.ndarray:
     """The hash of each of an anchor's windows, last start first; 0 where there is none."""
     starts = found.at[pick][:, None] - np.arange(w.span)
     real = (starts >= found.first[pick][:, None]) & (starts <= found.last[pick][:, None])
-    return np.where(real, found.hashes.of(np.where(real, starts, 0), np.where(real, w.length, 0)) | np.uint64(1), np.uint64(0))
+    hashes = found.hashes.of(np.where(real, starts, 0), np.where(real, w.length, 0)) | np.uint64(1)
+    return np.where(real, hashes, np.uint64(0)).view(np.uint8)
 
 
-def contexts(docs: DataFrame, sketch, w: Windows) -> DataFrame:
-    """The candidates' contexts, with the hashes of their windows as flank."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = held.value
-        parts: list[tuple[dict, np.ndarray]] = []
-        for batch in batches:
-            ids = batch.column(0)
-            doc_id, null, own_key = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-            for a, _, values, sizes, found in _scan(batch.column(2), w):
-                if not len(found.at):
-                    continue
-                base = np.cumsum(sizes) - sizes
-                keep = np.flatnonzero(sketch.repeated(found.key, found.key2))
-                doc = np.repeat(np.arange(len(sizes)), sizes)[found.at[keep]]
-                flanks = _flanks(found, keep, w)
-                rows = {"key": found.key[keep], "key2": found.key2[keep], "doc_id": doc_id[a + doc], "null": null[a + doc], "text_key": own_key[a + doc],
-                        "at": found.at[keep] - base[doc], "bit": np.full(len(keep), -1)}
-                hot = np.isin(rows["key"], sketch.hot)
-                if hot.any():
-                    one = {c: np.repeat(x[hot], w.span) for c, x in rows.items()}
-                    single = flanks[hot].reshape(-1, 1)
-                    one["bit"] = np.tile(np.arange(w.span), int(hot.sum()))
-                    one["key"] = mix(one["key"] ^ single[:, 0]) + one["bit"].astype(np.uint64)
-                    real = single[:, 0] != 0
-                    full = np.zeros((int(real.sum()), w.span), np.uint64)
-                    full[:, 0] = single[real, 0]
-                    one = {c: x[real] for c, x in one.items()}
-                    rows = {c: np.concatenate([x[~hot], one[c]]) for c, x in rows.items()}
-                    flanks = np.concatenate([flanks[~hot], full])
-                weights = np.arange(1, 2 * w.span, 2, dtype=np.uint64)
-                rows["context"] = mix((mix(flanks) * weights).sum(axis=1, dtype=np.uint64))
-                parts.append((rows, flanks.view(np.uint8)))
-            if sum(len(f) for _, f in parts) > 200_000:
-                yield from _joined(parts)
-                parts = []
-        if parts:
-            yield from _joined(parts)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text").mapInArrow(each, repeats.CONTEXTS)
-
-
-def _joined(parts: list) -> Iterator[pa.RecordBatch]:
-    yield from repeats.context_batch({c: np.concatenate([r[c] for r, _ in parts]) for c in parts[0][0]}, np.concatenate([f for _, f in parts]))
-
-
-def solver(w: Windows):
-    width = (w.span + 7) // 8
-
+def _solver(w: Windows):
     def solve(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        part = part.combine_chunks()
-        key, key2, context = (part.column(c).to_numpy().view(np.uint64) for c in ("key", "key2", "context"))
-        n, bit = part.column("n").to_numpy(), part.column("bit").to_numpy()
-        whole = mix(key ^ mix(key2 + context))
-        _, same = np.unique(whole, return_inverse=True)
-        copies = np.bincount(same, weights=n)[same]
-        flanks = np.frombuffer(b"".join(part.column("flank").to_pylist()), np.uint64).reshape(-1, w.span)
-        hashes = np.where(flanks != 0, mix(flanks ^ mix(key + key2)[:, None]) + np.arange(w.span, dtype=np.uint64), np.uint64(0))
-        _, group = np.unique(hashes.ravel(), return_inverse=True)
-        counts = np.bincount(group, weights=np.repeat(n, w.span))[group].reshape(-1, w.span)
+        _, copies = repeats.copies_of(part)
+        core = mix(part.column("key").to_numpy().view(np.uint64) + mix(part.column("key2").to_numpy().view(np.uint64)))
+        flanks, bit = repeats.flank_rows(part).view(np.uint64), part.column("bit").to_numpy()
+        _, group = np.unique((mix(flanks ^ core[:, None]) + np.arange(w.span, dtype=np.uint64)).ravel(), return_inverse=True)
+        counts = np.bincount(group, weights=np.repeat(part.column("n").to_numpy(), w.span))[group].reshape(-1, w.span)
         missing = (flanks != 0) & (counts < 2)
-        # A window sent alone stands for its own bit.
-        alone = bit >= 0
-        lone = np.zeros_like(missing)
-        lone[np.flatnonzero(alone), bit[alone]] = missing[alone, 0]
-        missing[alone] = lone[alone]
+        alone = np.flatnonzero(bit >= 0)  # a window of a hot core: its context is itself
+        missing[alone, bit[alone]] = True
         out = np.flatnonzero((copies < 2) & missing.any(axis=1))
         if len(out):
-            bits = np.packbits(missing[out], axis=1, bitorder="little")
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(c).combine_chunks().take(pa.array(out)) for c in ("doc_id", "text_key", "at")], pa.array([b.tobytes() for b in bits[:, :width]], pa.binary())],
-                ["doc_id", "text_key", "at", "missing"])
+            yield repeats.missing_batch(part, missing, out)
 
     return solve
 
@@ -161,7 +101,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield found.key, found.key2
 
     sketch = repeats.count_sketch(docs.select("text"), keys_of)
-    rows = repeats.unrepeated(contexts(docs, sketch, w), solver(w))
+    found = repeats.contexts(docs, sketch, w, lambda texts: _scan(texts, w), lambda found, pick, _: _flanks(found, pick, w))
+    rows = repeats.unrepeated(found, _solver(w))
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
