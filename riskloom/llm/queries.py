@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, oracle, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
+from riskloom.llm import chat_format, decontaminate, oracle, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
 from riskloom.llm.common import table
 
 
+def op7_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat_format.control_case(spark))
+    return chat_format.digests(chat_format.format_conversations(chat_format.events_of(rows)))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -53,7 +58,7 @@ def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_simhash, op4_decontaminate, op5_shard_lookup, op6_power_of_two_packing, op10_quality_rules)
+    f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_simhash, op4_decontaminate, op5_shard_lookup, op6_power_of_two_packing, op7_chat_events, op10_quality_rules)
 }
 ORACLE: dict[str, str] = {
     "op4_decontaminate": oracle.DECONTAMINATE, "op5_shard_lookup": oracle.SHARDS, "op10_quality_rules": oracle.QUALITY,
