@@ -1,8 +1,63 @@
-"""Training-data pipeline over `documents`; every stage calls one operator of riskloom.llm."""
+"""Training-data pipeline over `documents`; every stage calls one operator of riskloom.llm.
 
-ORACLE_SQL = None
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before
+it kept. All but the last return the columns of `documents`; texts that a stage
+shortens get a new `n_chars`, where there is such a column.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskloom.llm import decontaminate, packing, quality_rules, simhash, suffix_dedup
+from riskloom.llm.common import shared_dir, table
+
+ORACLE_SQL = None  # fingerprints and tokens are beyond SQL; tests/llm compares with a brute-force version
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(suffix_dedup.clean(docs))
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("simhash", drop_near_copies),
+    ("suffix_array", cut_repeated_passages),
+    ("decontamination", remove_benchmark),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; each is written as Parquet below the shared folder and read again."""
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return docs

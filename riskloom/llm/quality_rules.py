@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut, words
+from riskloom.llm.common import cut, text_key, words
 
 # Frequent short words of four languages, whose counts make the word histogram.
 COMMON = {
@@ -125,8 +125,21 @@ def references(counts: DataFrame, min_reference: int = MIN_REFERENCE) -> DataFra
 def assess(docs: DataFrame, min_words: int = MIN_WORDS, min_judged: int = MIN_JUDGED, min_reference: int = MIN_REFERENCE,
            max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
     """A row per row of `docs`: the base numbers, both distances (null without a reference) and the verdict."""
+    return _judged(features(docs), min_words, min_judged, min_reference, max_char_distance, max_word_distance)
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """`docs`, same columns, without the rows that `assess` rejects. Rows equal in id, language and text have one verdict."""
+    marked = [F.struct("doc_id", text_key(F.col("text")).alias("key"), F.col("lang").alias("own_lang")).alias("doc_id")]
+    rejected = assess(docs.select(*marked, "text", "lang")).where(~F.col("kept")).select("doc_id.*").distinct()
+    rejected = rejected.select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key"), F.col("own_lang").alias("bad_lang"))
+    same = docs["doc_id"].eqNullSafe(rejected["bad_id"]) & (text_key(docs["text"]) == rejected["bad_key"]) & docs["lang"].eqNullSafe(rejected["bad_lang"])
+    return docs.join(rejected, same, "left_anti")
+
+
+def _judged(counts: DataFrame, min_words: int, min_judged: int, min_reference: int, max_char_distance: float, max_word_distance: float) -> DataFrame:
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counts = cut(features(docs).withColumn("base_failed", failed))
+    counts = cut(counts.withColumn("base_failed", failed))
     judged = counts.join(references(counts, min_reference), "lang", "left").select(
         *[c for c in counts.columns if c not in ("chars", "common", "lang")],
         js_distance(F.col("chars"), F.col("ref_chars")).alias("char_distance"),

@@ -325,10 +325,10 @@ def unrepeated(contexts: DataFrame, solve: Callable[[pa.Table], Iterator[pa.Reco
 
 
 def with_unrepeated(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(doc_id, text, missing) for each row of `docs` (doc_id, text)."""
+    """(doc_id, text, missing, ...) for each row of `docs` (doc_id, text, ...)."""
     own = docs.withColumn("text_key", text_key(F.col("text")))
     joined = own.join(rows, own["doc_id"].eqNullSafe(rows["own_id"]) & (own["text_key"] == rows["own_key"]), "left")
-    return joined.select("doc_id", "text", "missing")
+    return joined.select("doc_id", "text", "missing", *[c for c in docs.columns if c not in ("doc_id", "text")])
 
 
 def missing_rows(column: pa.Array, base: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

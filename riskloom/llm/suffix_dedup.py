@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskloom.llm import repeats
 from riskloom.llm.repeats import Anchors, Windows
@@ -178,7 +179,19 @@ def _solver(w: Windows):
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """A row per row of `docs`: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the kept bytes."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _applied(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
+
+
+def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """`docs`, same columns, with the kept text. Bytes of a character that was cut apart go with it."""
+    others = [c for c in docs.columns if c != "text"]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("carried"))
+    names = {c: F.col(f"carried.c{i}") for i, c in enumerate(others)}
+    return _applied(own, length).select(*[F.col("whole") if c == "text" else names[c] for c in docs.columns]).toDF(*docs.columns)
+
+
+def _applied(docs: DataFrame, length: int) -> DataFrame:
+    carry = "carried" in docs.columns
     w = windows_of(length)
     width = (w.span + 7) // 8
 
@@ -200,13 +213,17 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 gone = repeats.coverage(found, keep, w, len(units), *repeats.missing_rows(batch.column(2).slice(a, b - a), base, width))
                 first = np.zeros(len(units) + 1, bool)
                 first[base] = True
-                starts = gone & (first[:-1] | ~np.concatenate([[False], gone[:-1]]))
+                starts = gone & (first[:-1] | ~np.concatenate([[False], gone[:-1]]))[:len(units)]
                 sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([base, [len(units)]])])  # noqa: B023, E731
-                removed = sums(gone)
+                removed, spans = sums(gone), sums(starts)
                 ends = np.concatenate([[0], np.cumsum(sizes - removed)]).astype(np.int32)
                 kept = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(units[~gone]))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(removed), pa.array(sums(starts)), kept],
-                                                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return repeats.with_unrepeated(docs, rows).mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
+                if carry:
+                    whole = pa.array([k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
+                    yield pa.RecordBatch.from_arrays([whole, batch.column(3).slice(a, b - a)], ["whole", "carried"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(removed), pa.array(spans), kept],
+                                                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    schema = StructType().add("whole", "string").add("carried", docs.schema["carried"].dataType) if carry else "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    return repeats.with_unrepeated(docs, rows).mapInArrow(apply, schema)
