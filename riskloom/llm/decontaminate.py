@@ -67,11 +67,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_broadcast:
     hits = probes.join(F.broadcast(windows) if small else windows, ["length", "h"])
     per_doc = hits.dropDuplicates(["doc_id", "key", "start", "length", "gram"]).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "length", "gram", "items")).alias("hits"))
     per_doc = per_doc.select(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key"), "hits")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", key, normal_words(F.col("text")).alias("ws"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", key)
     joined = own.join(per_doc, own["doc_id"].eqNullSafe(per_doc["hit_doc"]) & (own["key"] == per_doc["hit_key"]), "left")
-    verified = F.filter(F.coalesce("hits", F.array().cast(per_doc.schema["hits"].dataType)),
-                        lambda h: F.array_join(F.slice(F.col("ws"), h["start"] + 1, h["length"]), " ") == h["gram"])
-    found = joined.select("row", F.size("ws").cast("long").alias("n_words"), verified.alias("sure"))
+    # Words are split again behind the join, as arrays of words take several times the room of their text.
+    found = joined.select("row", "hits", normal_words(F.col("row.text")).alias("ws"))
+    verified = F.filter("hits", lambda h: F.array_join(F.slice(F.col("ws"), h["start"] + 1, h["length"]), " ") == h["gram"])
+    none = F.array().cast(per_doc.schema["hits"].dataType)
+    found = found.select("row", F.size("ws").cast("long").alias("n_words"), F.when(F.col("hits").isNotNull(), verified).otherwise(none).alias("sure"))
     places = F.sort_array(F.array_distinct(F.flatten(F.transform("sure", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))))
     items = F.sort_array(F.array_distinct(F.flatten(F.transform("sure", lambda h: h["items"]))))
     return found.select("row", F.struct("n_words", places.alias("places"), items.alias("items")).alias("hit"))

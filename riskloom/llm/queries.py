@@ -47,7 +47,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hit.places").cast("long")
     return found.select(
         "row.doc_id", "hit.n_words", n_hit.alias("n_hit"), F.size("hit.items").cast("long").alias("n_items"),
