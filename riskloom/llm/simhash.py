@@ -207,19 +207,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = MAX_BITS) -> DataFrame:
-    """A row per row of `docs`: doc_id, key (of the text), fp and component_id (the smallest id reachable)."""
+    """A row per row of `docs`: doc_id, key (of the text), fp, root (the group's own number) and component_id (the smallest id reachable)."""
     prints = cut(fingerprints(docs, shingle))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     stars = components(links(distinct.select("fp"), radius))
     root = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = root.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(root.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "key", "fp", "component_id")
+    return prints.join(root.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = MAX_BITS) -> DataFrame:
-    """`docs`, same columns, with one row of each component: that of its smallest id, the smallest text hash among equal ids."""
+    """`docs`, same columns, with one row of each group: that of its smallest id (a null one last), of equal ids the smallest text hash."""
     found = near_duplicates(docs, shingle, radius)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("keep_key")).withColumnRenamed("component_id", "keep_id")
-    own = docs.withColumn("keep_text_key", text_key(F.col("text")))
-    joined = own.join(first, own["doc_id"].cast("long").eqNullSafe(first["keep_id"]) & (own["keep_text_key"] == first["keep_key"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "keep_text_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
+    first = found.groupBy("root").agg(least).select(F.col("least.doc_id").alias("keep_id"), F.col("least.key").alias("keep_key"))
+    own_id, own_key = docs["doc_id"].cast("long"), text_key(docs["text"])
+    kept = docs.join(first, own_id.eqNullSafe(first["keep_id"]) & (own_key == first["keep_key"]), "left_semi")
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    once = kept.select(*named, own_id.alias("keep_id"), own_key.alias("keep_key")).dropDuplicates(["keep_id", "keep_key"])
+    return once.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
