@@ -115,6 +115,8 @@ ORACLE = {
     "json_or_raw": """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
         CASE WHEN event_id % 3 = 0 THEN left(props, 4) END AS raw FROM events""",
     "findings_from_json": corpus_sql(DOCS + " SELECT * FROM rows_"),
+    "enrich_documents": corpus_sql(DOCS + f" SELECT doc_id, path, seq, type, {severity('type')} AS severity, 'offline' AS llm_used FROM rows_"),
+    "findings_rejected": corpus_sql(" SELECT doc_id, '{\"cut' AS body, 'not JSON' AS reason FROM corpus WHERE doc_id % 7 = 0"),
     "findings_by_file": corpus_sql(DOCS + """ SELECT doc_id, path, CAST(0 AS BIGINT) AS part,
         string_agg(seq || ':' || coalesce(type, '-'), ' ' ORDER BY seq) AS issues FROM rows_ GROUP BY doc_id, path"""),
     "severity_counts": corpus_sql(SOURCE_RISK + " SELECT * FROM counts"),

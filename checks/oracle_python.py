@@ -22,7 +22,9 @@ ORACLE = {
         UNION ALL SELECT s.path, 1, rule_id, type, line, snippet FROM secrets s JOIN py ON s.path = py.path"""),
     "facts_imports": facts("""SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY name) AS INTEGER) AS pos, name
         FROM (SELECT DISTINCT path, name FROM facts WHERE kind = 'imported')"""),
-    "facts_functions": facts("SELECT path, name, args, val AS docstring, line FROM facts WHERE kind = 'function'"),
+    "facts_functions": facts("""SELECT f.path, f.name, f.args, coalesce(c.calls, '') AS calls, f.val AS docstring, f.line FROM facts f
+        LEFT JOIN (SELECT path, parent, string_agg(name, ' ' ORDER BY name) AS calls FROM facts WHERE kind = 'function_call' GROUP BY ALL) c ON c.path = f.path AND c.parent = f.name
+        WHERE f.kind = 'function'"""),
     "facts_calls": facts("SELECT path, parent, name, args, line FROM facts WHERE kind = 'function_call'"),
     "external_calls": facts("SELECT path, name, args, line FROM facts WHERE kind = 'function_call' AND regexp_matches(name, '^(requests|socket|urllib|http|ftplib)\\.')"),
     "facts_classes": facts("""SELECT c.path, c.name, c.val AS docstring, c.line, coalesce(string_agg(m.name, ', ' ORDER BY m.line), '') AS methods

@@ -46,18 +46,22 @@ def kb_ranked(source: str, key: str) -> str:
   SELECT t.{key}, k.key AS id, round({KB_COSINE}, 9) AS score FROM {source} t, kbv k)) WHERE rank <= 3)"""
 
 
-ASK = "As a security engineer, explain this code issue in plain words, its impact, a short fix and references."
-ANSWER = "Answer with a JSON object with the keys explanation, fix and references (a list of URLs)."
+ASK = "A scanner flagged the code below. Say what can go wrong, how to repair it, and where to read more."
+ANSWER = "Reply in JSON: explanation and fix as texts, references as a list of URLs."
 
 ORACLE = {
     "build_prompts": corpus_sql(TOLD.replace(", kb AS", ", kb_full AS", 1).replace("LEFT JOIN kb k", "LEFT JOIN kb_full k", 1) + f", {KB}, tv AS ({hashed('types', 'type', 'type')}), {kb_ranked('tv', 'type')}"
         f""", near AS (SELECT r.type, string_agg(kb.summary, chr(10) ORDER BY rank) AS texts FROM ranked r JOIN kb ON r.id = kb.key GROUP BY r.type)
-        SELECT path, seq, '{ASK}' || chr(10) || 'Issue Type: ' || t.type || chr(10) || 'Line: ' || coalesce(CAST(line AS VARCHAR), 'None')
-        || chr(10) || 'Snippet: ' || snippet || chr(10) || 'Message: check' || chr(10) || 'Relevant Knowledge:' || chr(10)
+        SELECT path, seq, '{ASK}' || chr(10) || 'finding: ' || t.type || ' at line ' || coalesce(CAST(line AS VARCHAR), 'unknown')
+        || chr(10) || 'code: ' || snippet || chr(10) || 'scanner''s note: check' || chr(10) || 'background:' || chr(10)
         || concat_ws(chr(10), kb_summary, texts) || chr(10) || '{ANSWER}' AS prompt FROM told t JOIN near n ON t.type = n.type"""),
     "hash_embed": f"SELECT doc_id, {PRINT.format('vec')} AS vec FROM ({hashed('documents', 'doc_id', 'text')})",
     "knn_cosine": ranked(COSINE, "DESC", 3) + " SELECT query AS label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM ranked",
     "knn_l2": ranked(L2, "ASC", 3) + " SELECT query AS label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM ranked",
+    "knn_many": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
+        q AS (SELECT vec_id AS query_id, vec AS qv FROM v WHERE vec_id % 20 = 0), scored AS (SELECT query_id, vec_id, round(greatest({L2}, 0), 9) AS score FROM q, v)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored) WHERE rank <= 5""",
     "retrieval_eval": EVAL + " SELECT label, hit, round(reciprocal_rank, 9) AS reciprocal_rank FROM evaluated",
     "retrieval_means": EVAL + " SELECT round(avg(hit), 9) AS hit_at_k, round(avg(reciprocal_rank), 9) AS mrr, count(*) AS queries FROM evaluated",
     "kb_with_neighbours": corpus_sql(RATED + f", {KB}, types AS (SELECT DISTINCT type FROM rated), tv AS ({hashed('types', 'type', 'type')}), {kb_ranked('tv', 'type')}"
@@ -65,7 +69,7 @@ ORACLE = {
         SELECT path, seq, r.type, neighbours, best FROM rated r JOIN best b ON r.type = b.type"""),
     "kb_search": f"WITH {KB}, dv AS ({hashed('documents', 'doc_id', 'text')}), {kb_ranked('dv', 'doc_id')}"
         " SELECT doc_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM ranked",
-    "embed_batch": "SELECT doc_id, length(text) || ' ' || (length(text) - length(replace(text, ' ', ''))) || ' ' || (length(text) - length(replace(text, 'e', ''))) AS vec FROM documents",
+    "embed_batch": "SELECT doc_id, length(text) || ' ' || (length(text) - length(replace(text, ' ', ''))) || ' ' || (length(text) - length(replace(text, 'e', ''))) AS vec, 'service' AS origin FROM documents",
     "vectors_append": f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark)
         SELECT id, CAST(round(vec[1] * 1000000) AS BIGINT) AS first FROM ({hashed('t', 'id', 'text')})""",
     "vectors_roundtrip": f"SELECT vec_id AS id, CAST(label AS VARCHAR) AS text, {PRINT.format('list_transform(embedding, lambda e: CAST(e AS DOUBLE))')} AS vec FROM embeddings",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from checks.corpus import corpus_sql
 from checks.oracle_enrich import ALL, RATED, severity
 from checks.oracle_python import FACTS
+from checks.oracle_scan import ORACLE as SCAN_SQL
 from checks.oracle_scan import C_EXTENT, C_LINE, C_SRC, JS_LINE, JS_SRC, SECRET_SQL, hits_cte
 
 ASOF = "TIMESTAMP '2024-01-30 12:00:00'"
@@ -42,10 +43,11 @@ FILE_TOTALS = """SELECT CAST(sum(n + 1) AS BIGINT) AS lines, CAST(sum(length(tex
   FROM (SELECT doc_id, text, length(text) - length(replace(text, chr(10), '')) AS n FROM documents) WHERE """
 
 # .py by secrets and expected syntax findings, .js and .cpp by line rules, vendor folders left out
-SUMMARY = (FACTS + SECRET_SQL + ", src AS (SELECT * FROM corpus WHERE ext IN ('.js', '.cpp'))" + JS_LINE.replace("lines AS", "jlines AS").replace("FROM lines", "FROM jlines").replace("found AS", "jfound AS")
+SUMMARY = (FACTS + SECRET_SQL + ", src AS (SELECT * FROM corpus WHERE ext IN ('.js', '.cpp')), jx AS (" + " UNION ALL ".join(
+    f"SELECT path, type FROM ({SCAN_SQL[name]})" for name in ("js_token_findings", "js_bound_calls", "js_template_sql")) + ")"
            + C_LINE.replace("found AS", "cfound AS") + f""", r AS (SELECT path, {severity("type")} AS severity FROM (
   SELECT path, type FROM rules UNION ALL SELECT path, type FROM secrets WHERE path LIKE '%.py'
-  UNION ALL SELECT path, type FROM jfound WHERE path LIKE '%.js' UNION ALL SELECT path, type FROM cfound WHERE path LIKE '%.cpp')
+  UNION ALL SELECT path, type FROM jx WHERE path LIKE '%.js' UNION ALL SELECT path, type FROM cfound WHERE path LIKE '%.cpp')
   WHERE path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/build/%')""")
 
 ORACLE = {
@@ -77,12 +79,12 @@ ORACLE = {
     "reports_append": corpus_sql(PER_FILE + " SELECT id, filename, summary FROM store"),
     "reports_recent": corpus_sql(PER_FILE + " SELECT id, filename, day, summary FROM store ORDER BY id DESC LIMIT 50"),
     "report_by_id": corpus_sql(PER_FILE + """ SELECT id, filename, '{"high":' || high || ',"medium":' || medium || ',"low":' || low || '}' AS payload FROM store WHERE id = 17"""),
-    "export_nested_json": corpus_sql(C_SRC + C_LINE + " SELECT path, CAST(seq // 1000 AS BIGINT) AS part, string_agg(line || ':' || type || ':' || snippet, chr(10) ORDER BY seq) AS issues FROM found GROUP BY path, seq // 1000"),
+    "export_nested_json": corpus_sql(C_SRC + C_LINE + " SELECT path, part, string_agg(line || ':' || type || ':' || snippet, chr(10) ORDER BY seq) AS issues FROM (SELECT *, CAST((row_number() OVER (PARTITION BY path ORDER BY seq) - 1) // 1000 AS BIGINT) AS part FROM found) GROUP BY path, part"),
     "export_flat_json": corpus_sql(JS_SRC + JS_LINE + """ SELECT path, '{"file":"' || path || '","type":"' || type || '","line":' || line || '}' AS document FROM found"""),
     "export_sarif_results": corpus_sql(SARIF + """ SELECT path, "ruleId", level, CASE message WHEN '' THEN type ELSE message END AS message,
         coalesce("startLine", line) AS "startLine", "startColumn", coalesce("endLine", line) AS "endLine", "endColumn" FROM results"""),
     "export_sarif_documents": corpus_sql(SARIF + """ SELECT path, '2.1.0' AS version, CAST(7 AS BIGINT) AS rules, count(*) AS results, arg_min("ruleId", seq) AS first_rule
-        FROM results GROUP BY path, seq // 1000"""),
+        FROM (SELECT *, (row_number() OVER (PARTITION BY path ORDER BY seq, type, line) - 1) // 1000 AS part FROM results) GROUP BY path, part"""),
     "digest_markdown": corpus_sql(ALL + """, top AS (SELECT * FROM found ORDER BY path, seq LIMIT 10)
         SELECT 0 AS section, '# Scan summary' AS text UNION ALL SELECT 1, '- **' || type || '**: ' || count(*) FROM found GROUP BY type
         UNION ALL SELECT 2, '### First findings' UNION ALL SELECT 3, '- ' || type || ' in `' || path || '`:' || coalesce(CAST(line AS VARCHAR), 'None') || ' - m  ' || chr(10)
@@ -91,13 +93,14 @@ ORACLE = {
         FROM found, (SELECT unnest(['enriched', 'cleaned']) AS stage) GROUP BY ALL"""),
     "expand_archives": """WITH d AS (SELECT doc_id % 5 AS k, source || '/d' || doc_id AS p, text FROM documents)
         SELECT p || '.ZIP' AS archive, 'folder/a.py' AS path, md5(text) AS digest, FALSE AS broken FROM d WHERE k = 0
+        UNION ALL SELECT p || '.ZIP', 'folder/', md5(''), FALSE FROM d WHERE k = 0
         UNION ALL SELECT p || '.ZIP', 'b.js', md5('eval(x);'), FALSE FROM d WHERE k = 0
         UNION ALL SELECT p || '.tar.gz', 'in/a.py', md5(text), FALSE FROM d WHERE k = 1
         UNION ALL SELECT p || '.txt', p || '.txt', md5(text), FALSE FROM d WHERE k = 2
         UNION ALL SELECT p || '.ZIP', p || '.ZIP', NULL, TRUE FROM d WHERE k = 3
         UNION ALL SELECT p || '.tar', p || '.tar', md5(text), FALSE FROM d WHERE k = 4""",
     "decode_text": """SELECT doc_id, 'strict' AS mode, md5(text || chr(10) || '.') AS digest FROM documents WHERE doc_id % 3 <> 0
-        UNION ALL SELECT doc_id, 'lossy', md5(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text || chr(13) || chr(10) || '.' END) FROM documents""",
+        UNION ALL SELECT doc_id, 'lossy', md5(CASE WHEN doc_id % 3 = 0 THEN chr(65533) || text || chr(65533) || '!' ELSE text || chr(13) || chr(10) || '.' END) FROM documents""",
     "scan_files": FILE_TOTALS + "doc_id % 3 < 2",
     "scan_files_flat": FILE_TOTALS + "doc_id % 3 = 0",
     "stream_findings": corpus_sql(hits_cte() + " SELECT path, seq, rule_id, issue FROM hits"),
@@ -107,7 +110,7 @@ ORACLE = {
         f AS (SELECT path, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low, count(*) AS n FROM r GROUP BY path),
         t AS (SELECT CAST(sum(high) AS BIGINT) AS high, CAST(sum(medium) AS BIGINT) AS medium, CAST(sum(low) AS BIGINT) AS low, CAST(sum(n) AS BIGINT) AS total_issues FROM f),
         top AS (SELECT path, 5 * high + 3 * medium + low AS score, n FROM f ORDER BY 2 DESC, 1 LIMIT 3)
-        SELECT high, medium, low, total_issues,
+        SELECT high, medium, low, total_issues, round((5 * high + 3 * medium + low) / (5.0 * total_issues)::DOUBLE, 9) AS score,
           CASE WHEN 10 * (5 * high + 3 * medium + low) >= 35 * total_issues THEN 'High' WHEN 10 * (5 * high + 3 * medium + low) >= 15 * total_issues THEN 'Medium' ELSE 'Low' END AS risk,
           coalesce(nullif(concat_ws(', ', CASE WHEN high > 0 THEN high || ' high-severity issue(s)' END, CASE WHEN medium > 0 THEN medium || ' medium-severity issue(s)' END,
             CASE WHEN low > 0 THEN low || ' low-severity issue(s)' END), '') || '.', 'No issues detected.') AS rationale,

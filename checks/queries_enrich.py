@@ -10,7 +10,7 @@ from riskloom.functions.severity import severity_of, weight_of
 from riskloom.operators import enrich, rollup
 from riskloom.plans import scan
 from riskloom.sources import files as sources
-from riskloom.sources.documents import findings_from_json
+from riskloom.sources.documents import findings_from_json, rejected
 
 
 def all_findings(files):
@@ -62,9 +62,9 @@ def build_prompts(spark, sf_dir):
 
 def canned_backend(prompt: str) -> str:
     """A stand-in backend: fails on prompts without a line, else answers with JSON."""
-    if "\nLine: None\n" in prompt:
+    if " at line unknown\n" in prompt:
         raise RuntimeError("no answer")
-    kind = prompt.split("Issue Type: ", 1)[1].split("\n", 1)[0].replace('"', "")
+    kind = prompt.split("finding: ", 1)[1].split("\n", 1)[0].rsplit(" at line ", 1)[0].replace('"', "")
     return '{"explanation": "about ' + kind + '", "remediation": "do better", "refs": ["https://example.org/a"]}'
 
 
@@ -196,6 +196,15 @@ def findings_from_json_(spark, sf_dir):
     return findings_from_json(finding_documents(spark, sf_dir))
 
 
+def enrich_documents(spark, sf_dir):
+    out = scan.enrich_documents(finding_documents(spark, sf_dir))
+    return out.select("doc_id", "path", "seq", "type", "severity", "llm_used")
+
+
+def findings_rejected(spark, sf_dir):
+    return rejected(finding_documents(spark, sf_dir)).select("doc_id", "body", "reason")
+
+
 def findings_by_file(spark, sf_dir):
     rows = findings_from_json(finding_documents(spark, sf_dir))
     out = rollup.findings_by_file(rows, within=["doc_id"])
@@ -261,6 +270,6 @@ def exclude_globs(spark, sf_dir):
 QUERIES = {f.__name__.rstrip("_"): f for f in [
     severity_map, hint_lookup, explain_template, kb_lookup, merge_references, enrich_findings, build_prompts, enrich_with_backend,
     llm_usage, chat_reply, sanitize_text, valid_url, normalize_refs, sanitize_stats, parse_completions, parse_explanations,
-    parse_embeddings, json_or_raw, findings_from_json_, findings_by_file, severity_counts, risk_by_source, risk_score, risk_bucket, risk_rationale,
+    parse_embeddings, json_or_raw, findings_from_json_, enrich_documents, findings_rejected, findings_by_file, severity_counts, risk_by_source, risk_score, risk_bucket, risk_rationale,
     file_scores, top_files, corpus_summary, type_counts, digest_top10, exclude_vendor, exclude_globs,
 ]}

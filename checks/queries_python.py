@@ -33,7 +33,8 @@ def facts_imports(spark, sf_dir):
 
 
 def facts_functions(spark, sf_dir):
-    return structure.functions(python_files(spark, sf_dir)).select("path", "name", joined(), "docstring", "line")
+    calls = F.array_join(F.array_sort("calls"), " ").alias("calls")
+    return structure.functions(python_files(spark, sf_dir)).select("path", "name", joined(), calls, "docstring", "line")
 
 
 def facts_calls(spark, sf_dir):

@@ -57,6 +57,13 @@ def _evaluated(spark, sf_dir):
     return retrieval.evaluate(ranked, truths)
 
 
+def knn_many(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against all vectors."""
+    rows = vectors(spark, sf_dir)
+    out = retrieval.nearest(rows, rows.where("id % 20 = 0").withColumnRenamed("id", "query"), 5, "l2")
+    return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 def retrieval_eval(spark, sf_dir):
     return _evaluated(spark, sf_dir).select(F.col("query").alias("label"), "hit", F.round("reciprocal_rank", 9).alias("reciprocal_rank"))
 
@@ -85,8 +92,8 @@ def flaky_embedder(texts):
 
 
 def embed_batch(spark, sf_dir):
-    out = retrieval.embed_batch(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), flaky_embedder)
-    return out.select(F.col("id").alias("doc_id"), F.array_join(F.transform("vec", lambda x: x.cast("bigint").cast("string")), " ").alias("vec"))
+    out = retrieval.embed_batch(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), flaky_embedder, dim=3)
+    return out.select(F.col("id").alias("doc_id"), "origin", F.array_join(F.transform("vec", lambda x: x.cast("bigint").cast("string")), " ").alias("vec"))
 
 
 def vectors_append(spark, sf_dir):
@@ -105,5 +112,5 @@ def vectors_roundtrip(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in [
-    hash_embed, knn_cosine, knn_l2, retrieval_eval, retrieval_means, kb_with_neighbours, kb_search, embed_batch, vectors_append, vectors_roundtrip,
+    hash_embed, knn_cosine, knn_l2, knn_many, retrieval_eval, retrieval_means, kb_with_neighbours, kb_search, embed_batch, vectors_append, vectors_roundtrip,
 ]}

@@ -180,7 +180,8 @@ def export_run(spark, sf_dir):
 
 def summary_job(spark, sf_dir):
     files = sources.exclude_vendor(code_corpus(spark, sf_dir).select("path", "content"))
-    return scan.summary(files.where(sources.has_extension(F.col("path"), SOURCE_EXTENSIONS)))
+    out = scan.summary(files.where(sources.has_extension(F.col("path"), SOURCE_EXTENSIONS)))
+    return out.withColumn("score", F.round("score", 9))
 
 
 def pack(rows):
@@ -221,7 +222,8 @@ def expand_archives(spark, sf_dir):
 def decode_text(spark, sf_dir):
     """Every third text gets a bad byte: strict reading drops the file, lossy reading the byte."""
     docs = table(spark, sf_dir, "documents")
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.encode("text", "UTF-8"), F.lit(bytearray(b"\xff!")))).otherwise(F.concat(F.encode("text", "UTF-8"), F.lit(bytearray(b"\r\n."))))
+    genuine = F.encode(F.concat(F.lit("\ufffd"), "text", F.lit("\ufffd")), "UTF-8")  # characters that lossy reading must keep
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(genuine, F.lit(bytearray(b"\xff!")))).otherwise(F.concat(F.encode("text", "UTF-8"), F.lit(bytearray(b"\r\n."))))
     files = docs.select("doc_id", raw.alias("content"))
     both = sources.decode_strict(files).withColumn("mode", F.lit("strict")).unionByName(sources.decode_lossy(files).withColumn("mode", F.lit("lossy")))
     return both.select("doc_id", "mode", F.md5(F.col("content").cast("binary")).alias("digest"))

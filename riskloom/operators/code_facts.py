@@ -141,11 +141,14 @@ def _rule_facts(f: _File, kinds: frozenset) -> Iterator[dict]:
 
 
 def _callee(f: _File, func: ast.AST) -> str:
-    if isinstance(func, ast.Name):
-        return func.id
-    if isinstance(func, ast.Attribute):
-        owner = func.value
-        return f"{getattr(owner, 'id', getattr(owner, 'attr', ''))}.{func.attr}"
+    """S3: the called name; of a method, the last name before the dot, a dot, and the method (no name: nothing before the dot)."""
+    match func:
+        case ast.Name(id=name):
+            return name
+        case ast.Attribute(value=ast.Name(id=owner) | ast.Attribute(attr=owner), attr=method):
+            return f"{owner}.{method}"
+        case ast.Attribute(attr=method):
+            return f".{method}"
     return f.unparse(func)
 
 
@@ -154,7 +157,8 @@ def _function_facts(f: _File, kinds: frozenset) -> Iterator[dict]:
     for node, _ in _preorder(f.tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             if "function" in kinds:
-                yield {"kind": "function", "name": node.name, "args": [a.arg for a in node.args.args], "value": ast.get_docstring(node), "line": node.lineno}
+                called = [_callee(f, c.func) for c in ast.walk(node) if isinstance(c, ast.Call)]
+                yield {"kind": "function", "name": node.name, "args": [a.arg for a in node.args.args], "flags": called, "value": ast.get_docstring(node), "line": node.lineno}
             if "function_call" in kinds:
                 for call in ast.walk(node):
                     if isinstance(call, ast.Call):
@@ -173,9 +177,9 @@ def _flat_facts(f: _File, kinds: frozenset) -> Iterator[dict]:
     for node in ast.walk(f.tree):
         line = getattr(node, "lineno", None)
         if isinstance(node, (ast.Import, ast.ImportFrom)) and "imported" in kinds:
-            module = getattr(node, "module", None)
-            for alias in node.names:
-                yield {"kind": "imported", "name": f"{module}.{alias.name}" if module else alias.name, "line": line}
+            # What a `from` takes is named with its module; dots alone are no module.
+            prefix = [node.module] if isinstance(node, ast.ImportFrom) and node.module else []
+            yield from ({"kind": "imported", "name": ".".join([*prefix, taken.name]), "line": line} for taken in node.names)
         elif isinstance(node, ast.Assign) and "assignment" in kinds:
             for target in node.targets:
                 if isinstance(target, ast.Name):

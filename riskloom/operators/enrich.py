@@ -13,6 +13,7 @@ from riskloom.functions.references import merge_references
 from riskloom.functions.responses import parse_explanation
 from riskloom.functions.severity import severity_of
 from riskloom.operators.retrieval import with_neighbours
+from riskloom.session import stored
 
 ExplainFn = Callable[[str], str]
 
@@ -76,17 +77,16 @@ def prompt_for(issue_type: Column, line: Column, snippet: Column, message: Colum
     if retrieved is not None:
         knowledge = F.concat(knowledge, F.coalesce(retrieved, F.array().cast("array<string>")))
     parts = [
-        F.lit("As a security engineer, explain this code issue in plain words, its impact, a short fix and references."),
-        F.concat(F.lit("Issue Type: "), F.coalesce(issue_type, F.lit("Issue"))),
-        F.concat(F.lit("Line: "), F.coalesce(line.cast("string"), F.lit("None"))),
-        F.concat(F.lit("Snippet: "), F.coalesce(snippet, blank)),
-        F.concat(F.lit("Message: "), F.coalesce(message, blank)),
-        F.lit("Relevant Knowledge:"),
+        F.lit("A scanner flagged the code below. Say what can go wrong, how to repair it, and where to read more."),
+        F.concat(F.lit("finding: "), F.coalesce(issue_type, F.lit("Issue")), F.lit(" at line "), F.coalesce(line.cast("string"), F.lit("unknown"))),
+        F.concat(F.lit("code: "), F.coalesce(snippet, blank)),
+        F.concat(F.lit("scanner's note: "), F.coalesce(message, blank)),
+        F.lit("background:"),
         F.array_join(F.filter(knowledge, lambda k: k.isNotNull() & (k != "")), "\n"),
     ]
     if history is not None:
-        parts += [F.lit("Conversation:"), F.coalesce(history, blank)]
-    parts.append(F.lit("Answer with a JSON object with the keys explanation, fix and references (a list of URLs)."))
+        parts += [F.lit("earlier turns:"), F.coalesce(history, blank)]
+    parts.append(F.lit("Reply in JSON: explanation and fix as texts, references as a list of URLs."))
     return F.concat_ws("\n", *parts)
 
 
@@ -123,9 +123,10 @@ def enrich_with_backend(findings: DataFrame, explain_fn: ExplainFn | None = None
     if explain_fn is None:
         return enrich(findings)
     rest = [c for c in findings.columns if c not in ("type", "line", "snippet", "message")]
-    asked = with_prompts(findings).withColumn("prompt_id", F.sha2("prompt", 256))
+    # Written once: the rules run once, and the prompts that are asked are those that are joined.
+    asked = stored(with_prompts(findings).withColumn("prompt_id", F.sha2("prompt", 256)), "asked")
     prompts = asked.groupBy("prompt_id").agg(F.first("prompt").alias("prompt"))
-    answers = ask(prompts, explain_fn).withColumn("parsed", F.when(F.col("answer").isNotNull(), parse_explanation(F.col("answer"))))
+    answers = stored(ask(prompts, explain_fn), "answers").withColumn("parsed", F.when(F.col("answer").isNotNull(), parse_explanation(F.col("answer"))))
     told = F.coalesce("parsed", explain_offline(F.col("type"), F.col("message"), F.col("snippet")).dropFields("template"))
     return (
         asked.drop("prompt").join(answers, "prompt_id", "left").withColumn("told", told)

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import dims
-from riskloom.operators.rollup import findings_by_file, type_counts
+from riskloom.functions.references import normalise_references
+from riskloom.functions.text import sanitize_text
+from riskloom.operators.rollup import PART, findings_by_file, numbered_parts, type_counts
 
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://schemastore.azurewebsites.net/schemas/json/sarif-2.1.0.json"
 TOOL = "riskloom"
 
 
-def nested_json(findings: DataFrame, within: list[str] = (), part_size: int = 1000) -> DataFrame:
+def nested_json(findings: DataFrame, within: list[str] = (), size: int = PART) -> DataFrame:
     """A10: one JSON object {file: [findings]} per file and part; parts keep a huge file from being one row."""
-    parts = findings_by_file(findings, within, part_size)
+    parts = findings_by_file(findings, within, size)
     issues = F.transform("issues", lambda i: i.dropFields("seq"))
     return parts.select(*within, "path", "part", F.to_json(F.create_map(F.col("path"), issues)).alias("document"))
 
@@ -60,16 +62,15 @@ def rule_descriptors() -> Column:
     ])
 
 
-def sarif_documents(findings: DataFrame, part_size: int = 1000) -> DataFrame:
+def sarif_documents(findings: DataFrame, size: int = PART) -> DataFrame:
     """Complete SARIF documents, each with the rules and a bounded part of one file's results."""
     result = F.struct(
         "seq", "ruleId", "level", F.struct(F.col("message").alias("text")).alias("message"),
         F.array(F.struct(F.struct(
             F.struct(F.col("path").alias("uri")).alias("artifactLocation"),
             F.struct("startLine", "startColumn", "endLine", "endColumn").alias("region")).alias("physicalLocation"))).alias("locations"))
-    parts = sarif_results(findings).groupBy("path", F.floor(F.col("seq") / part_size).alias("part")).agg(
-        F.array_sort(F.collect_list(result)).alias("results"))
-    driver = F.struct(F.lit(TOOL).alias("name"), F.lit("https://example.com").alias("informationUri"), rule_descriptors().alias("rules"))
+    parts = numbered_parts(sarif_results(findings), size=size).groupBy("path", "part").agg(F.array_sort(F.collect_list(result)).alias("results"))
+    driver = F.struct(F.lit(TOOL).alias("name"), rule_descriptors().alias("rules"))
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.transform("results", lambda r: r.dropFields("seq")).alias("results"))
     document = F.struct(F.lit(SARIF_VERSION).alias("version"), F.lit(SARIF_SCHEMA).alias("$schema"), F.array(run).alias("runs"))
     return parts.select("path", "part", F.to_json(document).alias("document"))
@@ -88,16 +89,31 @@ def digest(findings: DataFrame, top: int = 10) -> DataFrame:
         F.concat(F.lit("- **"), "type", F.lit("**: "), F.col("n").cast("string")).alias("text"))
     first = findings.orderBy("path", "seq").limit(top).select(
         F.lit(3).alias("section"), F.lit(0).cast("bigint").alias("rank"), "path", F.col("seq").cast("bigint").alias("seq"),
-        F.concat(F.lit("- "), F.coalesce("type", F.lit("")), F.lit(" in `"), "path", F.lit("`:"), F.coalesce(F.col("line").cast("string"), F.lit("None")),
+        F.concat(F.lit("- "), F.coalesce("type", F.lit("")), F.lit(" in `"), "path", F.lit("`:"), F.coalesce(_or(F.col("line"), *[F.col("startLine")] * ("startLine" in findings.columns)).cast("string"), F.lit("None")),
                  F.lit(" - "), F.coalesce("message", F.lit("")), F.lit("  \n  ```\n  "), F.coalesce("snippet", F.lit("")), F.lit("\n  ```")).alias("text"))
-    lines = title(0, "# Scan summary").unionByName(counted).unionByName(title(2, "### First findings")).unionByName(first)
+    # The same aggregation as for the counts, so Spark runs its shuffle once.
+    none = counted.agg(F.count("*").alias("n")).where("n = 0").select(
+        F.lit(1).alias("section"), F.lit(0).cast("bigint").alias("rank"), *nothing, F.lit("No issues found.").alias("text"))
+    head = counted.agg(F.count("*").alias("n")).where("n > 0").select(
+        F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("rank"), *nothing, F.lit("### First findings").alias("text"))
+    lines = title(0, "# Scan summary").unionByName(counted).unionByName(none).unionByName(head).unionByName(first)
     return lines.orderBy("section", "rank", "path", "seq").select("section", "text")
 
 
-def write_run(enriched: DataFrame, root: str, run_ts: str) -> None:
-    """An enriched run as JSON lines under its time stamp, with the cleaned twin next to it."""
-    from riskloom.functions.text import sanitize_text
+def cleaned(enriched: DataFrame) -> DataFrame:
+    """Enriched findings with cleaned texts and only valid references, as objects of URL and description."""
+    texts = {c: sanitize_text(F.col(c)) for c in ("explanation", "fix", "message", "snippet") if c in enriched.columns}
+    if "references" in enriched.columns:
+        texts["references"] = normalise_references(F.to_json("references"), cleaning=True)
+    return enriched.withColumns(texts)
+
 
-    enriched.write.mode("errorifexists").json(f"{root}/stage=enriched/run_ts={run_ts}")
-    cleaned = enriched.withColumns({c: sanitize_text(F.col(c)) for c in ("explanation", "fix", "message", "snippet") if c in enriched.columns})
-    cleaned.write.mode("errorifexists").json(f"{root}/stage=cleaned/run_ts={run_ts}")
+def write_run(enriched: DataFrame, root: str, run_ts: str) -> None:
+    """An enriched run as JSON lines under its time stamp, and its cleaned twin, made of the written lines.
+
+    The job runs once, so a backend is asked once and both hold its same answers.
+    """
+    first = f"{root}/stage=enriched/run_ts={run_ts}"
+    enriched.write.mode("errorifexists").json(first)
+    back = enriched.sparkSession.read.schema(enriched.schema).json(first)
+    cleaned(back).write.mode("errorifexists").json(f"{root}/stage=cleaned/run_ts={run_ts}")

@@ -12,7 +12,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import DIALECT, DIALECT_CI, MARK, folded, let, located_matches, matches, split_lines, strip
+from riskloom.functions.text import dialect, folded, let, located_matches, matches, placed_matches, split_lines, strip
 from riskloom.operators.findings import context_of
 from riskloom.operators.line_rules import C_NAMES
 
@@ -107,50 +107,6 @@ def at(snippets: Column, line: Column) -> Column:
     return F.coalesce(F.try_element_at(snippets, line), F.lit(""))
 
 
-BLOCK = 256
-
-
-def running_sums(numbers: Column) -> Column:
-    """Sums of the first 1, 2, ... numbers of an array.
-
-    Block by block, so that a minified line with tens of thousands of matches
-    costs n * sqrt(n) and not n * n.
-    """
-    def total(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
-
-    def with_blocks(xs: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(BLOCK))
-        return let(F.transform(starts, lambda at: total(F.slice(xs, at, F.lit(BLOCK)))), lambda sums: with_heads(xs, sums))
-
-    def with_heads(xs: Column, sums: Column) -> Column:
-        heads = F.transform(sums, lambda _, b: F.when(b == 0, 0).otherwise(total(F.slice(sums, F.lit(1), F.greatest(b, F.lit(1))))))
-        return let(heads, lambda before: F.transform(xs, lambda _, j: (
-            F.get(before, F.floor(j / BLOCK).cast("int"))
-            + total(F.slice(xs, (F.floor(j / BLOCK) * BLOCK + 1).cast("int"), j % BLOCK + 1)))))
-
-    return let(numbers, with_blocks)
-
-
-def placed_matches(text: Column, pattern: str) -> Column:
-    """located_matches with the 1-based column as well: array<struct<line, column, text>>."""
-    regex = DIALECT + pattern
-    clean = F.replace(text, F.lit(MARK), F.lit(""))
-    marked = F.regexp_replace(clean, F.lit(regex), F.lit(MARK + "$0"))
-
-    def places(piece: Column, pos: Column) -> Column:
-        widths = F.transform(F.split(piece, MARK, -1), lambda part: F.length(part))
-        starts = let(widths, lambda w: running_sums(F.slice(w, F.lit(1), F.size(w) - 1)))
-        return F.transform(starts, lambda c: F.struct((pos + 1).cast("int").alias("line"), (c + 1).alias("column")))
-
-    spots = F.flatten(F.transform(F.filter(
-        F.transform(F.split(marked, "\n", -1), lambda piece, i: F.struct(piece.alias("piece"), i.alias("pos"))),
-        lambda s: F.contains(s["piece"], F.lit(MARK))), lambda s: places(s["piece"], s["pos"])))
-    texts = F.regexp_extract_all(clean, F.lit(regex), F.lit(0))
-    return F.transform(F.arrays_zip(spots.alias("at"), texts.alias("text")), lambda z: F.struct(
-        z["at"]["line"].alias("line"), z["at"]["column"].alias("column"), z["text"].alias("text")))
-
-
 NOT_MEMBER = r"(?<![\w$.])"
 REGEXP_LITERAL = r"""\bnew\s+RegExp\s*\(\s*(?:"[^"\n]*\.\*[^"\n]*"|'[^'\n]*\.\*[^'\n]*')"""
 # (rule, column to search, text it must hold, pattern, type, message)
@@ -179,7 +135,7 @@ CALL_SITE = r"(?<![\w$.])(?<!\bfunction )[A-Za-z_$][\w$]*+\s*\("
 
 def js_bound_calls(files: DataFrame) -> DataFrame:
     """JX3, J7: calls of names bound from child_process. The semi-join stays within the file's row."""
-    lists = F.regexp_extract_all("uncommented", F.lit(DIALECT + BINDING), F.lit(1))
+    lists = F.regexp_extract_all("uncommented", F.lit(dialect(BINDING)), F.lit(1))
     names = F.filter(
         F.transform(F.flatten(F.transform(lists, lambda l: F.split(l, ","))), lambda p: strip(F.substring_index(p, ":", 1))),
         lambda n: n != "")
@@ -201,13 +157,23 @@ def js_template_sql(files: DataFrame) -> DataFrame:
     literals = located_matches(F.col("uncommented"), TEMPLATE)
     pieces = F.flatten(F.transform(literals, lambda m: F.transform(
         F.split(m["text"], r"\$\{[^}]*\}", -1), lambda p: F.struct(m["line"].alias("line"), p.alias("piece")))))
-    hits = F.filter(pieces, lambda p: F.rlike(p["piece"], F.lit(DIALECT_CI + SQL_PIECE)))
+    hits = F.filter(pieces, lambda p: F.rlike(p["piece"], F.lit(dialect(SQL_PIECE, ci=True))))
     found = let(stripped_lines(), lambda lines: F.transform(hits, lambda h, i: F.struct(
         (i + 1).alias("seq"), F.lit("JX5").alias("rule_id"), F.lit("Possible SQL Injection").alias("type"), h["line"].alias("line"),
         at(lines, h["line"]).alias("snippet"))))
     return with_code_text(files, "`").select("path", F.inline(found))
 
 
+def js_tree_findings(files: DataFrame) -> DataFrame:
+    """JX1-JX5 as findings (path, seq, rule_id, type, line, snippet, message); seq follows line order, then rule order."""
+    columns = ["path", "rule_id", "type", "line", "snippet", "message"]
+    bound = js_bound_calls(files).withColumn("message", F.concat(F.col("name"), F.lit("() runs a command through child_process.")))
+    sql = js_template_sql(files).withColumn("message", F.lit("SQL text is put together in a template literal; bind its values instead."))
+    found = js_token_findings(files).select(columns).unionByName(bound.select(columns)).unionByName(sql.select(columns))
+    order = (F.col("line").cast("bigint") * 10 + F.substring("rule_id", 3, 1).cast("int")).alias("seq")
+    return found.select("path", order, *columns[1:])
+
+
 C_CALL = r"\b(?:" + "|".join(C_NAMES) + r")\s*\("
 
 

@@ -1,8 +1,8 @@
 """Exact nearest neighbours and their evaluation.
 
 Search is exact, so every (query, vector) score is computed, but no pair is
-ever a row: the smaller side is held by each task as a matrix, the other side
-streams through in Arrow batches, and a task keeps only its best k.
+ever a row: blocks of queries meet blocks of vectors, and of each meeting only
+the best k are kept.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from riskloom import dims
 from riskloom.functions.vectors import EPSILON, HASH_DIM, hash_embed
-from riskloom.session import scratch_dir
 
 EmbedFn = Callable[[list[str]], list[list[float]]]
 
-MAX_HELD = 1024  # rows that a task holds as a matrix
+BLOCK_BYTES = 2 << 20  # of numbers in a block of vectors
 MAX_CELLS = 4_000_000  # scores that a task holds at a time
 SCORE_DIGITS = 9  # equal vectors must tie whatever the summation order, so scores are rounded; ties go to the smaller id
 
@@ -51,80 +50,58 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64")
 
 
-def _hold_queries(vectors: DataFrame, held: list, kind: str, k: int, metric: str) -> DataFrame:
-    """Each task's best k for a bounded set of queries, while the vectors stream through."""
-    names = [r["query"] for r in held]
-    matrix = vectors.sparkSession.sparkContext.broadcast(np.array([r["vec"] for r in held], dtype="float64"))
-    step = max(k, MAX_CELLS // len(held))
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (name, vec) as blocks (names, matrix): up to BLOCK_BYTES of numbers each, in the order they come."""
+    kind = dict(rows.dtypes)[name]
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in batches:
-            for start in range(0, len(batch), step):
-                piece = batch.iloc[start:start + step]
-                scores = _scores(matrix.value, _stack(piece["vec"]), metric)
-                ids = np.broadcast_to(piece["id"].to_numpy(), scores.shape)
-                if best is not None:
-                    scores, ids = np.hstack([best[0], scores]), np.hstack([best[1], ids])
-                best = _best(scores, ids, k, metric)
-        if best is not None:
-            yield pd.DataFrame({"query": np.repeat(np.array(names), best[0].shape[1]), "id": best[1].ravel(), "score": best[0].ravel()})
-
-    return vectors.select("id", "vec").mapInPandas(search, f"query {kind}, id {dict(vectors.dtypes)['id']}, score double")
-
-
-def _hold_vectors(queries: DataFrame, held: list, kind: str, k: int, metric: str) -> DataFrame:
-    """Final best k of each query, while the queries stream past a bounded set of vectors."""
-    names = np.array([r["id"] for r in held])
-    matrix = queries.sparkSession.sparkContext.broadcast(np.array([r["vec"] for r in held], dtype="float64"))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names: list = []
+        vectors: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            if batch.empty:
-                continue
-            scores = _scores(_stack(batch["vec"]), matrix.value, metric)
-            scores, ids = _best(scores, np.broadcast_to(names, scores.shape), k, metric)
-            yield pd.DataFrame({"query": np.repeat(batch["query"].to_numpy(), scores.shape[1]), "id": ids.ravel(), "score": scores.ravel()})
+            for key, vec in zip(batch[name], batch["vec"], strict=True):
+                names.append(key)
+                vectors.append(np.asarray(vec, dtype="float64"))
+                size += vectors[-1].nbytes
+                if size >= BLOCK_BYTES:
+                    yield pd.DataFrame({"names": [names], "matrix": [np.stack(vectors).tobytes()]})
+                    names, vectors, size = [], [], 0
+        if names:
+            yield pd.DataFrame({"names": [names], "matrix": [np.stack(vectors).tobytes()]})
 
-    return queries.select("query", "vec").mapInPandas(search, f"query {dict(queries.dtypes)['query']}, id {kind}, score double")
+    return rows.select(name, "vec").mapInPandas(pack, f"names array<{kind}>, matrix binary")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosine", max_held: int = MAX_HELD) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosine") -> DataFrame:
     """R2 (cosine) and R3 (l2): (query, rank, id, score), the k best vectors of each query.
 
-    Takes vectors(id, vec) and queries(query, vec) of any size.  The side that
-    counts at most `max_held` rows is held.  If both are larger, the queries
-    are written once and searched in hash shares of about that size, one scan
-    of the vectors each, so what is broadcast stays bounded and no query or
-    vector is left out.
+    Takes vectors(id, vec) and queries(query, vec) of any size, in one job of one shape.  Both are
+    packed into blocks of bounded bytes; every query block meets every vector block in a cell of a
+    grid (an equi-join, whose smaller side AQE may broadcast), where a task computes the block of
+    scores and keeps the k best of each query.  A ranked limit merges those.
     """
-    spark = vectors.sparkSession
     kind, id_kind = dict(queries.dtypes)["query"], dict(vectors.dtypes)["id"]
     better = F.desc("score") if metric == "cosine" else F.asc("score")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(better, "id"))
+    cells = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = lambda: F.pmod(F.xxhash64("matrix"), F.lit(cells))
+    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    asked = _packed(queries, "query").select(F.col("names").alias("asked"), F.col("matrix").alias("q"), every.alias("cell"))
+    held = _packed(vectors, "id").select(F.col("names").alias("held"), F.col("matrix").alias("v"), place().alias("cell"))
 
-    def ranked(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
-
-    held = queries.select("query", "vec").limit(max_held + 1).collect()
-    if not held:
-        return spark.createDataFrame([], f"query {kind}, rank int, id {id_kind}, score double")
-    if len(held) <= max_held:
-        return ranked(_hold_queries(vectors, held, kind, k, metric))
-
-    few = vectors.select("id", "vec").limit(max_held + 1).collect()
-    if len(few) <= max_held:
-        return ranked(_hold_vectors(queries, few, id_kind, k, metric))
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for asked, q, held, v in zip(batch["asked"], batch["q"], batch["held"], batch["v"], strict=True):
+                q, v = (np.frombuffer(m).reshape(len(n), -1) for m, n in ((q, asked), (v, held)))
+                step = max(1, MAX_CELLS // len(held))
+                for start in range(0, len(asked), step):
+                    scores = _scores(q[start:start + step], v, metric)
+                    best, ids = _best(scores, np.broadcast_to(np.asarray(held), scores.shape), k, metric)
+                    yield pd.DataFrame({"query": np.repeat(np.asarray(asked[start:start + step]), best.shape[1]), "id": ids.ravel(), "score": best.ravel()})
 
-    stored, results = scratch_dir(spark, "queries"), scratch_dir(spark, "nearest")
-    queries.select("query", "vec").write.parquet(stored)
-    queries = spark.read.parquet(stored)
-    shares = -(-2 * queries.count() // max_held)  # half full on average, so that uneven shares still fit
-    for i in range(shares):
-        held = queries.where(F.pmod(F.xxhash64("query"), F.lit(shares)) == i).collect()
-        if held:
-            ranked(_hold_queries(vectors, held, kind, k, metric)).write.mode("append").parquet(results)
-    return spark.read.parquet(results)
+    met = asked.join(held, "cell").select("asked", "q", "held", "v")
+    found = met.mapInPandas(search, f"query {kind}, id {id_kind}, score double")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
 def kb_vectors(spark) -> DataFrame:
@@ -146,42 +123,52 @@ def kb_neighbours(texts: DataFrame, text: str, k: int = 3) -> DataFrame:
         for batch in batches:
             if batch.empty:
                 continue
-            scores = _scores(_stack(batch.pop("__vec")), matrix, "cosine")
+            which, texts = pd.factorize(batch[text].fillna(""))  # equal texts are searched once a batch
+            first = batch.pop("__vec").groupby(which).first()
+            scores = _scores(_stack(first), matrix, "cosine")
             scores, at = _best(scores, np.broadcast_to(np.arange(len(ids)), scores.shape), k, "cosine")
-            yield batch.assign(retrieved=[
-                [{"id": ids[j], "score": float(s), "text": notes[j]} for s, j in zip(row, where)] for row, where in zip(scores, at)])
+            found = [[{"id": ids[j], "score": float(s), "text": notes[j]} for s, j in zip(row, where)] for row, where in zip(scores, at)]
+            yield batch.assign(retrieved=[found[w] for w in which])
 
     return texts.withColumn("__vec", hash_embed(F.col(text))).mapInPandas(search, schema)
 
 
 def with_neighbours(findings: DataFrame, k: int = 3) -> DataFrame:
-    """Retrieval runs once per distinct type; the join back is left to AQE, which splits a hot type."""
-    types = findings.select(F.coalesce("type", F.lit("")).alias("__type")).distinct()
-    near = kb_neighbours(types, "__type", k)
-    return findings.join(near, F.coalesce("type", F.lit("")) == F.col("__type"), "left").drop("__type")
+    """Adds the neighbours of each finding's type as the rows stream by; the rules behind them run once."""
+    typed = findings.withColumn("__type", F.coalesce("type", F.lit("")))
+    return kb_neighbours(typed, "__type", k).drop("__type")
 
 
 def embed_batch(texts: DataFrame, embed_fn: EmbedFn | None = None, dim: int = HASH_DIM) -> DataFrame:
-    """(id, text) -> (id, text, vec) by an injected batch function; batches it fails on get the hash embedding."""
+    """(id, text) -> (id, text, vec, origin) by an injected batch function; all vectors have `dim` numbers.
+
+    A text that the function refuses, or gives another number of numbers, gets the hash embedding (origin
+    `hash`).  A refused batch is asked again text by text, so the result does not depend on how rows are batched.
+    """
     hashed = hash_embed(F.col("text"), dim)
     if embed_fn is None:
-        return texts.select("id", "text", hashed.alias("vec"))
+        return texts.select("id", "text", hashed.alias("vec"), F.lit("hash").alias("origin"))
+
+    def ask(several: list[str]) -> list[list[float] | None]:
+        try:
+            vectors = [list(map(float, v)) for v in embed_fn(several)]
+            if len(vectors) == len(several):
+                return [v if len(v) == dim else None for v in vectors]
+        except Exception:  # asked one by one, or falls back
+            pass
+        return [None] if len(several) == 1 else [v for text in several for v in ask([text])]
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                vectors = [list(map(float, v)) for v in embed_fn(list(batch["text"]))]
-            except Exception:  # the whole batch falls back
-                vectors = [None] * len(batch)
-            yield batch.assign(vec=vectors)
+            yield batch.assign(vec=ask(list(batch["text"])) if len(batch) else [])
 
     served = texts.select("id", "text").mapInPandas(call, f"id {dict(texts.dtypes)['id']}, text string, vec array<double>")
-    return served.withColumn("vec", F.coalesce("vec", hashed))
+    return served.select("id", "text", F.coalesce("vec", hashed).alias("vec"), F.when(F.col("vec").isNull(), "hash").otherwise("service").alias("origin"))
 
 
 def add_entries(vectors: DataFrame, entries: DataFrame, embed_fn: EmbedFn | None = None) -> DataFrame:
     """The table with newly embedded (id, text) rows; nothing is embedded again."""
-    return vectors.unionByName(embed_batch(entries, embed_fn))
+    return vectors.select("id", "text", "vec").unionByName(embed_batch(entries, embed_fn).select("id", "text", "vec"))
 
 
 def save_vectors(vectors: DataFrame, path: str) -> None:

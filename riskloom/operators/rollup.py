@@ -6,7 +6,7 @@ or type may hold any share of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.severity import weight_of
@@ -95,15 +95,25 @@ def usage_counts(enriched: DataFrame) -> DataFrame:
         F.count_if(F.col("llm_used") == "online").alias("online"), F.count_if(F.col("llm_used") == "offline").alias("offline"))
 
 
-def findings_by_file(findings: DataFrame, within: list[str] = (), part_size: int = 1000) -> DataFrame:
-    """G1, A10: findings of a file as an ordered array, in parts of bounded length.
+PART = 1000
 
-    `seq` numbers a file's findings (inside its document, if `within` names
-    one), so `seq div part_size` bounds every group no matter how many findings
-    one file (or `<unknown>`) has; parts ordered by number make up the whole list.
+
+def numbered_parts(rows: DataFrame, within: list[str] = (), size: int = PART) -> DataFrame:
+    """Add `part`: the rows of a file, counted in the order of `seq`, in parts of `size` rows.
+
+    Counted by a window, which streams sorted rows and holds none of them; ties in `seq` go by type and line.
+    """
+    order = Window.partitionBy(*within, "path").orderBy("seq", *[c for c in ("type", "line") if c in rows.columns])
+    return rows.withColumn("part", F.floor((F.row_number().over(order) - 1) / size))
+
+
+def findings_by_file(findings: DataFrame, within: list[str] = (), size: int = PART) -> DataFrame:
+    """G1, A10: findings of a file as ordered arrays of at most `size`; the parts in order are the whole list.
+
+    A file, inside its document if `within` names one, may have any number of findings.
     """
     issue = F.struct("seq", "type", "line", "snippet")
     return (
-        findings.groupBy(*within, "path", F.floor(F.col("seq") / part_size).alias("part"))
+        numbered_parts(findings, within, size).groupBy(*within, "path", "part")
         .agg(F.array_sort(F.collect_list(issue)).alias("issues"))
     )

@@ -17,7 +17,9 @@ def imports(files: DataFrame) -> DataFrame:
 
 
 def functions(files: DataFrame) -> DataFrame:
-    return code_facts(files, ("function",)).select("path", "visit_seq", "name", "args", F.col("value").alias("docstring"), "line")
+    """Functions with their arguments, docstring and the names they call, breadth first, repeats included."""
+    calls = F.coalesce("flags", F.array().cast("array<string>"))
+    return code_facts(files, ("function",)).select("path", "visit_seq", "name", "args", calls.alias("calls"), F.col("value").alias("docstring"), "line")
 
 
 def function_calls(files: DataFrame) -> DataFrame:
@@ -60,10 +62,6 @@ def control_flow(files: DataFrame) -> DataFrame:
     return code_facts(files, ("control",)).select("path", "visit_seq", F.col("name").alias("type"), "value", "line")
 
 
-def kind_counts(files: DataFrame) -> DataFrame:
-    return code_facts(files).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 def import_popularity(files: DataFrame) -> DataFrame:
     """In how many files each name is imported. Two plain counts, no set of paths is collected."""
     per_file = code_facts(files, ("imported",)).groupBy("name", "path").agg(F.count(F.lit(1)).alias("times"))

@@ -41,6 +41,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` below the shared folder and read it back: it is computed once, and a lost executor costs no second run."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for a scan that yields fewer partitions than there are cores.
 

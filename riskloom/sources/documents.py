@@ -13,7 +13,7 @@ def findings_from_json(documents: DataFrame, body: str = "body") -> DataFrame:
     """Map form {file: [finding]} and flat form [finding with `file`], told apart by the parsed JSON type.
 
     Keeps the other columns; adds path, file_ord, seq and the finding's fields.
-    A body that is not JSON, or neither form, gives no rows.
+    A body that is not JSON, or neither form, gives no rows here: see `rejected`.
     """
     rest = [c for c in documents.columns if c != body]
     kind = F.schema_of_variant(F.try_parse_json(F.col(body)))
@@ -34,3 +34,13 @@ def findings_from_json(documents: DataFrame, body: str = "body") -> DataFrame:
         .select(*rest, "path", "file_ord", "seq", *fields)
     )
     return flat_rows.unionByName(map_rows)
+
+
+def rejected(documents: DataFrame, body: str = "body") -> DataFrame:
+    """The documents that `findings_from_json` cannot read, with all their columns and the `reason`."""
+    parsed = F.try_parse_json(F.col(body))
+    kind = F.schema_of_variant(parsed)
+    reason = (
+        F.when(F.col(body).isNull(), "no document").when(parsed.isNull(), "not JSON")
+        .when(~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"), "neither an object nor a list"))
+    return documents.withColumn("reason", reason).where(F.col("reason").isNotNull())

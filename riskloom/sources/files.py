@@ -67,10 +67,23 @@ def decode_strict(files: DataFrame) -> DataFrame:
     return valid.withColumn("content", F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n"))
 
 
+REPLACEMENT = "\ufffd"
+REPLACEMENT_BYTES = "\xef\xbf\xbd"  # its UTF-8 bytes, each as a character
+
+
 def decode_lossy(files: DataFrame) -> DataFrame:
-    """Drop undecodable bytes. A genuine U+FFFD goes with them."""
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.withColumn("content", F.replace(text, F.lit("\ufffd"), F.lit("")))
+    """Drop undecodable bytes, and only those.
+
+    Valid text is taken as it is.  Other bytes are cut at genuine replacement
+    characters, so those that mark a dropped byte can be told from them.
+    """
+    def cleaned(piece: Column) -> Column:
+        return F.replace(F.make_valid_utf8(F.encode(piece, "ISO-8859-1").cast("string")), F.lit(REPLACEMENT), F.lit(""))
+
+    text = F.col("content").cast("string")
+    pieces = F.split(F.decode("content", "ISO-8859-1"), REPLACEMENT_BYTES, -1)
+    mended = F.array_join(F.transform(pieces, cleaned), REPLACEMENT)
+    return files.withColumn("content", F.when(F.is_valid_utf8(text), text).otherwise(mended))
 
 
 def snippets(pasted: DataFrame, default_name: str = "pasted.py") -> DataFrame:
@@ -95,9 +108,7 @@ def _members(name: str, data: bytes) -> Iterator[tuple]:
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 for info in z.infolist():
-                    if info.is_dir():
-                        continue
-                    try:
+                    try:  # a folder entry counts as an empty file
                         yield name, info.filename, z.read(info), None
                     except Exception:  # an unreadable member is skipped, the others still count
                         continue
@@ -105,16 +116,14 @@ def _members(name: str, data: bytes) -> Iterator[tuple]:
             yield name, None, None, str(e)
         return
     if lower.endswith((".tar", ".tgz", ".tar.gz")):
-        done = []
         try:
             with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                for member in t.getmembers():
+                for member in t:
                     if member.isreg():
-                        done.append((name, member.name, t.extractfile(member).read(), None))
-            yield from done
+                        yield name, member.name, t.extractfile(member).read(), None
             return
-        except Exception:  # members read before the break count; then the bytes pass as plain text
-            yield from done
+        except Exception:  # members before the break count; then the bytes pass as plain text
+            pass
     yield name, name, data, None
 
 

@@ -6,92 +6,84 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions.severity import severity_of
-from riskloom.operators import enrich, file_rules, line_rules, python_rules, rollup
+from riskloom.operators import enrich, export, file_rules, line_rules, python_rules, rollup
 from riskloom.plans import scan
 
-INSECURE = '''# exercises the rules
-import subprocess
-import pickle
-import hashlib
+EXPORTER = '''"""Nightly export of invoices."""
 import re
+import hashlib, pickle
+from pathlib import Path
+import subprocess
+
+
+class Store:
+    passwd = "kestrel-41"
+
+    def __init__(self, cursor):
+        self.cursor = cursor
+        apikey = 'zz-made-up-zz-01'
+        self.mark = "invented_mark_of_24_chars"
+
+    def totals(self, customer):
+        text = "SELECT total FROM invoices WHERE customer = " + customer
+        self.cursor.execute(text)
+        return self.cursor.fetchall()
+
 
-password = "walrus9"
-API_KEY = "NOT-A-REAL-KEY-000111222"
-
-# a
-text_in = "2 + 2"
-res = eval(text_in)
-
-# b
-subprocess.run("ls -l", shell=True)
-
-# c
-# d
-# e
-try:
-    obj = pickle.loads(b"zzz")
-except Exception:
-    pass
-
-# f
-h = hashlib.md5(b"zzz").hexdigest()
-
-# g
-pat = re.compile('.*')
-
-# h
-query = "SELECT a FROM b WHERE c = '" + text_in + "'"
-# i
-cursor = None
-try:
-    cursor.execute(query)
-except Exception:
-    pass
+def load(folder):
+    return [pickle.loads(p.read_bytes()) for p in Path(folder).glob("*.bin")]
+
+
+def label(record):
+    if re.search(".*", record["number"]):
+        return eval(record["rule"])
+    return hashlib.sha1(record["number"].encode()).hexdigest()
+
+
+def publish(path):
+    subprocess.call("cp " + path + " /srv/out", shell=True)
 '''
-INSECURE_FOUND = [
-    ("Hardcoded Secret", 7), ("Hardcoded Secret", 8), ("Possible Hardcoded Token", 8), ("Insecure Function Usage", 12),
-    ("Suspicious Subprocess Call", 15), ("Insecure Function Usage", 21), ("Dangerous Import", 2), ("Deprecated Hash", 26),
-    ("Possible SQL Injection", 36), ("Insecure Regex", 29),
+EXPORTER_FOUND = [
+    ("Hardcoded Secret", 9), ("Hardcoded Secret", 13), ("Possible Hardcoded Token", 14),
+    ("Insecure Function Usage", 23), ("Insecure Function Usage", 28), ("Suspicious Subprocess Call", 33), ("Dangerous Import", 5),
+    ("Deprecated Hash", 29), ("Possible SQL Injection", 18), ("Insecure Regex", 27),
 ]
 
-SQL = '''# sample
-who = "admin"
-name = who
-sql = f"SELECT id FROM accounts WHERE name = '{name}'"
-# no parameters
-try:
-    cursor.execute(sql)
-except Exception:
-    pass
-'''
-JS = '''// sample
-const { exec } = require('child_process');
+LOOKUP = '''def visits(cursor, guest):
+    wanted = f"SELECT day FROM visits WHERE guest = {guest}"
+    cursor.execute(wanted)
+
 
-const secret = "NOT_REAL_JS_KEY_000111222";
+def all_visits(cursor):
+    cursor.execute("SELECT day FROM visits")
+'''
+SERVER_JS = '''import http from "http";
 
-// a
-const s = "1 + 1";
-eval(s);
+const settings = { retries: 3, secret: "invented-server-secret-77" };
+const { exec } = require("child_process");
 
-// b
-exec('ls -l', (err, out) => {
-  // nothing
-});
+function find(db, id) {
+  return db.run("DELETE FROM carts WHERE id = " + id);
+}
 
-// c
-const name = "admin";
-const query = "SELECT * FROM t WHERE n = '" + name + "'";
+http.createServer((req, res) => {
+  exec("uptime", (error, text) => res.end(text));
+  if (req.url.length > 99) eval(req.url);
+}).listen(8080);
 '''
-CPP = '''#include <stdio.h>
-#include <string.h>
-
-int main() {
-    char buf[10];
-    strcpy(buf, "this is too long for the buffer");
-    system("ls -l");
-    const char *password = "cpp_not_real_1";
-    return 0;
+GREETER_CPP = '''#include <cstdio>
+#include <cstring>
+#include <cstdlib>
+
+static const char *api_key = "invented-77";
+
+void greet(char *out, const char *who) {
+  sprintf(out, "hello %s", who);
+  char copy[8];
+  strcpy(copy, who);
 }
+
+int main(int n, char **args) { return system(args[n - 1]); }
 '''
 
 
@@ -100,8 +92,8 @@ def ordered(df, *keys):
 
 
 def test_python_findings_in_detector_order(files):
-    found = python_rules.analyze_python(files(("insecure.py", INSECURE)))
-    assert ordered(found, "detector", "seq") == INSECURE_FOUND
+    found = python_rules.analyze_python(files(("exporter.py", EXPORTER)))
+    assert ordered(found, "detector", "seq") == EXPORTER_FOUND
 
 
 def test_mended_sql_rules(files):
@@ -112,30 +104,33 @@ def test_mended_sql_rules(files):
     assert sorted((r.rule_id, r.line) for r in mended.collect()) == [("P7", 4), ("P8", 3), ("P9", 2)]
 
 
-def test_risk_of_the_insecure_file(files):
-    source = files(("insecure.py", INSECURE))
+def test_risk_of_a_file(files):
+    source = files(("exporter.py", EXPORTER))
     found = python_rules.analyze_python(source).withColumn("severity", severity_of(F.col("type")))
     row = rollup.risk_summary(found).first()
     assert (row.high, row.medium, row.low, row.total_issues) == (4, 6, 0, 10)
     assert (row.score, row.score_2dp, row.risk) == (pytest.approx(0.76), 0.76, "High")
     assert row.rationale == "4 high-severity issue(s), 6 medium-severity issue(s)."
     score = rollup.top_files(rollup.file_scores(found, source)).first()
-    assert (score.path, score.score, score.issues) == ("insecure.py", 38, 10)
+    assert (score.path, score.score, score.issues) == ("exporter.py", 38, 10)
 
 
 def test_sql_js_cpp(files):
-    assert ordered(python_rules.analyze_python(files(("a.py", SQL))), "detector", "seq") == [("Possible SQL Injection", 7)]
-    assert ordered(python_rules.analyze_python(files(("a.js", JS))), "detector", "seq") == [("Possible Hardcoded Token", 4)]
-    assert ordered(python_rules.analyze_python(files(("a.cpp", CPP))), "detector", "seq") == [("Hardcoded Secret", 8)]
-    assert ordered(line_rules.js_line_findings(files(("a.js", JS))), "seq") == [
-        ("Hardcoded Secret", 4), ("Insecure Function Usage", 8), ("Suspicious Subprocess Call", 11), ("Possible SQL Injection", 17)]
-    assert ordered(line_rules.cpp_line_findings(files(("a.cpp", CPP))), "seq") == [
-        ("Dangerous Function", 6), ("Dangerous Function", 7), ("Hardcoded Secret", 8)]
+    assert ordered(python_rules.analyze_python(files(("a.py", LOOKUP))), "detector", "seq") == [("Possible SQL Injection", 3), ("Possible SQL Injection", 7)]
+    assert ordered(python_rules.analyze_python(files(("a.js", SERVER_JS))), "detector", "seq") == [("Possible Hardcoded Token", 3)]
+    assert ordered(python_rules.analyze_python(files(("a.cpp", GREETER_CPP))), "detector", "seq") == [("Hardcoded Secret", 5)]
+    assert ordered(line_rules.js_line_findings(files(("a.js", SERVER_JS))), "seq") == [
+        ("Hardcoded Secret", 3), ("Possible SQL Injection", 7), ("Suspicious Subprocess Call", 11), ("Insecure Function Usage", 12)]
+    assert ordered(line_rules.cpp_line_findings(files(("a.cpp", GREETER_CPP))), "seq") == [
+        ("Hardcoded Secret", 5), ("Dangerous Function", 8), ("Dangerous Function", 10), ("Dangerous Function", 13)]
 
 
 def test_analyze_routes_by_suffix(files):
-    found = scan.analyze(files(("a.py", SQL), ("b.JS", JS), ("c.cpp", CPP), ("d.txt", JS)))
-    assert {r.path: r["count"] for r in found.groupBy("path").count().collect()} == {"a.py": 1, "b.JS": 4, "c.cpp": 3}
+    made = files(("a.py", LOOKUP), ("b.JS", SERVER_JS), ("c.cpp", GREETER_CPP), ("d.txt", SERVER_JS))
+    assert {r.path: r["count"] for r in scan.analyze(made).groupBy("path").count().collect()} == {"a.py": 2, "b.JS": 2, "c.cpp": 4}
+    assert ordered(scan.analyze(made.where("path = 'b.JS'")), "seq") == [("Suspicious Subprocess Call", 11), ("Insecure Function Usage", 12)]
+    by_lines = scan.analyze(made, js_tree=False).groupBy("path").count().collect()
+    assert {r.path: r["count"] for r in by_lines} == {"a.py": 2, "b.JS": 4, "c.cpp": 4}
 
 
 def test_headline_and_sentinel(files):
@@ -172,14 +167,15 @@ def test_file_rule_templates(spark):
 
 
 def test_empty_summary(spark, files):
-    assert scan.summary(None, spark).first().risk == "Unknown"
+    nothing = scan.summary(None, spark)
+    assert nothing.first().risk == "Unknown" and nothing.dtypes == scan.summary(files(("clean.py", ""))).dtypes
     row = scan.summary(files(("clean.py", "x = 1\n"))).first()
     assert (row.total_issues, row.risk, row.rationale) == (0, "Low", "No issues detected.")
 
 
 def test_upload_keeps_every_finding(files):
-    rows = scan.upload(files(("insecure.py", INSECURE))).collect()
-    assert len(rows) == file_rules.engine_findings(files(("insecure.py", INSECURE))).count()
+    rows = scan.upload(files(("exporter.py", EXPORTER))).collect()
+    assert len(rows) == file_rules.engine_findings(files(("exporter.py", EXPORTER))).count()
     assert all(r.explanation and r.fix and r.severity for r in rows)
 
 
@@ -189,6 +185,38 @@ def test_backend_falls_back_per_row(files):
             raise RuntimeError
         return '{"explanation": "e", "fix": "f", "references": ["https://x.example/"]}'
 
-    rows = scan.upload(files(("insecure.py", INSECURE)), sometimes).collect()
+    rows = scan.upload(files(("exporter.py", EXPORTER)), sometimes).collect()
     assert {r.llm_used for r in rows} == {"online", "offline"}
     assert all((r.llm_used == "offline") == ("pickle" in (r.type + r.snippet)) for r in rows)
+
+
+def test_backend_is_asked_once_per_prompt(files, spark, tmp_path):
+    asked = str(tmp_path / "asked")
+
+    def noting(prompt: str) -> str:
+        with open(asked, "a") as f:
+            f.write(prompt.replace("\n", " ") + "\n")
+        return '{"explanation": "e", "fix": "f", "references": ["https://x.example/ ", "no url"]}'
+
+    made = files(("a.py", EXPORTER), ("b.py", EXPORTER))
+    export.write_run(scan.upload(made, noting), str(tmp_path / "run"), "t")
+    prompts = open(asked).read().splitlines()
+    assert len(prompts) == len(set(prompts)) > 3
+    back = spark.read.schema("references array<struct<url:string,description:string>>").json(str(tmp_path / "run/stage=cleaned/run_ts=t"))
+    assert {r.references[0].url for r in back.collect()} == {"https://x.example/"}
+    assert all("no url" not in [x.url for x in r.references] for r in back.collect())
+
+
+def test_digest(files, spark):
+    none = spark.createDataFrame([], "path string, seq long, type string, line int, snippet string, message string")
+    assert [r.text for r in export.digest(none).collect()] == ["# Scan summary", "No issues found."]
+    one = spark.createDataFrame([("a", 1, "T", None, 7, "s", "m")], "path string, seq long, type string, line int, startLine int, snippet string, message string")
+    assert [r.text for r in export.digest(one).collect()][-1].startswith("- T in `a`:7 - m")
+
+
+def test_parts_follow_the_number_of_findings(spark):
+    """Far numbers, as line rules give them, do not cut a file with few findings."""
+    rows = [("a", s, "T", 1, "x") for s in (5, 4000, 90000, 10**7)] + [("b", s, "T", 1, "x") for s in range(5)]
+    df = spark.createDataFrame(rows, "path string, seq long, type string, line int, snippet string")
+    got = {(r.path, r.part): [i.seq for i in r.issues] for r in rollup.findings_by_file(df, size=4).collect()}
+    assert got == {("a", 0): [5, 4000, 90000, 10**7], ("b", 0): [0, 1, 2, 3], ("b", 1): [4]}

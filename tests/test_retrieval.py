@@ -25,9 +25,10 @@ def brute(vectors, queries, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("max_held", [1000, 50, 8])
-def test_nearest(spark, metric, max_held):
-    """1000: queries held; 50: vectors held; 8: both larger, several shares. A third of the vectors are copies."""
+@pytest.mark.parametrize("block", [2 << 20, 300, 48])
+def test_nearest(spark, metric, block, monkeypatch):
+    """One block of all, blocks of a few vectors, a block for each. A third of the vectors are copies."""
+    monkeypatch.setattr(R, "BLOCK_BYTES", block)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(45, 6))
     base[20:35] = base[4]
@@ -36,7 +37,7 @@ def test_nearest(spark, metric, max_held):
     v = spark.createDataFrame(vectors, "id long, vec array<double>").repartition(3)
     q = spark.createDataFrame(queries, "query string, vec array<double>")
     got = {}
-    for r in R.nearest(v, q, 4, metric, max_held).orderBy("query", "rank").collect():
+    for r in R.nearest(v, q, 4, metric).orderBy("query", "rank").collect():
         got.setdefault(r["query"], []).append(r.id)
     assert got == brute(vectors, queries, 4, metric)
 
@@ -74,10 +75,19 @@ def test_evaluation(spark):
 
 
 def test_embed_falls_back(spark):
-    texts = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string").coalesce(1)
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "cc")], "id int, text string")
 
     def fails(batch):
         raise RuntimeError
 
-    assert [len(r.vec) for r in R.embed_batch(texts, fails).collect()] == [128, 128]
-    assert [r.vec for r in R.embed_batch(texts, lambda b: [[len(t)] for t in b]).collect()] == [[1.0], [1.0]]
+    assert {(len(r.vec), r.origin) for r in R.embed_batch(texts, fails).collect()} == {(128, "hash")}
+    assert {(len(r.vec), r.origin) for r in R.embed_batch(texts).collect()} == {(128, "hash")}
+
+    def picky(batch):
+        if "b" in batch:
+            raise RuntimeError
+        return [[len(t)] * len(t) for t in batch]
+
+    for parts in (1, 3):  # the same whatever shares a batch with the refused text; other lengths are refused too
+        rows = R.embed_batch(texts.repartition(parts), picky, dim=1).collect()
+        assert {(r.id, r.origin, len(r.vec)) for r in rows} == {(1, "service", 1), (2, "hash", 1), (3, "hash", 1)}

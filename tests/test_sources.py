@@ -12,7 +12,7 @@ from riskloom.functions.references import merge_references
 from riskloom.functions.responses import parse_embeddings, parse_explanation
 from riskloom.operators import rollup
 from riskloom.sources import files as S
-from riskloom.sources.documents import findings_from_json
+from riskloom.sources.documents import findings_from_json, rejected
 
 
 def tree(root):
@@ -56,7 +56,7 @@ def test_archives(spark):
     rows = [("z.ZIP", z.getvalue()), ("t.tar", t.getvalue()), ("broken.zip", b"PK"), ("broken.tgz", b"plain"), ("c.py", b"c\xe9")]
     out = S.expand_archives(spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "path string, content binary")).collect()
     assert sorted((r.archive, r.path, r.content, r.error is not None) for r in out) == sorted([
-        ("z.ZIP", "d/a.py", "eval(x)", False), ("t.tar", "b.js", "b()", False), ("broken.zip", "broken.zip", None, True),
+        ("z.ZIP", "d/", "", False), ("z.ZIP", "d/a.py", "eval(x)", False), ("t.tar", "b.js", "b()", False), ("broken.zip", "broken.zip", None, True),
         ("broken.tgz", "broken.tgz", "plain", False), ("c.py", "c.py", "c", False)], key=lambda r: (r[0], r[1]))
 
 
@@ -74,9 +74,23 @@ def test_documents(spark):
     assert [(r.id, r.path, r.type, r.line) for r in rows] == [(1, "a", "T", 4), (1, "<unknown>", "U", None), (2, "b", "V", 2)]
 
 
+def test_lossy_reading_drops_bad_bytes_only(spark):
+    texts = [b"x\xef\xbf\xbdy\xff", b"\xef\xbf\xbd", b"a\xf0\x9f\xef\xbf\xbdb", b"\xc3\xa9\xc3", b"", b"\xed\xa0\x80z", b"ok \xe6\x9d\xb1", b"\xff\xef\xbf", None]
+    df = spark.createDataFrame([(i, None if t is None else bytearray(t)) for i, t in enumerate(texts)], "id int, content binary")
+    got = {r.id: r.content for r in S.decode_lossy(df).collect()}
+    assert got == {i: None if t is None else t.decode("utf-8", errors="ignore") for i, t in enumerate(texts)}
+
+
+def test_rejected_documents(spark):
+    bodies = {0: None, 1: "{cut", 2: "7", 3: '"x"', 4: "[]", 5: '{"f": []}', 6: "", 7: "null"}
+    got = {r.id: r.reason for r in rejected(spark.createDataFrame(list(bodies.items()), "id int, body string")).collect()}
+    other = "neither an object nor a list"
+    assert got == {0: "no document", 1: "not JSON", 2: other, 3: other, 6: "not JSON", 7: other}
+
+
 def test_hot_file_is_cut_into_parts(spark):
     rows = spark.range(5000).select(F.lit("<unknown>").alias("path"), F.col("id").alias("seq"), F.lit("T").alias("type"), F.lit(1).alias("line"), F.lit("").alias("snippet"))
-    parts = rollup.findings_by_file(rows, part_size=300).orderBy("part").collect()
+    parts = rollup.findings_by_file(rows, size=300).orderBy("part").collect()
     assert max(len(p.issues) for p in parts) == 300
     assert [i.seq for p in parts for i in p.issues] == list(range(5000))
 

@@ -49,14 +49,28 @@ def test_located_matches(spark, secret):
     _, pattern, ci, *_ = secret
     texts = TEXTS + [
         "password = 'abcd\nefgh'\nx\npwd='qqqqq' passwd=\"12345\"", "API_KEY='aaaa'\n\nApiKey = \"bbbb\"\x01 apikey='c\x01ccc'",
-        "'" + "k" * 25 + "'\n" * 3 + '"' + "Z_-" * 9 + '"', "password='abc'", "\r\npwd = 'wxyz'",
+        "'" + "k" * 25 + "'\n" * 3 + '"' + "Z_-" * 9 + '"', "password='abc'", "\r\npwd = 'wxyz'", "password = 'ab\x01c'\npwd\x1c=\x1f'wxyz'", "pwd='aaaa'pwd='bbbb'",
     ]
     for r in column(spark, texts).select("c", T.located_matches(F.col("c"), pattern, ci).alias("m")).collect():
-        clean = r.c.replace("\x01", "")
-        want = [(clean.count("\n", 0, m.start()) + 1, m.group(0)) for m in re.finditer(pattern, clean, re.IGNORECASE if ci else 0)]
+        want = [(r.c.count("\n", 0, m.start()) + 1, m.group(0)) for m in re.finditer(pattern, r.c, re.IGNORECASE if ci else 0)]
         assert [(m.line, m.text) for m in r.m] == want
 
 
+def test_python_white_space(spark):
+    """U+001C to U+001F are white space for Python only; inside and outside of character classes."""
+    texts = [f"eval{c}(x[{c}a" for c in "\x1b\x1c\x1d\x1e\x1f \x85\xa0\u2003"]
+    for pattern in (r"eval\s*\(", r"\[[\sb]a", r"\[[^\s]a"):
+        for r in column(spark, texts).select("c", T.matches(F.col("c"), pattern).alias("m")).collect():
+            assert r.m == bool(re.search(pattern, r.c)), (pattern, r.c)
+
+
+def test_placed_matches(spark):
+    texts = ["a(b(\n\n cc(\x01a(", "", "x", "a(", "\na(\na(", "é東( a(\r\nb("]
+    for r in column(spark, texts).select("c", T.placed_matches(F.col("c"), r"\w+\(").alias("m")).collect():
+        want = [(r.c.count("\n", 0, m.start()) + 1, m.start() - (r.c.rfind("\n", 0, m.start()) + 1) + 1, m.group(0)) for m in re.finditer(r"\w+\(", r.c)]
+        assert [(m.line, m.column, m.text) for m in r.m] == want
+
+
 def test_gates_never_hide_a_match(spark):
     """Letters that (?i) takes for ASCII ones still pass the `contains` tests in front of the patterns."""
     texts = ["toKen = 'x'", "ſecret = 'x'", "paſſword = \"x\"", "aſſert role", "enćeval(", "éeval(x)"]
