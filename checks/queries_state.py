@@ -265,14 +265,23 @@ def stream_sessions(spark, sf_dir):
     """Closed sessions of the events stream."""
     out, checkpoint = scratch_dir(spark, "sessions-out"), scratch_dir(spark, "sessions-state")
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(sf_dir)
-    closed = session_stream.closed_sessions(stream.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts")
+    closed = session_stream.closed_sessions(stream.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "10 minutes")
     session_stream.drain(closed, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "last_active")})
 
 
+def stream_turns(spark, sf_dir):
+    """Each turn of the events stream with its place in its session, up to the watermark."""
+    out, checkpoint = scratch_dir(spark, "turns-out"), scratch_dir(spark, "turns-state")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(sf_dir)
+    turns = stream.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    session_stream.drain(session_stream.numbered_turns(turns, "10 minutes"), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "started")})
+
+
 QUERIES = {f.__name__: f for f in [
     sessions_expired, sessions_evict, sessions_merged, session_resolve, sessions_upsert, sessions_delete, sessions_list, sessionize_ttl,
     session_table, chat_context, session_turns, session_history, reports_append, reports_recent, report_by_id, export_nested_json, export_flat_json,
     export_sarif_results, export_sarif_documents, digest_markdown, export_run, summary_job, expand_archives, decode_text,
-    scan_files, scan_files_flat, stream_findings, stream_sessions,
+    scan_files, scan_files_flat, stream_findings, stream_sessions, stream_turns,
 ]}

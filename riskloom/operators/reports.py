@@ -13,12 +13,13 @@ DEFAULT_LIMIT = 50  # fixed value
 
 
 def numbered(spark: SparkSession, staged: str, base: int = 0) -> DataFrame:
-    """Rows of a stored table with `id`: base + 1, base + 2, ... in file order, without gaps.
+    """Rows of a stored table with `id`: base + 1, base + 2, ... in the order of the numbers of its part files, without gaps.
 
     A row's id is its place in its file plus the rows of the files before, so
     no rows are shuffled or ranked; only one count per file is summed up.
     """
-    rows = spark.read.parquet(staged).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
+    rows = spark.read.parquet(staged).select("*", part.alias("__file"), F.col("_metadata.row_index").alias("__at"))
     counts = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("__file", (F.sum("n").over(Window.orderBy("__file")) - F.col("n")).alias("__before"))
     return rows.join(offsets, "__file").withColumn("id", F.lit(base) + F.col("__before") + F.col("__at") + 1).drop("__file", "__at", "__before")
@@ -36,7 +37,8 @@ def append(reports: DataFrame, path: str, timestamp: Column, *order: str) -> Non
 
     The batch is first written in `order` (default: by filename); its files
     then number it.  The random last sort key spreads equal names, such as the
-    default name of pasted code, over several tasks.
+    default name of pasted code, over several tasks.  One writer at a time:
+    ids follow the largest one found when the batch starts.
     """
     spark = reports.sparkSession
     staged = scratch_dir(spark, "reports")

@@ -105,17 +105,19 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_numbered_turns_stream(spark, tmp_path):
+    """Two batches whose turns are mixed in time wait for each other; a much later turn lets them all out."""
     rows = make_events(200, seed=9)
-    source = tmp_path / "turns"
-    spark.createDataFrame([(str(u), ts) for _, u, ts in rows], "key string, ts timestamp").coalesce(1).write.parquet(str(source))
-    stream = spark.readStream.schema("key string, ts timestamp").parquet(str(source))
-    out = scratch_dir(spark, "numbered")
-    session_stream.drain(session_stream.numbered_turns(stream), out, scratch_dir(spark, "state")).awaitTermination()
-    got = {}
-    for r in spark.read.parquet(out).collect():
-        got.setdefault((r.key, r.session_no), []).append(r.turn_no)
-    want = {}
+    source, newest = str(tmp_path / "turns"), max(ts for *_, ts in rows)
+    span = newest - min(ts for *_, ts in rows)
+    batches = [[(str(u), ts) for n, (_, u, ts) in enumerate(rows) if n % 2 == k] for k in (0, 1)] + [[("other", newest + 3 * span)]]
+    out, state = scratch_dir(spark, "numbered"), scratch_dir(spark, "state")
+    for batch in batches:
+        spark.createDataFrame(batch, "key string, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("key string, ts timestamp").parquet(source)
+        session_stream.drain(session_stream.numbered_turns(stream, f"{int(span.total_seconds()) + 1} seconds"), out, state).awaitTermination()
+    got = sorted((r.key, r.ts, r.turn_no, r.started) for r in spark.read.parquet(out).collect())
     by_event = brute_sessions(rows, 3600)
-    for i, user, _ in rows:
-        want[(str(user), by_event[i])] = want.get((str(user), by_event[i]), 0) + 1
-    assert {k: sorted(v) for k, v in got.items()} == {k: list(range(1, n + 1)) for k, n in want.items()}
+    sessions = {}
+    for i, user, ts in sorted(rows, key=lambda r: r[2]):
+        sessions.setdefault((str(user), by_event[i]), []).append(ts)
+    assert got == sorted((user, ts, n, times[0]) for (user, _), times in sessions.items() for n, ts in enumerate(times, 1))
