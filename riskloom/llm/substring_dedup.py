@@ -3,7 +3,7 @@
 See `repeats` for the passes.  The sketch counts each window by its anchor, which
 overestimates; windows estimated to occur once are left alone.  The second pass
 groups the others exactly: contexts with one core meet in a task, equal windows
-of them are counted by their 64-bit hash (together with the core's 128 bits), and
+of them are counted by 48 bits of hash (together with the core's 128), and
 the windows that occur once are named.  Contexts that are equal as a whole are
 one row with a count, so copies do not multiply.
 
@@ -27,6 +27,7 @@ from riskloom.llm import repeats
 from riskloom.llm.repeats import P1, Anchors, Hashes, Windows, mix
 
 WINDOW = 35
+HASH_BYTES = 6  # of a window's hash in a context; windows are compared within one core, which 128 bits tell
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
 
@@ -67,18 +68,25 @@ def _scan(texts: pa.Array, w: Windows) -> Iterator[tuple[int, int, np.ndarray, n
 
 
 def _flanks(found: Anchors, pick: np.ndarray, w: Windows) -> np.ndarray:
-    """The hash of each of an anchor's windows, last start first; 0 where there is none."""
+    """Six bytes of the hash of each of an anchor's windows, last start first; 0 where there is none."""
     starts = found.at[pick][:, None] - np.arange(w.span)
     real = (starts >= found.first[pick][:, None]) & (starts <= found.last[pick][:, None])
     hashes = found.hashes.of(np.where(real, starts, 0), np.where(real, w.length, 0)) | np.uint64(1)
-    return np.where(real, hashes, np.uint64(0)).view(np.uint8)
+    rows = np.where(real, hashes, np.uint64(0)).view(np.uint8).reshape(len(starts), w.span, 8)[:, :, :HASH_BYTES].reshape(len(starts), -1)
+    return np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8)))
+
+
+def _hashes_in(flanks: np.ndarray, w: Windows) -> np.ndarray:
+    out = np.zeros((len(flanks), w.span, 8), np.uint8)
+    out[:, :, :HASH_BYTES] = flanks[:, :w.span * HASH_BYTES].reshape(len(flanks), w.span, HASH_BYTES)
+    return out.view(np.uint64)[:, :, 0]
 
 
 def _solver(w: Windows):
     def solve(part: pa.Table) -> Iterator[pa.RecordBatch]:
         _, copies = repeats.copies_of(part)
         core = mix(part.column("key").to_numpy().view(np.uint64) + mix(part.column("key2").to_numpy().view(np.uint64)))
-        flanks, bit = repeats.flank_rows(part).view(np.uint64), part.column("bit").to_numpy()
+        flanks, bit = _hashes_in(repeats.flank_rows(part), w), part.column("bit").to_numpy()
         _, group = np.unique((mix(flanks ^ core[:, None]) + np.arange(w.span, dtype=np.uint64)).ravel(), return_inverse=True)
         counts = np.bincount(group, weights=np.repeat(part.column("n").to_numpy(), w.span))[group].reshape(-1, w.span)
         missing = (flanks != 0) & (counts < 2)
