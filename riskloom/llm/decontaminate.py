@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.text import let
 from riskloom.llm.common import LOWER, UPPER, cut, text_key, words
 
 #: Between normalised words; between words whose case is still there.
@@ -69,11 +70,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_broadcast:
     per_doc = per_doc.select(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key"), "hits")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", key)
     joined = own.join(per_doc, own["doc_id"].eqNullSafe(per_doc["hit_doc"]) & (own["key"] == per_doc["hit_key"]), "left")
-    # Words are split again behind the join, as arrays of words take several times the room of their text.
-    found = joined.select("row", "hits", normal_words(F.col("row.text")).alias("ws"))
-    verified = F.filter("hits", lambda h: F.array_join(F.slice(F.col("ws"), h["start"] + 1, h["length"]), " ") == h["gram"])
+    # Words are split again behind the join, as arrays of words take several times the room of their text, and once for a row's hits.
     none = F.array().cast(per_doc.schema["hits"].dataType)
-    found = found.select("row", F.size("ws").cast("long").alias("n_words"), F.when(F.col("hits").isNotNull(), verified).otherwise(none).alias("sure"))
+    verified = let(normal_words(F.col("row.text")), lambda ws: F.filter(
+        "hits", lambda h: F.array_join(F.slice(ws, h["start"] + 1, h["length"]), " ") == h["gram"]))
+    n_words = F.size(words(F.col("row.text"), CASED_SEPARATORS)).cast("long")
+    found = joined.select("row", n_words.alias("n_words"), F.when(F.col("hits").isNotNull(), verified).otherwise(none).alias("sure"))
     places = F.sort_array(F.array_distinct(F.flatten(F.transform("sure", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))))
     items = F.sort_array(F.array_distinct(F.flatten(F.transform("sure", lambda h: h["items"]))))
     return found.select("row", F.struct("n_words", places.alias("places"), items.alias("items")).alias("hit"))
@@ -81,13 +83,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_broadcast:
 
 def without_spans(text: Column, places: Column) -> Column:
     """`text` without the words at `places` and the separators behind them; a text without hits is left as it is."""
-    ws, gaps = words(text, CASED_SEPARATORS), F.split(text, CASED_WORDS)
-    kept = F.transform(ws, lambda w, i: F.when(F.array_contains(places, i), F.lit("")).otherwise(F.concat(w, F.coalesce(F.get(gaps, i + 1), F.lit("")))))
-    return F.when(F.size(places) > 0, F.concat(F.get(gaps, F.lit(0)), F.array_join(kept, ""))).otherwise(text)
+    def rebuilt(ws: Column, gaps: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(ws) - 1), places)
+        return F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(kept, lambda i: F.concat(F.get(ws, i), F.coalesce(F.get(gaps, i + 1), F.lit("")))), ""))
+
+    parts = let(words(text, CASED_SEPARATORS), lambda ws: let(F.split(text, CASED_WORDS), lambda gaps: rebuilt(ws, gaps)))
+    return F.when(F.size(places) > 0, parts).otherwise(text)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_share: float = 0.5) -> DataFrame:
     """`docs`, same columns, without the hit spans; documents with more than `drop_share` of their words hit go."""
-    found = scan(docs, benchmark, n).where(F.size("hit.places") <= drop_share * F.col("hit.n_words"))
+    found = scan(docs, benchmark, n).where((F.size("hit.places") == 0) | (F.size("hit.places") <= drop_share * F.col("hit.n_words")))
     cleaned = without_spans(F.col("row.text"), F.col("hit.places"))
     return found.select(*[cleaned.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
