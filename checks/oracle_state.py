@@ -79,8 +79,9 @@ ORACLE = {
     "reports_append": corpus_sql(PER_FILE + " SELECT id, filename, summary FROM store"),
     "reports_recent": corpus_sql(PER_FILE + " SELECT id, filename, day, summary FROM store ORDER BY id DESC LIMIT 50"),
     "report_by_id": corpus_sql(PER_FILE + """ SELECT id, filename, '{"high":' || high || ',"medium":' || medium || ',"low":' || low || '}' AS payload FROM store WHERE id = 17"""),
-    "export_nested_json": corpus_sql(C_SRC + C_LINE + " SELECT path, part, string_agg(line || ':' || type || ':' || snippet, chr(10) ORDER BY seq) AS issues FROM (SELECT *, CAST((row_number() OVER (PARTITION BY path ORDER BY seq) - 1) // 1000 AS BIGINT) AS part FROM found) GROUP BY path, part"),
-    "export_flat_json": corpus_sql(JS_SRC + JS_LINE + """ SELECT path, '{"file":"' || path || '","type":"' || type || '","line":' || line || '}' AS document FROM found"""),
+    "export_nested_json": corpus_sql(ALL + """ SELECT path, part, string_agg(coalesce(CAST(line AS VARCHAR), '-') || ':' || type || ':' || snippet, chr(10) ORDER BY seq) AS issues
+        FROM (SELECT *, CAST((row_number() OVER (PARTITION BY path ORDER BY seq) - 1) // 1000 AS BIGINT) AS part FROM found) GROUP BY path, part"""),
+    "export_flat_json": corpus_sql(ALL + " SELECT path, path AS file, type, line, snippet FROM found"),
     "export_sarif_results": corpus_sql(SARIF + """ SELECT path, "ruleId", level, CASE message WHEN '' THEN type ELSE message END AS message,
         coalesce("startLine", line) AS "startLine", "startColumn", coalesce("endLine", line) AS "endLine", "endColumn" FROM results"""),
     "export_sarif_documents": corpus_sql(SARIF + """ SELECT path, '2.1.0' AS version, CAST(7 AS BIGINT) AS rules, count(*) AS results, arg_min("ruleId", seq) AS first_rule

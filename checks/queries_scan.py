@@ -82,9 +82,9 @@ def cpp_literal_decls(spark, sf_dir):
 
 
 def snippet_context(spark, sf_dir):
-    files = code_corpus(spark, sf_dir)
-    found = line_rules.cpp_line_findings(of_type(files, ".cpp", ".c")).select("path", "seq", "line")
-    return line_rules.snippet_context(of_type(files, ".cpp", ".c"), found, around=2)
+    """The context comes from the file's own row, so no text is shuffled."""
+    found = line_rules.cpp_fallback_extent(of_type(code_corpus(spark, sf_dir), ".cpp", ".c"), around=2)
+    return found.select("path", "seq", "line", F.col("snippet").alias("context"))
 
 
 def normalize_findings(spark, sf_dir):

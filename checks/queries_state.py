@@ -131,14 +131,16 @@ def report_by_id(spark, sf_dir):
 
 
 def export_nested_json(spark, sf_dir):
-    found = line_rules.cpp_line_findings(of_type(code_corpus(spark, sf_dir), ".cpp", ".c"))
+    found = all_findings(code_corpus(spark, sf_dir)).drop("message")
     issues = F.from_json("document", "map<string,array<struct<type:string,line:int,snippet:string>>>")[F.col("path")]
-    return export.nested_json(found).select("path", "part", F.array_join(F.transform(issues, lambda i: F.concat_ws(":", i["line"].cast("string"), i["type"], i["snippet"])), "\n").alias("issues"))
+    line = lambda i: F.coalesce(i["line"].cast("string"), F.lit("-"))
+    return export.nested_json(found).select("path", "part", F.array_join(F.transform(issues, lambda i: F.concat_ws(":", line(i), i["type"], i["snippet"])), "\n").alias("issues"))
 
 
 def export_flat_json(spark, sf_dir):
-    found = line_rules.js_line_findings(of_type(code_corpus(spark, sf_dir), ".js", ".ts", ".jsx"))
-    return export.flat_json(found.drop("message", "snippet")).select("path", "document")
+    """Every finding as one object, read back field by field."""
+    written = export.flat_json(all_findings(code_corpus(spark, sf_dir)).drop("message"))
+    return written.select("path", F.from_json("document", "file string, type string, line int, snippet string").alias("d")).select("path", "d.*")
 
 
 def sarif_input(spark, sf_dir):

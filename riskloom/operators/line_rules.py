@@ -91,9 +91,3 @@ def cpp_fallback_extent(files: DataFrame, around: int = 1) -> DataFrame:
             h["line"].alias("endLine"), F.lit(None).cast("int").alias("endColumn"),
             context_of(F.col("lines"), h["line"], around).alias("snippet"), h["message"].alias("message")))))
     )
-
-
-def snippet_context(files: DataFrame, found: DataFrame, around: int = 1) -> DataFrame:
-    """B10 for findings kept apart from their files: joined on path, which is one row per file."""
-    lines = files.select("path", split_lines(F.col("content")).alias("lines"))
-    return found.join(lines, "path").select(*found.columns, context_of(F.col("lines"), F.col("line"), around).alias("context"))
