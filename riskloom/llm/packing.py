@@ -32,8 +32,8 @@ from tokenizers import Tokenizer
 
 CAPACITY, END = 4096, 2
 #: A task keeps at most this many known words.
-KNOWN_WORDS = 1_000_000
-BATCH_BYTES = 24_000_000
+KNOWN_WORDS = 600_000
+BATCH_BYTES = 8_000_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 # Fixed value: the pattern by which the tokenizer parts words, and the bytes that its byte alphabet shows as themselves.
