@@ -98,3 +98,56 @@ WITH RECURSIVE shards AS (
 SELECT doc_id, slot::INTEGER AS slot, shard::INTEGER AS shard
 FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % 4099 AS slot FROM documents) JOIN filled USING (slot)
 """
+
+SUBSTRINGS = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), windows AS (
+  SELECT rid, i, md5(array_to_string(ws[i:i + 34], ' ')) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM texts)
+), repeated AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS c FROM windows) WHERE c > 1
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(i, i + 35)) AS place FROM repeated
+), kept AS (
+  SELECT rid, string_agg(w, ' ' ORDER BY place) AS words, count(*) AS n
+  FROM (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS place FROM texts) ANTI JOIN gone USING (rid, place) GROUP BY rid
+)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (rid)
+"""
+
+STRINGS = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+  SELECT rid, start, length(h) // 2 - 399 - start AS left_over, substr(h, (2 * start + 1)::BIGINT, 2 * (512 + 399)) AS piece
+  FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 399, 512)) AS start FROM texts)
+), windows AS (
+  SELECT rid, start + j AS i, md5_number(substr(piece, (2 * j + 1)::BIGINT, 800)) AS g FROM (SELECT rid, start, piece, unnest(range(0, least(512, left_over))) AS j FROM pieces)
+), repeated AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS c FROM windows) WHERE c > 1
+), runs AS (
+  SELECT rid, min(i) AS a, max(i) + 400 AS b FROM (
+    SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM (
+      SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM repeated)) GROUP BY rid, run
+), spans AS (
+  SELECT rid, a, b, coalesce(lead(a) OVER (PARTITION BY rid ORDER BY a), 1000000000) AS next FROM runs
+), kept AS (
+  SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, substr(any_value(h), 1, 2 * min(a)) || string_agg(substr(h, 2 * b + 1, 2 * (next - b)), '' ORDER BY a) AS rest
+  FROM spans JOIN texts USING (rid) GROUP BY rid
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (rid)
+"""
+
+CHATS = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

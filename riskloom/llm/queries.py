@@ -69,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_simhash, op4_decontaminate, op5_shard_lookup, op6_power_of_two_packing, op7_chat_events, op8_toxicity, op9_wrapper_induction, op10_quality_rules)
 }
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": oracle.SUBSTRINGS, "op2_suffix_array_dedup": oracle.STRINGS, "op7_chat_events": oracle.CHATS,
     "op4_decontaminate": oracle.DECONTAMINATE, "op5_shard_lookup": oracle.SHARDS, "op10_quality_rules": oracle.QUALITY,
 }
