@@ -151,3 +151,55 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
   sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+RUNS = r"""
+WITH checked AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+    xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::BIGINT), 4294967295) AS h
+  FROM documents
+), placed AS (
+  SELECT *, (h // 10) % len(ws) AS a, 1 + (len(ws) - (h // 10) % len(ws)) // (3 + (h // 10) % 8) AS p FROM checked
+), texts AS (
+  SELECT rid, doc_id, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN list_transform(ws, lambda w, i: CASE WHEN i - 1 < a THEN w ELSE ws[a + (i - 1 - a) % p + 1] END) ELSE ws END AS ws
+  FROM placed
+), grams AS (
+  SELECT rid, i, md5(array_to_string(ws[i:i + 4], ' ')) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM texts)
+), pairs AS (
+  SELECT x.rid, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.rid = y.rid AND x.g = y.g AND y.i > x.i
+), stretches AS (
+  SELECT rid, q, min(i) - 1 AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM pairs) GROUP BY rid, q, island
+), long_ones AS (
+  SELECT * FROM stretches WHERE length >= greatest(6, 4 * q)
+), runs AS (
+  SELECT * FROM long_ones x WHERE NOT EXISTS (SELECT 1 FROM long_ones y WHERE x.rid = y.rid AND y.q < x.q AND x.q % y.q = 0 AND y.start <= x.start AND y.start + y.length >= x.start + x.length)
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(start + q + 1, start + length + 1)) AS place FROM runs
+), rest AS (
+  SELECT rid, string_agg(w, ' ' ORDER BY place) AS kept FROM (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS place FROM texts) ANTI JOIN gone USING (rid, place) GROUP BY rid
+), listed AS (
+  SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines, max(struct_pack(l := length, s := -start, q := -q)) AS best FROM runs GROUP BY rid
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -best.s AS start, best.l AS length, -best.q AS period, 1000 * best.l // -best.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM texts LEFT JOIN listed USING (rid) LEFT JOIN rest USING (rid)
+"""
+
+NEGATIVES = """
+WITH rows AS (
+  SELECT row_number() OVER () AS rid, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.rid <> b.rid AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY n.score DESC, n.vec_id, n.rid)::INTEGER AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
