@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat_format, decontaminate, html_extract, oracle, packing, periodic_runs, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from riskloom.llm import chat_format, decontaminate, hard_negatives, html_extract, oracle, packing, periodic_runs, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 from riskloom.llm.common import table
 
 
@@ -74,12 +74,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.collapse(periodic_runs.with_echoes(table(spark, sf_dir, "documents"))))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_suffix_array_dedup, op3_simhash, op4_decontaminate, op5_shard_lookup, op6_power_of_two_packing, op7_chat_events, op8_toxicity, op9_wrapper_induction, op10_quality_rules,
-                              op11_token_counts, op12_periodic_runs)
+                              op11_token_counts, op12_periodic_runs, op13_hard_negatives)
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": oracle.SUBSTRINGS, "op2_suffix_array_dedup": oracle.STRINGS, "op7_chat_events": oracle.CHATS,
     "op4_decontaminate": oracle.DECONTAMINATE, "op5_shard_lookup": oracle.SHARDS, "op10_quality_rules": oracle.QUALITY,
-    "op12_periodic_runs": oracle.RUNS,
+    "op12_periodic_runs": oracle.RUNS, "op13_hard_negatives": oracle.NEGATIVES,
 }
