@@ -15,10 +15,10 @@ over r / `SHRINK` from the others and together within r / `SHRINK` of all points
 
 Search.  Anchors in blocks and trees meet in the cells of a grid whose two sides follow
 from the numbers of anchors and rows, so each side is copied by a factor of its own.
-In a cell an anchor goes best first through all trees at once.  A node's inner product
-is that of its centre, a row of the table, give or take |anchor| times the node's
+In a cell an anchor goes best first through all trees at once.  A node's inner products
+are that of its centre, a row of the table, give or take |anchor| times the node's
 covering radius.  Nodes outside of all windows, or below what an anchor already has,
-are skipped; a centre met for the first time is a result's exact score.  Each cell
+are skipped; a centre met for the first time is a result with its exact score.  Each cell
 gives its few best rows per anchor, and a ranked limit merges them.
 
 Scores are exact integers: each component x counts as floor(`SCALE` * x), and products
@@ -34,7 +34,6 @@ gives an empty result.  Other columns are not looked at, so their names cannot c
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -44,10 +43,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import cut
+from riskloom.llm.packing import ragged
 
 SCALE = 256
 #: Rows of a tree, and components of rows and of anchors that meet in a cell.
-TREE, CELL_ROWS, CELL_ANCHORS = 2048, 1 << 22, 1 << 19
+TREE, CELL_ROWS, CELL_ANCHORS = 1024, 1 << 22, 1 << 19
 #: At most this many pivots, and the ratio of a node's radius to its children's.
 PIVOTS, SHRINK = 256, 1.5
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -140,89 +140,116 @@ def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield int(n), some, flat[begin[some][:, None] + np.arange(n)].reshape(len(some), n)
 
 
-class Tree:
-    def __init__(self, row: dict):
-        self.label, self.size = row["label"], row["size"]
-        self.rids, self.ids = (np.frombuffer(row[c], np.int64) for c in ("rids", "ids"))
-        x = np.frombuffer(row["vectors"], np.float64).reshape(len(self.rids), self.size)
-        self.centre, self.first, self.number = (np.frombuffer(row[c], np.int32) for c in ("centre", "first", "number"))
-        self.radius, self.fresh = np.frombuffer(row["radius"], np.float64), np.frombuffer(row["fresh"], bool)
-        self.nodes, self.greatest = x[self.centre], float(np.abs(x).max(initial=0))
-        self.radius = self.radius + 1e-7 * self.greatest * math.sqrt(self.size)  # what doubles may have lost
-
-    def scores(self, nodes: slice, vector: np.ndarray) -> np.ndarray:
+class Forest:
+    """The trees of a cell whose vectors have one length, their nodes side by side."""
+
+    def __init__(self, trees: list[dict]):
+        self.size = trees[0]["size"]
+        parts: list[list[np.ndarray]] = [[] for _ in range(8)]
+        nodes = 0
+        self.roots, self.labels = [], np.array([t["label"] for t in trees])
+        for tree in trees:
+            rids, ids = (np.frombuffer(tree[c], np.int64) for c in ("rids", "ids"))
+            x = np.frombuffer(tree["vectors"], np.float64).reshape(len(rids), self.size)
+            centre, first, number = (np.frombuffer(tree[c], np.int32) for c in ("centre", "first", "number"))
+            radius, fresh = np.frombuffer(tree["radius"], np.float64), np.frombuffer(tree["fresh"], bool)
+            lost = 1e-7 * np.abs(x).max(initial=0) * math.sqrt(self.size)  # what doubles may have lost
+            for part, values in zip(parts, (x[centre], ids[centre], rids[centre], first + np.int64(nodes), number, radius * (1 + 1e-9) + lost, fresh), strict=False):
+                part.append(values)
+            self.roots.append(nodes)
+            nodes += len(centre)
+        self.x, self.ids, self.rids, self.first, self.number, self.radius, self.fresh = map(np.concatenate, parts[:7])
+        self.roots, self.greatest = np.array(self.roots), float(np.abs(self.x).max(initial=0))
+
+    def scores(self, nodes: np.ndarray, vector: np.ndarray) -> np.ndarray:
         """Exact inner products of the nodes' centres."""
         if self.greatest * np.abs(vector).max(initial=0) * self.size < 2.0 ** 53:
-            return self.nodes[nodes] @ vector
-        return np.array([sum(int(a) * int(b) for a, b in zip(row, vector, strict=True)) for row in self.nodes[nodes]], object)
+            return self.x[nodes] @ vector
+        return np.array([sum(int(a) * int(b) for a, b in zip(row, vector, strict=True)) for row in self.x[nodes]], object)
+
 
+def best_first(forest: Forest, roots: np.ndarray, vector: np.ndarray, rid: int, windows: list[tuple[int, int]], k: int) -> list[list[tuple[int, int, int]]]:
+    """Per window the k best (-score, id, rid) with a score inside of it; the row `rid` itself is left out.
 
-def best_first(trees: list[Tree], vector: np.ndarray, rid: int, windows: list[tuple[int, int]], k: int) -> list[list[tuple[int, int, int]]]:
-    """Per window the k best (-score, id, rid) with a score inside of it, over all trees; the row `rid` itself is left out."""
+    The most promising open nodes are opened together, more of them in each round.
+    """
     best: list[list[tuple[int, int, int]]] = [[] for _ in windows]
     norm = math.sqrt(float(vector @ vector)) * (1 + 1e-9)
 
-    def useful(low_bound: float, high_bound: float) -> float | None:
-        """The highest score that such a node can add, or None."""
-        hopes = [min(high_bound, hi) for (lo, hi), own in zip(windows, best, strict=True)
-                 if high_bound >= lo and low_bound <= hi and (len(own) < k or min(high_bound, hi) >= -own[-1][0])]
-        return max(hopes, default=None)
+    def least(own: list[tuple[int, int, int]], lo: int) -> int:
+        return max(lo, -own[-1][0]) if len(own) == k else lo
 
-    def visit(tree: Tree, nodes: slice) -> None:
-        scores, fresh = tree.scores(nodes, vector), tree.fresh[nodes]
+    def visit(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scores, fresh = forest.scores(nodes, vector), forest.fresh[nodes]
         for (lo, hi), own in zip(windows, best, strict=True):
-            least = max(lo, -own[-1][0]) if len(own) == k else lo
-            places = np.flatnonzero(fresh & (scores >= least) & (scores <= hi))
+            places = np.flatnonzero(fresh & (scores >= least(own, lo)) & (scores <= hi))
             if len(places) > 4 * k:  # only those that tie with the k-th (the row itself not counted) or beat it
                 kth = np.partition(scores[places], len(places) - k - 1)[len(places) - k - 1]
                 places = places[scores[places] >= kth]
-            rows = tree.centre[nodes][places]
-            own.extend((-int(s), int(i), int(r)) for s, i, r in zip(scores[places], tree.ids[rows], tree.rids[rows], strict=True) if r != rid)
+            rows = nodes[places]
+            own.extend((-int(s), int(i), int(r)) for s, i, r in zip(scores[places], forest.ids[rows], forest.rids[rows], strict=True) if r != rid)
             own.sort()
             del own[k:]
-        slack = norm * tree.radius[nodes] * (1 + 1e-9) + 1e-6
-        for at in np.flatnonzero(tree.number[nodes]):
-            node, s = nodes.start + int(at), float(scores[at])
-            hope = useful(s - slack[at], s + slack[at])
-            if hope is not None:
-                heapq.heappush(heap, (-hope, len(heap), node, id(tree), s - slack[at], s + slack[at], tree))
-
-    heap: list[tuple] = []
-    for tree in trees:
-        visit(tree, slice(0, 1))
-    while heap:
-        _, _, node, _, low_bound, high_bound, tree = heapq.heappop(heap)
-        if useful(low_bound, high_bound) is not None:
-            visit(tree, slice(int(tree.first[node]), int(tree.first[node] + tree.number[node])))
+        inner = forest.number[nodes] > 0
+        middle, slack = scores[inner].astype(np.float64), norm * forest.radius[nodes[inner]] + 1e-6
+        return nodes[inner], middle - slack, middle + slack
+
+    opened, below, above = visit(roots)
+    wave = 64
+    while len(opened):
+        hope = np.full(len(opened), -np.inf)
+        for (lo, hi), own in zip(windows, best, strict=True):
+            top = np.minimum(above, hi)
+            hope = np.where((top >= least(own, lo)) & (below <= hi), np.maximum(hope, top), hope)
+        order = np.argsort(-hope, kind="stable")
+        order = order[hope[order] > -np.inf]
+        now, later = order[:wave], order[wave:]
+        first, number = forest.first[opened[now]], forest.number[opened[now]]
+        more = visit(ragged(first, number))
+        opened, below, above = (np.concatenate([old[later], new]) for old, new in zip((opened, below, above), more, strict=True))
+        wave *= 4
     return best
 
 
+def grid(size: int, asking: int, cores: int) -> tuple[int, int]:
+    """Sides of the grid: cells that fit a task, three for every core, and the least that is copied (down * size + across * asking)."""
+    cells = max(3 * cores, size * asking / (CELL_ROWS * CELL_ANCHORS))
+    down = max(1, math.ceil(asking / CELL_ANCHORS), round(math.sqrt(cells * asking / max(size, 1))))
+    return down, max(1, math.ceil(size / CELL_ROWS), math.ceil(cells / down))
+
+
 def numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
-def search(anchors: DataFrame, trees: DataFrame, rows: int, columns: int, same: bool, k: int) -> DataFrame:
+def search(anchors: DataFrame, trees: DataFrame, down: int, across: int, same: bool, k: int) -> DataFrame:
     """Anchors (rid, label, v, windows) against trees of the same label, or of the others: rid, window, score, vec_id, found."""
     names = ["rid", "window", "score", "vec_id", "found"]
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[int]] = [[], [], [], [], []]
-        known = [Tree(row) for row in right.to_pylist()]
+        rows = right.to_pylist()
+        forests = {size: Forest([r for r in rows if r["size"] == size]) for size in {r["size"] for r in rows}}
         for rid, label, v, windows in zip(*(left[c].to_pylist() for c in ("rid", "label", "v", "windows")), strict=True):
-            own = [t for t in known if (t.label == label) == same and t.size == len(v)]
-            for number, found in enumerate(best_first(own, np.array(v, np.float64), rid, [(w["lo"], w["hi"]) for w in windows], k)):
+            if len(v) not in forests:
+                continue
+            forest = forests[len(v)]
+            roots = forest.roots[(forest.labels == label) == same]
+            for number, found in enumerate(best_first(forest, roots, np.array(v, np.float64), rid, [(w["lo"], w["hi"]) for w in windows], k)):
                 for score, vec_id, other in found:
                     for column, value in zip(out, (rid, number, max(LEAST, min(MOST, -score)), vec_id, other), strict=True):
                         column.append(value)
         return pa.table([pa.array(c, pa.int64()) for c in out], names)
 
     # An anchor goes to all columns (those with trees of its label, if only these count), a tree to all rows.
-    left = anchors.withColumn("row", F.pmod(F.xxhash64("rid"), F.lit(rows)))
+    left = anchors.withColumn("row", F.pmod(F.xxhash64("rid"), F.lit(down)))
     if same:
         left = left.join(trees.select("label", F.col("col").alias("to")).distinct(), "label")
     else:
-        left = left.withColumn("to", F.explode(numbers(columns)))
-    right = trees.withColumn("row", F.explode(numbers(rows)))
+        left = left.withColumn("to", F.explode(numbers(across)))
+    right = trees.withColumn("row", F.explode(numbers(down)))
+    parts = 3 * down * across  # cells are few and costly, so Spark is not left to join their small partitions
+    left, right = left.repartition(parts, "row", "to"), right.repartition(parts, "row", "col")
     return left.groupBy("row", "to").cogroup(right.groupBy("row", "col")).applyInArrow(cell, ", ".join(f"{n} long" for n in names))
 
 
@@ -231,7 +258,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, positives: int =
     rows = prepared(vectors, label)
     own = F.greatest(F.size("v"), F.lit(1))
     total, size, asking = (n or 0 for n in rows.agg(F.count("*"), F.sum(own), F.sum(F.when(is_anchor, own))).first())
-    across, down = max(1, math.ceil(size / CELL_ROWS)), max(1, math.ceil(asking / CELL_ANCHORS))
+    down, across = grid(size, asking, vectors.sparkSession.sparkContext.defaultParallelism)
     column = F.pmod(F.xxhash64("label", "rids"), F.lit(across)).alias("col")
     trees = cut(index(rows, total).select("*", column))
     anchors = rows.where(is_anchor)
