@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="riskloom-llm-")
+
+
+def per_worker(name: str, make: Callable[[], Any]) -> Any:
+    """A value that a Python worker makes once and keeps for its later tasks; the worker needs no copy of this package."""
+    held = vars(sys.modules.setdefault("_held_by_worker", types.ModuleType("_held_by_worker")))
+    if name not in held:
+        held[name] = make()
+    return held[name]

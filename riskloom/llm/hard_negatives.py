@@ -168,7 +168,7 @@ class Forest:
         return np.array([sum(int(a) * int(b) for a, b in zip(row, vector, strict=True)) for row in self.x[nodes]], object)
 
 
-def best_first(forest: Forest, roots: np.ndarray, vector: np.ndarray, rid: int, windows: list[tuple[int, int]], k: int) -> list[list[tuple[int, int, int]]]:
+def best_first(forest: Forest, roots: np.ndarray, vector: np.ndarray, rid: int, windows: list[tuple[float, float]], k: int) -> list[list[tuple[int, int, int]]]:
     """Per window the k best (-score, id, rid) with a score inside of it; the row `rid` itself is left out.
 
     The most promising open nodes are opened together, more of them in each round.
@@ -176,7 +176,7 @@ def best_first(forest: Forest, roots: np.ndarray, vector: np.ndarray, rid: int,
     best: list[list[tuple[int, int, int]]] = [[] for _ in windows]
     norm = math.sqrt(float(vector @ vector)) * (1 + 1e-9)
 
-    def least(own: list[tuple[int, int, int]], lo: int) -> int:
+    def least(own: list[tuple[int, int, int]], lo: float) -> float:
         return max(lo, -own[-1][0]) if len(own) == k else lo
 
     def visit(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,6 +222,11 @@ def numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
+def bounds(lo: int, hi: int) -> tuple[float, float]:
+    """A window; the outermost 64-bit numbers stand for everything beyond them, too."""
+    return -math.inf if lo == LEAST else lo, math.inf if hi == MOST else hi
+
+
 def search(anchors: DataFrame, trees: DataFrame, down: int, across: int, same: bool, k: int) -> DataFrame:
     """Anchors (rid, label, v, windows) against trees of the same label, or of the others: rid, window, score, vec_id, found."""
     names = ["rid", "window", "score", "vec_id", "found"]
@@ -235,7 +240,7 @@ def search(anchors: DataFrame, trees: DataFrame, down: int, across: int, same: b
                 continue
             forest = forests[len(v)]
             roots = forest.roots[(forest.labels == label) == same]
-            for number, found in enumerate(best_first(forest, roots, np.array(v, np.float64), rid, [(w["lo"], w["hi"]) for w in windows], k)):
+            for number, found in enumerate(best_first(forest, roots, np.array(v, np.float64), rid, [bounds(w["lo"], w["hi"]) for w in windows], k)):
                 for score, vec_id, other in found:
                     for column, value in zip(out, (rid, number, max(LEAST, min(MOST, -score)), vec_id, other), strict=True):
                         column.append(value)

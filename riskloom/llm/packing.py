@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from riskloom.llm.common import per_worker
+
 CAPACITY, END = 4096, 2
 #: A task keeps at most this many known words.
 KNOWN_WORDS = 600_000
@@ -111,11 +112,6 @@ def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
 
 
-@lru_cache(1)
-def _words(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def token_ids(texts: pa.Array, words: WordIds, end: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids, document after document with `end` behind each, and the documents' numbers of ids."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -144,7 +140,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
         raise ValueError("the capacity must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(path)
+        words = per_worker(f"words of {path}", lambda: WordIds(path))
         for batch in batches:
             step = max(1, int(batch.num_rows * BATCH_BYTES / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):

@@ -237,7 +237,7 @@ def contexts(docs: DataFrame, sketch: Sketch, w: Windows, scan: Callable, flanks
     `flanks_of(found, pick, units)` gives what surrounds the cores, as rows of bytes (a multiple of 8 each).
     The windows of a hot core go as rows of their own: `bit` tells which, and their own hash is the key.
     """
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
+    held = docs.sparkSession.sparkContext.broadcast((sketch.bits, sketch.hot))
 
     def rows_of(found: Anchors, keep: np.ndarray, units: np.ndarray, of_doc: dict[str, np.ndarray], at: np.ndarray, hot_keys: np.ndarray) -> tuple[dict, np.ndarray]:
         flanks = flanks_of(found, keep, units)
@@ -260,7 +260,7 @@ def contexts(docs: DataFrame, sketch: Sketch, w: Windows, scan: Callable, flanks
         yield from context_batch({c: np.concatenate([r[c] for r, _ in parts]) for c in parts[0][0]}, np.concatenate([f for _, f in parts]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, parts = held.value, []
+        sketch, parts = Sketch(*held.value), []
         for batch in batches:
             ids = batch.column(0)
             doc_id, null, own_key = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), batch.column(1).to_numpy()

@@ -111,10 +111,10 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     sketch = repeats.count_sketch(docs.select("text"), keys_of)
     found = repeats.contexts(docs, sketch, w, lambda texts: _scan(texts, w), lambda found, pick, _: _flanks(found, pick, w))
     rows = repeats.unrepeated(found, _solver(w))
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
+    held = docs.sparkSession.sparkContext.broadcast((sketch.bits, sketch.hot))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = held.value
+        sketch = repeats.Sketch(*held.value)
         for batch in batches:
             texts = batch.column(1)
             for a, b, values, sizes, found in _scan(texts, w):

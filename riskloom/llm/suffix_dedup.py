@@ -202,10 +202,10 @@ def _applied(docs: DataFrame, length: int) -> DataFrame:
     sketch = repeats.count_sketch(docs.select("text"), keys_of)
     found = repeats.contexts(docs, sketch, w, lambda texts: _scan(texts, w), lambda found, pick, units: _flanks(found, pick, units, w))
     rows = repeats.unrepeated(found, _solver(w))
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
+    held = docs.sparkSession.sparkContext.broadcast((sketch.bits, sketch.hot))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = held.value
+        sketch = repeats.Sketch(*held.value)
         for batch in batches:
             for a, b, units, sizes, found in _scan(batch.column(1), w):
                 base = np.cumsum(sizes) - sizes

@@ -158,7 +158,7 @@ def test_pipeline(spark, small):
     rows = sorted(set(rows))  # repeated rows are one near copy of each other
     first = groups([fingerprint(t) for _, t in rows])
     rows = [r for k, r in enumerate(rows) if first[k] == k]
-    gone = covered([t.encode() for _, t in rows], 400)
+    gone = covered([t.encode() for _, t in rows], corpus_pipeline.PASSAGE_BYTES)
     rows = [(i, np.frombuffer(t.encode(), np.uint8)[~g].tobytes().decode("utf-8", "ignore")) for (i, t), g in zip(rows, gone, strict=True)]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     rows = [(i, without_hits(t, p) if p else t) for (i, t), (n, p, _) in zip(rows, hits([t for _, t in rows], items), strict=True) if 2 * len(p) <= n]

@@ -156,7 +156,7 @@ def test_packing_awkward(spark, tmp_path, monkeypatch):
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=40))
 def test_words_are_tokenised_as_texts(text):
-    known = packing._words(PATH)
+    known = packing.WordIds(PATH)
     import pyarrow as pa
     ids, counts = packing.token_ids(pa.array([text]), known, 2)
     assert ids.tolist() == [*known.tokenizer.encode(text, add_special_tokens=False).ids, 2] and counts.tolist() == [len(ids)]
