@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.text import dialect, folded, let, located_matches, matches, placed_matches, split_lines, strip
 from riskloom.operators.findings import context_of
+from riskloom.operators.js_lexer import with_js_code
 from riskloom.operators.line_rules import C_NAMES
 
 # Fixed values: (rule, pattern, case-insensitive, type) of the secret search, in report order; then our message and
@@ -112,66 +113,80 @@ REGEXP_LITERAL = r"""\bnew\s+RegExp\s*\(\s*(?:"[^"\n]*\.\*[^"\n]*"|'[^'\n]*\.\*[
 # (rule, column to search, text it must hold, pattern, type, message)
 JS_TOKENS = [
     ("JX1", "bare", "eval", NOT_MEMBER + r"eval\s*\(", "Insecure Function Usage", "eval() runs its input as code."),
-    ("JX2", "bare", "exec", NOT_MEMBER + r"(?:child_process|require\s*\([^()]*\))\s*\.\s*exec\s*\(", "Suspicious Subprocess Call", "A command is run through child_process."),
-    ("JX4", "uncommented", "RegExp", REGEXP_LITERAL, "Insecure Regex", "The pattern holds '.*'."),
+    ("JX2", "called", "exec", NOT_MEMBER + r"(?:child_process|require\s*\([^()]*\))\s*\.\s*exec\s*\(", "Suspicious Subprocess Call", "A command is run through child_process."),
+    ("JX4", "called", "RegExp", REGEXP_LITERAL, "Insecure Regex", "The pattern holds '.*'."),
 ]
 
 
-def js_token_findings(files: DataFrame) -> DataFrame:
-    """JX1, JX2, JX4 on text whose comments (and literals) are blanked."""
-    def search(lines: Column, rule: str, column: str, gate: str, pattern: str, kind: str, message: str) -> Column:
+def token_hits(lines: Column) -> Column:
+    """JX1, JX2, JX4 of a file's row: array<struct<rule_id, type, line, snippet, message>>."""
+    def search(rule: str, column: str, gate: str, pattern: str, kind: str, message: str) -> Column:
         found = located_matches(F.col(column), pattern)
         return F.when(F.contains(column, F.lit(gate)), F.transform(found, lambda m: F.struct(
             F.lit(rule).alias("rule_id"), F.lit(kind).alias("type"), m["line"].alias("line"),
             at(lines, m["line"]).alias("snippet"), F.lit(message).alias("message"))))
 
-    found = let(stripped_lines(), lambda lines: F.flatten(F.array_compact(F.array(*[search(lines, *rule) for rule in JS_TOKENS]))))
-    return with_code_text(files, "eval", "exec", "RegExp").select("path", F.inline(found))
+    return F.flatten(F.array_compact(F.array(*[search(*rule) for rule in JS_TOKENS])))
 
 
 BINDING = r"""\{([^{}]*)\}\s*=\s*require\s*\(\s*['"]child_process['"]\s*\)"""
 CALL_SITE = r"(?<![\w$.])(?<!\bfunction )[A-Za-z_$][\w$]*+\s*\("
 
 
-def js_bound_calls(files: DataFrame) -> DataFrame:
-    """JX3, J7: calls of names bound from child_process. The semi-join stays within the file's row."""
-    lists = F.regexp_extract_all("uncommented", F.lit(dialect(BINDING)), F.lit(1))
+def bound_hits(lines: Column) -> Column:
+    """JX3, J7: calls of names bound from child_process: array<struct<rule_id, type, line, name, snippet>>. The semi-join stays within the file's row."""
+    lists = F.regexp_extract_all("called", F.lit(dialect(BINDING)), F.lit(1))
     names = F.filter(
         F.transform(F.flatten(F.transform(lists, lambda l: F.split(l, ","))), lambda p: strip(F.substring_index(p, ":", 1))),
         lambda n: n != "")
-    binding = with_code_text(files, "child_process")
     sites = F.transform(located_matches(F.col("bare"), CALL_SITE), lambda m: F.struct(
         m["line"].alias("line"), F.regexp_extract(m["text"], r"^[\w$]+", 0).alias("name")))
-    calls = let(names, lambda bound: F.filter(sites, lambda s: F.array_contains(bound, s["name"])))
-    found = let(stripped_lines(), lambda lines: F.transform(calls, lambda c: F.struct(
+    calls = F.when(F.contains("content", F.lit("child_process")), let(names, lambda bound: F.filter(sites, lambda s: F.array_contains(bound, s["name"]))))
+    return F.transform(calls, lambda c: F.struct(
         F.lit("JX3").alias("rule_id"), F.lit("Suspicious Subprocess Call").alias("type"), c["line"].alias("line"), c["name"].alias("name"),
-        at(lines, c["line"]).alias("snippet"))))
-    return binding.select("path", F.inline(found))
+        at(lines, c["line"]).alias("snippet")))
 
 
 SQL_PIECE = r"select|insert|update|delete|where|from"
 
 
-def js_template_sql(files: DataFrame) -> DataFrame:
-    """JX5: each piece of a template literal that holds a SQL word; the line is where the literal starts."""
-    literals = located_matches(F.col("uncommented"), TEMPLATE)
-    pieces = F.flatten(F.transform(literals, lambda m: F.transform(
-        F.split(m["text"], r"\$\{[^}]*\}", -1), lambda p: F.struct(m["line"].alias("line"), p.alias("piece")))))
+def sql_hits(lines: Column) -> Column:
+    """JX5: each piece of a template literal that holds a SQL word, at the line where the literal starts: array<struct<rule_id, type, line, snippet>>."""
+    pieces = F.flatten(F.transform("templates", lambda t: F.transform(t["pieces"], lambda p: F.struct(t["line"].alias("line"), p.alias("piece")))))
     hits = F.filter(pieces, lambda p: F.rlike(p["piece"], F.lit(dialect(SQL_PIECE, ci=True))))
-    found = let(stripped_lines(), lambda lines: F.transform(hits, lambda h, i: F.struct(
-        (i + 1).alias("seq"), F.lit("JX5").alias("rule_id"), F.lit("Possible SQL Injection").alias("type"), h["line"].alias("line"),
-        at(lines, h["line"]).alias("snippet"))))
-    return with_code_text(files, "`").select("path", F.inline(found))
+    return F.transform(hits, lambda h: F.struct(
+        F.lit("JX5").alias("rule_id"), F.lit("Possible SQL Injection").alias("type"), h["line"].alias("line"), at(lines, h["line"]).alias("snippet")))
+
+
+def js_token_findings(files: DataFrame) -> DataFrame:
+    """JX1, JX2, JX4: (path, rule_id, type, line, snippet, message)."""
+    return with_js_code(files, "eval", "exec", "RegExp").select("path", F.inline(let(stripped_lines(), token_hits)))
+
+
+def js_bound_calls(files: DataFrame) -> DataFrame:
+    """JX3: (path, rule_id, type, line, name, snippet)."""
+    return with_js_code(files, "child_process").select("path", F.inline(let(stripped_lines(), bound_hits)))
+
+
+def js_template_sql(files: DataFrame) -> DataFrame:
+    """JX5: (path, seq, rule_id, type, line, snippet), seq in the order of the text."""
+    found = with_js_code(files, "`").select("path", F.posexplode(let(stripped_lines(), sql_hits)).alias("pos", "f"))
+    return found.select("path", (F.col("pos") + 1).alias("seq"), "f.*")
 
 
 def js_tree_findings(files: DataFrame) -> DataFrame:
-    """JX1-JX5 as findings (path, seq, rule_id, type, line, snippet, message); seq follows line order, then rule order."""
-    columns = ["path", "rule_id", "type", "line", "snippet", "message"]
-    bound = js_bound_calls(files).withColumn("message", F.concat(F.col("name"), F.lit("() runs a command through child_process.")))
-    sql = js_template_sql(files).withColumn("message", F.lit("SQL text is put together in a template literal; bind its values instead."))
-    found = js_token_findings(files).select(columns).unionByName(bound.select(columns)).unionByName(sql.select(columns))
+    """JX1-JX5 as findings (path, seq, rule_id, type, line, snippet, message); seq follows line order, then rule order. One cut into tokens per file."""
+    def all_hits(lines: Column) -> Column:
+        def told(hits: Column, message) -> Column:
+            return F.transform(hits, lambda h: F.struct(*[h[c].alias(c) for c in ("rule_id", "type", "line", "snippet")], message(h).alias("message")))
+
+        bound = told(bound_hits(lines), lambda h: F.concat(h["name"], F.lit("() runs a command through child_process.")))
+        sql = told(sql_hits(lines), lambda _: F.lit("SQL text is put together in a template literal; bind its values instead."))
+        return F.flatten(F.array_compact(F.array(token_hits(lines), bound, sql)))
+
+    found = with_js_code(files, "eval", "exec", "RegExp", "child_process", "`").select("path", F.inline(let(stripped_lines(), all_hits)))
     order = (F.col("line").cast("bigint") * 10 + F.substring("rule_id", 3, 1).cast("int")).alias("seq")
-    return found.select("path", order, *columns[1:])
+    return found.select("path", order, "rule_id", "type", "line", "snippet", "message")
 
 
 C_CALL = r"\b(?:" + "|".join(C_NAMES) + r")\s*\("
