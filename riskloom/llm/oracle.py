@@ -31,25 +31,52 @@ WITH lists(lang, vocabulary) AS (VALUES
     list_transform(vocabulary, lambda v: len(list_filter(ws, lambda w: w = v))) AS found,
     len(regexp_extract_all(marks, '\p{Nd}')) AS digits, len(regexp_extract_all(marks, '[.,;:!?''"()-]')) AS stops
   FROM base
+), shaped AS (
+  SELECT rid, doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    [word_chars - length(marks), digits, stops, n_symbols, length(marks) - n_symbols - digits - stops, n_chars - word_chars] AS chars,
+    CASE WHEN vocabulary IS NOT NULL THEN list_append(found, n_words - list_sum(found)::BIGINT) END AS common
+  FROM counted
+), known AS (
+  SELECT row_number() OVER () AS kid, * FROM (SELECT DISTINCT lang, n_words, chars, common FROM shaped WHERE NOT base_failed AND lang IS NOT NULL)
+), enough AS (
+  SELECT lang FROM known GROUP BY lang HAVING sum(n_words) >= 10000
 ), cells AS (
-  SELECT rid, lang, base_failed, n_words, 'chars' AS kind, unnest(range(6)) AS k,
-    unnest([word_chars - length(marks), digits, stops, n_symbols, length(marks) - n_symbols - digits - stops, n_chars - word_chars]) AS v FROM counted
+  SELECT kid, lang, n_words, 'chars' AS kind, unnest(range(6)) AS k, unnest(chars) AS v FROM known SEMI JOIN enough USING (lang)
   UNION ALL
-  SELECT rid, lang, base_failed, n_words, 'common', unnest(range(19)), unnest(list_append(found, n_words - list_sum(found)::BIGINT)) FROM counted WHERE vocabulary IS NOT NULL
-), enough AS (
-  SELECT lang FROM counted WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= 10000
+  SELECT kid, lang, n_words, 'common', unnest(range(19)), unnest(common) FROM known SEMI JOIN enough USING (lang) WHERE common IS NOT NULL
+), weighed AS (
+  SELECT *, floor(v * least(n_words, 1000) * 1000000 / sum(v) OVER (PARTITION BY kid, kind))::BIGINT AS share FROM cells
+), first_reference AS (
+  SELECT lang, kind, k, sum(share) AS r FROM weighed GROUP BY ALL
+), first_distances AS (
+  SELECT kid, lang, kind, floor(1000 * sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)))::INTEGER AS bin
+  FROM (SELECT kid, lang, kind, v / sum(v) OVER (PARTITION BY kid, kind) AS p, r / sum(r) OVER (PARTITION BY kid, kind) AS q FROM weighed JOIN first_reference USING (lang, kind, k))
+  GROUP BY kid, lang, kind
+), medians AS (
+  SELECT lang, kind, quantile_disc(bin, 0.5) AS middle FROM first_distances GROUP BY lang, kind
+), near AS (
+  SELECT kid FROM first_distances JOIN medians USING (lang, kind) GROUP BY kid HAVING bool_and(bin <= middle)
+), second_reference AS (
+  SELECT lang, kind, k, sum(share) AS r2 FROM weighed SEMI JOIN near USING (kid) GROUP BY ALL
 ), reference AS (
-  SELECT lang, kind, k, sum(v) AS r FROM cells WHERE NOT base_failed AND lang IN (SELECT lang FROM enough) GROUP BY ALL
+  SELECT lang, kind, k, coalesce(r2, r) AS r FROM first_reference LEFT JOIN second_reference USING (lang, kind, k)
+), judged AS (
+  SELECT rid, lang, n_words, 'chars' AS kind, unnest(range(6)) AS k, unnest(chars) AS v FROM shaped
+  UNION ALL
+  SELECT rid, lang, n_words, 'common', unnest(range(19)), unnest(common) FROM shaped WHERE common IS NOT NULL
 ), shares AS (
   SELECT rid, kind, n_words, v / sum(v) OVER (PARTITION BY rid, kind) AS p, r / sum(r) OVER (PARTITION BY rid, kind) AS q
-  FROM cells JOIN reference USING (lang, kind, k)
+  FROM judged JOIN reference USING (lang, kind, k)
 ), distances AS (
-  SELECT rid, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d
-  FROM shares WHERE kind = 'chars' OR n_words >= 200 GROUP BY rid, kind
-), far AS (SELECT DISTINCT rid FROM distances WHERE NOT isnan(d) AND d > CASE kind WHEN 'chars' THEN 0.30 ELSE 0.26 END)
+  SELECT rid, kind, any_value(n_words) AS n_words, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d
+  FROM shares GROUP BY rid, kind
+), far AS (
+  SELECT DISTINCT rid FROM distances
+  WHERE NOT isnan(d) AND d > sqrt(CASE kind WHEN 'chars' THEN 0.008::DOUBLE + 2.9::DOUBLE / greatest(n_words, 1) ELSE 0.012::DOUBLE + 7::DOUBLE / greatest(n_words, 1) END)
+)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND rid NOT IN (SELECT rid FROM far) AS kept
-FROM counted
+FROM shaped
 """
 
 DECONTAMINATE = r"""

@@ -1,18 +1,25 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-A document is compared with the pooled documents of its own language: once by
-its histogram of character classes, once by its histogram of common words, each
-by Jensen-Shannon distance (base 2, 0 to 1).  Counts per document are small
-numbers; the references are sums of them per language, so the text is read once
-and only counts are shuffled (partial sums first).
-
-Guards: a document under `min_words` words fails the base rules; one under
-`min_judged` words is not judged by common words; a language whose documents
-have under `min_reference` words in all, or no language, gives no reference and
-the document keeps the base verdict.
-
-Null text counts as empty: no words, base_failed.  Repeated rows each give a
-row.  An empty table gives an empty result.  Other columns are not looked at.
+A document is compared with the documents of its own language: once by its
+histogram of character classes, once by its histogram of common words, each by
+Jensen-Shannon distance (base 2, 0 to 1).  A short text strays further from its own
+language by chance alone, so a limit is sqrt(a + b / number of words).
+
+A reference is taken twice, so that junk, copies and long texts do not bend it: first
+from all documents that pass the base rules, each different histogram once and with
+the weight of its words, up to `MOST_WEIGHT`; then from those among them that are no
+further than the median from the first one, in both histograms.  Sums are of whole
+numbers (shares in millionths), so every run gives the same verdicts.  The text is
+read once; only counts are shuffled.
+
+Guards: a document under `min_words` words fails the base rules; a language whose
+documents have under `min_reference` words in all, or no language, gives no
+reference and the document keeps the base verdict; a language without a list of
+common words is judged by character classes alone.
+
+Null text counts as empty: no words, base_failed.  Texts of any length are counted
+whole.  Repeated rows each give a row; a distance equal to its limit passes.  An empty
+table gives an empty result.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import cut, text_key, words
@@ -36,8 +43,10 @@ COMMON_WORDS = 18  # of each language
 VOCABULARY = sorted({w for ws in COMMON.values() for w in ws})
 SYMBOLS = r"[#*$%&|<>]"
 
-MIN_WORDS, MIN_JUDGED, MIN_REFERENCE = 50, 200, 10_000
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.26
+MIN_WORDS, MIN_REFERENCE, MOST_WEIGHT = 50, 10_000, 1000
+#: (a, b) of the limit sqrt(a + b / words) of each distance.
+CHAR_LIMIT, WORD_LIMIT = (0.008, 2.9), (0.012, 7.0)
+BINS = 1000  # of a distance, for the medians
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -112,20 +121,47 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.when((na > 0) & (nb > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
-def references(counts: DataFrame, min_reference: int = MIN_REFERENCE) -> DataFrame:
-    """Summed histograms of each language's documents that pass the base rules; a row per language."""
-    sums = lambda name, n: F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(n)])
-    return (
-        counts.where(F.col("lang").isNotNull() & ~F.col("base_failed")).groupBy("lang")
-        .agg(sums("chars", 6).alias("ref_chars"), sums("common", COMMON_WORDS + 1).alias("ref_common"), F.sum("n_words").alias("ref_words"))
-        .where(F.col("ref_words") >= min_reference).drop("ref_words")
-    )
+def pooled(rows: DataFrame) -> DataFrame:
+    """Weighted sums of the histograms, and the words, of each language; a row per language."""
+    weight = F.least("n_words", F.lit(MOST_WEIGHT))
+
+    def sums(name: str, n: int) -> Column:
+        total = F.aggregate(name, F.lit(0).cast("long"), lambda s, v: s + v)
+        return F.array(*[F.sum(F.when(total > 0, F.floor(F.get(name, F.lit(i)) * weight * 1_000_000 / total).cast("long"))) for i in range(n)])
 
+    return rows.groupBy("lang").agg(sums("chars", 6).alias("ref_chars"), sums("common", COMMON_WORDS + 1).alias("ref_common"), F.sum("n_words").alias("ref_words"))
 
-def assess(docs: DataFrame, min_words: int = MIN_WORDS, min_judged: int = MIN_JUDGED, min_reference: int = MIN_REFERENCE,
-           max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+
+def references(counts: DataFrame, min_reference: int = MIN_REFERENCE) -> DataFrame:
+    """The histograms of each language's ordinary documents; a row per language."""
+    known = counts.where(F.col("lang").isNotNull() & ~F.col("base_failed")).select("lang", "n_words", "chars", "common").distinct()
+    first = pooled(known).where(F.col("ref_words") >= min_reference).drop("ref_words")
+    binned = lambda own, ref: F.coalesce(F.floor(js_distance(F.col(own), F.col(ref)) * BINS), F.lit(0)).cast("int")
+    placed = cut(known.join(first, "lang").select(*known.columns, binned("chars", "ref_chars").alias("char_bin"), binned("common", "ref_common").alias("word_bin")))
+    half = first.select("lang")
+    for name in ("char_bin", "word_bin"):  # at most BINS + 1 rows a language
+        bins = placed.groupBy("lang", name).agg(F.count("*").alias("n"))
+        below, all_ = F.sum("n").over(Window.partitionBy("lang").orderBy(name)), F.sum("n").over(Window.partitionBy("lang"))
+        half = half.join(bins.withColumn("up", 2 * below >= all_).where("up").groupBy("lang").agg(F.min(name).alias(f"most_{name}")), "lang")
+    near = placed.join(half, "lang").where("char_bin <= most_char_bin AND word_bin <= most_word_bin")
+    second = pooled(near).select("lang", F.col("ref_chars").alias("near_chars"), F.col("ref_common").alias("near_common"))
+    return first.join(second, "lang", "left").select("lang", F.coalesce("near_chars", "ref_chars").alias("ref_chars"), F.coalesce("near_common", "ref_common").alias("ref_common"))
+
+
+def assess(docs: DataFrame, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE,
+           char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT) -> DataFrame:
     """A row per row of `docs`: the base numbers, both distances (null without a reference) and the verdict."""
-    return _judged(features(docs), min_words, min_judged, min_reference, max_char_distance, max_word_distance)
+    counts = features(docs)
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    counts = cut(counts.withColumn("base_failed", failed))
+    judged = counts.join(references(counts, min_reference), "lang", "left").select(
+        *[c for c in counts.columns if c not in ("chars", "common", "lang")],
+        js_distance(F.col("chars"), F.col("ref_chars")).alias("char_distance"),
+        js_distance(F.col("common"), F.col("ref_common")).alias("word_distance"),
+    )
+    limit = lambda ab: F.sqrt(F.lit(ab[0]) + F.lit(ab[1]) / F.greatest("n_words", F.lit(1)))
+    near = (F.coalesce("char_distance", F.lit(0.0)) <= limit(char_limit)) & (F.coalesce("word_distance", F.lit(0.0)) <= limit(word_limit))
+    return judged.withColumn("kept", ~F.col("base_failed") & near)
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -135,15 +171,3 @@ def keep(docs: DataFrame) -> DataFrame:
     rejected = rejected.select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key"), F.col("own_lang").alias("bad_lang"))
     same = docs["doc_id"].eqNullSafe(rejected["bad_id"]) & (text_key(docs["text"]) == rejected["bad_key"]) & docs["lang"].eqNullSafe(rejected["bad_lang"])
     return docs.join(rejected, same, "left_anti")
-
-
-def _judged(counts: DataFrame, min_words: int, min_judged: int, min_reference: int, max_char_distance: float, max_word_distance: float) -> DataFrame:
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counts = cut(counts.withColumn("base_failed", failed))
-    judged = counts.join(references(counts, min_reference), "lang", "left").select(
-        *[c for c in counts.columns if c not in ("chars", "common", "lang")],
-        js_distance(F.col("chars"), F.col("ref_chars")).alias("char_distance"),
-        F.when(F.col("n_words") >= min_judged, js_distance(F.col("common"), F.col("ref_common"))).alias("word_distance"),
-    )
-    near = (F.coalesce(F.col("char_distance"), F.lit(0.0)) <= max_char_distance) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= max_word_distance)
-    return judged.withColumn("kept", ~F.col("base_failed") & near)

@@ -62,24 +62,34 @@ def quality(docs):
             found = [ws.count(w) for w in COMMON[lang]]
             common = [*found, len(ws) - sum(found)]
         rows.append((doc_id, lang, base, len(ws) < 50 or 100 * len(repeated) > 50 * len(ws), chars, common))
-    reference = defaultdict(lambda: [0, np.zeros(6), np.zeros(19)])
-    for _, lang, base, failed, chars, common in rows:
-        if lang is not None and not failed:
-            r = reference[lang]
-            r[0] += base[0]
-            r[1] += chars
-            if common:
-                r[2] += common
-
     def distance(a, b):
         a, b = np.array(a, float) / sum(a), np.array(b, float) / sum(b)
         return math.sqrt(max(0, sum((p * math.log2(2 * p / (p + q)) if p else 0) + (q * math.log2(2 * q / (p + q)) if q else 0) for p, q in zip(a, b, strict=True)) / 2))
 
+    def pooled(found):
+        both = [[0] * 6, [0] * 19]
+        for n, *kinds in found:
+            for total, values in zip(both, kinds, strict=True):
+                for k, v in enumerate(values or ()):
+                    total[k] += v * min(n, 1000) * 1_000_000 // sum(values)
+        return both
+
+    reference = {}
+    for language in {lang for _, lang, *_ in rows if lang is not None}:
+        known = list({(base[0], tuple(chars), tuple(common or ())) for _, lang, base, failed, chars, common in rows if lang == language and not failed})
+        if sum(n for n, *_ in known) >= 10_000:
+            first = pooled(known)
+            bins = [[int(1000 * distance(x, r)) if x and sum(r) else 0 for x, r in zip(row[1:], first, strict=True)] for row in known]
+            middle = [sorted(b)[(len(b) + 1) // 2 - 1] for b in zip(*bins, strict=True)]
+            near = [row for row, own in zip(known, bins, strict=True) if own[0] <= middle[0] and own[1] <= middle[1]]
+            reference[language] = pooled(near or known)
+
     out = []
     for doc_id, lang, base, failed, chars, common in rows:
         kept = not failed
-        if kept and lang in reference and reference[lang][0] >= 10_000:
-            kept = distance(chars, reference[lang][1]) <= 0.30 and not (common and base[0] >= 200 and distance(common, reference[lang][2]) > 0.26)
+        if kept and lang in reference:
+            n, (chars_of, common_of) = base[0], reference[lang]
+            kept = distance(chars, chars_of) <= math.sqrt(0.008 + 2.9 / n) and not (common and distance(common, common_of) > math.sqrt(0.012 + 7 / n))
         out.append((doc_id, *base, failed, kept))
     return out
 

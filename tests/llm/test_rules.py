@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
@@ -196,3 +197,17 @@ def test_conversations(spark):
     got = {r.conv_id: r for r in QUERIES["op7_chat_events"](spark, SF).collect()}
     assert {c: tuple(r)[:5] for c, r in got.items()} == want
     assert all(r.formatted_chars > r.loss_chars for r in got.values())
+
+
+def test_quality_reference_withstands_junk(spark):
+    """Junk with a third of a language's rows, one very long text and a group of copies do not become the reference."""
+    rng = random.Random(3)
+    common, rare = quality_rules.COMMON["en"], [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    said = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) for _ in range(n)) + "."
+    junk = lambda n: " ".join("".join(rng.choice("#*$%&|<>") for _ in range(4)) for _ in range(n))
+    clean = [(i, said(rng.randint(100, 300)), "en") for i in range(300)]
+    bad = [(1000 + i, junk(rng.randint(100, 300)), "en") for i in range(150)] + [(2000, junk(60_000), "en")]
+    copies = [(3000 + i, "one two three four five six seven eight " * 2 + said(80), "en") for i in range(1)] * 150
+    got = {r.doc_id: r.kept for r in quality_rules.assess(spark.createDataFrame(clean + bad + copies, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[i] for i, *_ in bad)
+    assert sum(got[i] for i, *_ in clean) >= 0.98 * len(clean)
