@@ -47,6 +47,7 @@ MIN_WORDS, MIN_REFERENCE, MOST_WEIGHT = 50, 10_000, 1000
 #: (a, b) of the limit sqrt(a + b / words) of each distance.
 CHAR_LIMIT, WORD_LIMIT = (0.008, 2.9), (0.012, 7.0)
 BINS = 1000  # of a distance, for the medians
+MOST_LANGUAGES = 20_000  # up to so many references, of 200 bytes each, are broadcast
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -134,18 +135,21 @@ def pooled(rows: DataFrame) -> DataFrame:
 
 def references(counts: DataFrame, min_reference: int = MIN_REFERENCE) -> DataFrame:
     """The histograms of each language's ordinary documents; a row per language."""
-    known = counts.where(F.col("lang").isNotNull() & ~F.col("base_failed")).select("lang", "n_words", "chars", "common").distinct()
-    first = pooled(known).where(F.col("ref_words") >= min_reference).drop("ref_words")
+    known = cut(counts.where(F.col("lang").isNotNull() & ~F.col("base_failed")).select("lang", "n_words", "chars", "common").distinct())
+    first = cut(pooled(known).where(F.col("ref_words") >= min_reference).drop("ref_words"))
+    small = first.count() <= MOST_LANGUAGES
     binned = lambda own, ref: F.coalesce(F.floor(js_distance(F.col(own), F.col(ref)) * BINS), F.lit(0)).cast("int")
-    placed = cut(known.join(first, "lang").select(*known.columns, binned("chars", "ref_chars").alias("char_bin"), binned("common", "ref_common").alias("word_bin")))
-    half = first.select("lang")
-    for name in ("char_bin", "word_bin"):  # at most BINS + 1 rows a language
-        bins = placed.groupBy("lang", name).agg(F.count("*").alias("n"))
-        below, all_ = F.sum("n").over(Window.partitionBy("lang").orderBy(name)), F.sum("n").over(Window.partitionBy("lang"))
-        half = half.join(bins.withColumn("up", 2 * below >= all_).where("up").groupBy("lang").agg(F.min(name).alias(f"most_{name}")), "lang")
-    near = placed.join(half, "lang").where("char_bin <= most_char_bin AND word_bin <= most_word_bin")
+    bins = F.array(binned("chars", "ref_chars"), binned("common", "ref_common")).alias("bins")
+    placed = known.join(F.broadcast(first) if small else first, "lang").select(*known.columns, bins)
+    # At most 2 (BINS + 1) rows a language, counted before they are dealt by language.
+    counted = placed.select("lang", F.posexplode("bins").alias("kind", "bin")).groupBy("lang", "kind", "bin").agg(F.count("*").alias("n")).repartition("lang")
+    below, every = F.sum("n").over(Window.partitionBy("lang", "kind").orderBy("bin")), F.sum("n").over(Window.partitionBy("lang", "kind"))
+    middle = counted.withColumn("up", 2 * below >= every).where("up").groupBy("lang").agg(
+        F.min(F.when(F.col("kind") == 0, F.col("bin"))).alias("most_chars"), F.min(F.when(F.col("kind") == 1, F.col("bin"))).alias("most_common"))
+    near = placed.join(F.broadcast(middle) if small else middle, "lang").where("bins[0] <= most_chars AND bins[1] <= most_common")
     second = pooled(near).select("lang", F.col("ref_chars").alias("near_chars"), F.col("ref_common").alias("near_common"))
-    return first.join(second, "lang", "left").select("lang", F.coalesce("near_chars", "ref_chars").alias("ref_chars"), F.coalesce("near_common", "ref_common").alias("ref_common"))
+    found = first.join(second, "lang", "left").select("lang", F.coalesce("near_chars", "ref_chars").alias("ref_chars"), F.coalesce("near_common", "ref_common").alias("ref_common"))
+    return F.broadcast(found) if small else found
 
 
 def assess(docs: DataFrame, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE,
