@@ -6,6 +6,9 @@ or type may hold any share of the rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,15 +99,24 @@ def usage_counts(enriched: DataFrame) -> DataFrame:
 
 
 PART = 1000
+SLICE = 10_000  # numbers of `seq` that are counted together
+LEAST = -(1 << 62)
 
 
-def numbered_parts(rows: DataFrame, within: list[str] = (), size: int = PART) -> DataFrame:
-    """Add `part`: the rows of a file, counted in the order of `seq`, in parts of `size` rows.
+def numbered_parts(rows: DataFrame, within: list[str] = (), size: int = PART, width: int = SLICE) -> DataFrame:
+    """Add `part`: the rows of a file, counted in the order of `seq`, in parts of `size` rows; ties in `seq` go by type and line.
 
-    Counted by a window, which streams sorted rows and holds none of them; ties in `seq` go by type and line.
+    One file may have most of the rows, so no window runs over a whole file: rows are counted per slice of `width`
+    numbers, the slices' sums give each slice the rows before it, and a row's place is that plus its place in the slice.
     """
-    order = Window.partitionBy(*within, "path").orderBy("seq", *[c for c in ("type", "line") if c in rows.columns])
-    return rows.withColumn("part", F.floor((F.row_number().over(order) - 1) / size))
+    keys = [*within, "path", "slice"]
+    sliced = rows.withColumn("slice", F.coalesce(F.floor(F.col("seq") / width), F.lit(LEAST)).cast("long"))  # a null `seq` comes first
+    before = F.sum("n").over(Window.partitionBy(*keys[:-1]).orderBy("slice")) - F.col("n")
+    offsets = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*[F.col(k).alias(f"own_{k}") for k in keys], before.alias("before"))
+    order = Window.partitionBy(*keys).orderBy("seq", *[c for c in ("type", "line") if c in rows.columns])
+    placed = sliced.withColumn("place", F.row_number().over(order))
+    same = reduce(and_, [placed[k].eqNullSafe(offsets[f"own_{k}"]) for k in keys])
+    return placed.join(offsets, same).select(*rows.columns, F.floor((F.col("before") + F.col("place") - 1) / size).alias("part"))
 
 
 def findings_by_file(findings: DataFrame, within: list[str] = (), size: int = PART) -> DataFrame:
