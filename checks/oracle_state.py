@@ -110,6 +110,9 @@ ORACLE = {
     "stream_turns": f"""SELECT CAST(user_id AS VARCHAR) AS key, ts, min(ts) OVER (PARTITION BY user_id, session_no) AS started,
           row_number() OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id) AS turn_no
         FROM ({sessionized(3600)}) QUALIFY ts <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE""",
+    "stream_messages": f"""SELECT CAST(user_id AS VARCHAR) AS key, ts, min(ts) OVER (PARTITION BY user_id, session_no) AS started,
+          row_number() OVER (PARTITION BY user_id, session_no ORDER BY ts, event_type, event_id || ' ' || props) AS turn_no, event_type AS role, event_id || ' ' || props AS text
+        FROM ({sessionized(3600)}) QUALIFY ts <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE""",
     "summary_job": corpus_sql(SUMMARY + """,
         f AS (SELECT path, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low, count(*) AS n FROM r GROUP BY path),
         t AS (SELECT CAST(sum(high) AS BIGINT) AS high, CAST(sum(medium) AS BIGINT) AS medium, CAST(sum(low) AS BIGINT) AS low, CAST(sum(n) AS BIGINT) AS total_issues FROM f),

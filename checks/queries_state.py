@@ -16,7 +16,7 @@ from riskloom.operators import enrich, export, line_rules, match_rules, reports,
 from riskloom.plans import scan
 from riskloom.session import scratch_dir, spread
 from riskloom.sources import files as sources
-from riskloom.streaming import findings_stream, session_stream
+from riskloom.streaming import findings_stream, message_stream, session_stream
 
 def asof():
     return F.to_timestamp_ntz(F.lit("2024-01-30 12:00:00"))
@@ -281,9 +281,19 @@ def stream_turns(spark, sf_dir):
     return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "started")})
 
 
+def stream_messages(spark, sf_dir):
+    """Each turn of the events stream with its texts and its place in its session, up to the watermark."""
+    out, checkpoint = scratch_dir(spark, "messages-out"), scratch_dir(spark, "messages-state")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(sf_dir)
+    turns = stream.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("role"), F.concat("event_id", F.lit(" "), "props").alias("text"))
+    with message_stream.keyed_state(spark):
+        session_stream.drain(message_stream.session_messages(turns, "10 minutes"), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "started")})
+
+
 QUERIES = {f.__name__: f for f in [
     sessions_expired, sessions_evict, sessions_merged, session_resolve, sessions_upsert, sessions_delete, sessions_list, sessionize_ttl,
     session_table, chat_context, session_turns, session_history, reports_append, reports_recent, report_by_id, export_nested_json, export_flat_json,
     export_sarif_results, export_sarif_documents, digest_markdown, export_run, summary_job, expand_archives, decode_text,
-    scan_files, scan_files_flat, stream_findings, stream_sessions, stream_turns,
+    scan_files, scan_files_flat, stream_findings, stream_sessions, stream_turns, stream_messages,
 ]}
