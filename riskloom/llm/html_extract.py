@@ -3,14 +3,20 @@
 A page is parsed into a tree of its blocks, without the zones that markup names as
 no content (menus, page headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments).  All pages of a host induce its wrappers: a text
-block belongs to the template if more than half of the other pages of its layout
+block is a constant node if more than half of the other pages of its layout
 have the same text at the same tag path (the second of two equal ones counts
 apart).  Layouts are the whole host, pages with the same upper containers, and these
 with the same class names; the last two count from three pages on, and one that
 says template is enough.  Pages whose longest blocks, nine tenths of the text, are equal are
-copies and count once.  A list of blocks that mostly differ is one slot, and so
-is an article or main part that the page marks, unless all of it is template; with such
-a part, only that is content.  Without one, blocks that are mostly links go as well.
+copies and count once.  A wrapper is a tree of constant nodes and the blocks around them, in a
+page's order.  Each page is aligned with the trees of its layout by simple tree matching: what
+meets a constant node is template, all else is in a slot.  A list of blocks that mostly differ
+is one slot, and so is an article or main part that the page marks, unless all of it is template;
+with such a part, only that is content.  Without one, lists and boxes that are mostly links go as well,
+paragraphs and headings never do.
+
+Names: a heading is never a zone.  Within a marked article only containers are, if every
+word of a class name (for a div, an id too) says so; elsewhere the leading word does.
 
 Counts are summed by Spark over hashes of blocks, first within a task's batches; a wrapper
 holds at most twice the blocks of its pages' mean for each kind of layout.  Wrappers are
@@ -49,8 +55,10 @@ BLOCKS = set("""address article aside blockquote body center dd details dialog d
 h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CONTAINERS = set("article body center div html main section table tbody td tr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe svg math object textarea title noembed noframes xmp".split())
-NO_CONTENT = set("head nav footer aside form button select menu dialog label input option fieldset".split()) | RAW
+RAW = set("script style noscript template iframe svg textarea title noembed noframes xmp".split())
+NO_CONTENT = set("head nav footer aside form button select menu dialog input option fieldset".split()) | RAW
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | set("p blockquote pre dd figcaption".split())  # blocks that stay however much of them is links
 NAMES = set("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices
 alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs header
 masthead footer comment comments reply replies respond disqus share sharing social related recommended widget pagination pager toolbar
@@ -59,6 +67,9 @@ copyright search contentinfo complementary dialog alertdialog form tooltip""".sp
 SCOPES = set("site page main top left right bottom global primary secondary".split())
 OWNERS = set("article post entry blog story".split())
 ABOUT = NAMES - set("header masthead notice notices alert form tooltip search".split())
+# Within a marked article a name tells a zone only if all its words do: zones, the words before them, and what holds them.
+HOLDERS = set("area bar block box buttons container content items link links list section slot widget wrap wrapper".split())
+ZONES_INSIDE = CONTAINERS | set("ul ol dl".split())
 PART = re.compile(r"""<(article|main|h1)\b([^>]*+)>|\brole\s*=\s*["']?main\b""", re.I)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^"'<>]++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -77,8 +88,10 @@ class Node:
 
 
 def _names_zone(name: str, inside_main: bool) -> bool:
-    """Whether a class name or id as a whole, or its leading word, says that a zone has no content."""
+    """Whether a class name or id as a whole, or its leading word, says that a zone has no content; within a main part, the whole only."""
     words = [w for w in re.split(r"[^a-z]+", name) if w]
+    if inside_main and not set(words) <= NAMES | SCOPES | OWNERS | HOLDERS:
+        return False
     at = next((k for k, w in enumerate(words) if w not in SCOPES), len(words))
     if at + 1 < len(words) and words[at] in OWNERS:
         return words[at + 1] in ABOUT
@@ -88,11 +101,13 @@ def _names_zone(name: str, inside_main: bool) -> bool:
 def _without_content(tag: str, attributes: str, inside_main: bool) -> bool:
     if tag in NO_CONTENT or tag == "header" and not inside_main:
         return True
-    if tag in ("html", "body", "main") or not attributes:
+    if tag in ("html", "body", "main") or tag in HEADINGS or not attributes or inside_main and tag not in ZONES_INSIDE:
         return False
     named = [(name.lower(), value.strip("\"'").lower()) for name, value in NAMED.findall(attributes)]
     if tag == "article":
         return bool({w for _, value in named for w in re.split(r"[^a-z]+", value)} & {"comment", "comments", "reply", "ad", "advert", "promo", "sponsored"})
+    if inside_main and tag == "section":
+        named = [x for x in named if x[0] != "id"]  # the id of a section is that of its heading
     return any(_names_zone(x, inside_main) for _, value in named for x in value.split())
 
 
@@ -134,7 +149,7 @@ def parse(html: str | None) -> Node:
         if parts:
             whole = " ".join("".join(parts).split())
             if whole:
-                stack[-1][1].children.append(Node("#", text=whole, links=min(links, len(whole)), main=stack[-1][2], row=(id(stack[max(0, len(stack) - 2)][1]), stack[-1][0]), key=xxhash.xxh64_intdigest(whole.encode("utf-8", "surrogatepass"))))
+                stack[-1][1].children.append(Node("#", text=whole, links=0 if stack[-1][0] in PROSE else min(links, len(whole)), main=stack[-1][2], row=(id(stack[max(0, len(stack) - 2)][1]), stack[-1][0]), key=xxhash.xxh64_intdigest(whole.encode("utf-8", "surrogatepass"))))
             parts.clear()
         links = 0
 
@@ -240,14 +255,21 @@ def signature(root: Node) -> str:
     return json.dumps(rows, separators=(",", ":"))
 
 
-def from_signature(data: str) -> Node:
+def from_signature(data: str, wanted=None) -> Node:
+    """The tree of a signature; with `wanted`, a test of a text leaf's number and hash, only such leaves and the blocks around them. A leaf's `main` is its number."""
     path: list[Node] = []
+    held = number = 0  # so many blocks of the path are in the tree
     for depth, label, key in json.loads(data):
-        node = Node(label, key=key)
         del path[depth:]
-        if path:
-            path[-1].children.append(node)
+        held = min(held, depth)
+        node = Node(label, key=key)
         path.append(node)
+        if label == "#":
+            node.main, number = number, number + 1
+        if depth and (wanted is None or label == "#" and wanted(node.main, key)):
+            for k in range(max(held, 1), depth + 1):
+                path[k - 1].children.append(path[k])
+            held = depth + 1
     return path[0]
 
 
@@ -313,6 +335,74 @@ def constant(page: Node, reference: Node) -> set[int]:
     return out
 
 
+def _ends(x: list[Node], y: list[Node]) -> tuple[int, int]:
+    """How many children are equal subtrees at the start and, of the rest, at the end; an ordered matching loses nothing by taking them."""
+    least = min(len(x), len(y))
+    head = next((k for k in range(least) if x[k].key != y[k].key), least)
+    tail = next((k for k in range(least - head) if x[-1 - k].key != y[-1 - k].key), least - head)
+    return head, tail
+
+
+def align(page: Node, wrapper: Node) -> list[int]:
+    """Numbers of the page's text leaves that simple tree matching pairs with a leaf of the wrapper; both trees have their shapes.
+
+    The matching keeps order and ancestry, pairs equal tags and equal texts only, and has the most text leaves. Equal subtrees need
+    no grid. Depth is bounded by the page alone; a grid takes a byte for each pair of children that no equal ends take away.
+    """
+    sizes: dict[int, int] = {}
+    for root in (page, wrapper):
+        order, stack = [], [root]
+        while stack:
+            order.append(stack.pop())
+            stack.extend(order[-1].children)
+        for top in reversed(order):
+            sizes[id(top)] = 1 if top.label == "#" else sum(sizes[id(c)] for c in top.children)
+    known: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
+
+    def weight(p: Node, q: Node) -> int:
+        return sizes[id(p)] if p.key == q.key and p.label == q.label else known.get((id(p), id(q)), (0, []))[0]
+
+    todo = [(page, wrapper, False)]
+    while todo:
+        a, b, ready = todo.pop()
+        if (id(a), id(b)) in known or a.label != b.label or a.label == "#" or a.key == b.key:
+            continue
+        head, tail = _ends(a.children, b.children)
+        x, y = a.children[head:len(a.children) - tail], b.children[head:len(b.children) - tail]
+        if not ready:
+            todo.append((a, b, True))
+            todo.extend((p, q, False) for p in x for q in y if p.label == q.label != "#" and p.key != q.key)
+            continue
+        pairs = [*zip(a.children[:head], b.children[:head], strict=True)]
+        pairs += zip(a.children[len(a.children) - tail:], b.children[len(b.children) - tail:], strict=True)
+        total, above, moves = sum(sizes[id(p)] for p, _ in pairs), [0] * (len(y) + 1), []
+        for p in x:
+            row, move = [0], bytearray(1)
+            for j, q in enumerate(y):
+                w = weight(p, q)
+                best = max(above[j + 1], row[j])
+                both = above[j] + w if w else 0
+                row.append(max(best, both))
+                move.append(2 if both > best else int(row[j] > above[j + 1]))
+            above = row
+            moves.append(move)
+        i, j = len(x), len(y)
+        while i and j:
+            step = moves[i - 1][j]
+            if step == 2:
+                pairs.append((x[i - 1], y[j - 1]))
+            i, j = i - (step != 1), j - (step != 0)
+        known[id(a), id(b)] = total + above[-1], pairs
+    out, stack = [], [(page, wrapper)]
+    while stack:
+        a, b = stack.pop()
+        if a.label == b.label and a.key == b.key:
+            out.extend(leaf.main for leaf in leaves(a))
+        else:
+            stack.extend(known.get((id(a), id(b)), (0, []))[1])
+    return out
+
+
 def leaf_keys(root: Node) -> tuple[list[Node], list[int]]:
     """The text leaves, and for each a hash of its tag path, its text and how many equal ones the page has before it."""
     found, keys, seen = [], [], {}
@@ -381,11 +471,11 @@ def _long(values: list[int]) -> pa.Array:
 
 
 def outlines(pages: DataFrame) -> DataFrame:
-    """A row per page with text: its three layouts, its copy key and its leaves' keys."""
+    """A row per page with text: its three layouts, its copy key, its leaves' keys and its tree."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ws: list[list[int]] = [[], [], []]
-            copies, packed = [], []
+            copies, packed, trees = [], [], []
             for of_host, html in zip(batch.column(0), batch.column(1), strict=True):
                 root = parse(html.as_py())
                 found, keys = leaf_keys(root)
@@ -394,9 +484,10 @@ def outlines(pages: DataFrame) -> DataFrame:
                         w.append(k)
                     copies.append(copy_key(found, keys))
                     packed.append(np.array(keys, np.uint64).tobytes())
-            yield pa.RecordBatch.from_arrays([*map(_long, ws), _long(copies), pa.array(packed, pa.binary())], ["w0", "w1", "w2", "copy", "keys"])
+                    trees.append(signature(root))
+            yield pa.RecordBatch.from_arrays([*map(_long, ws), _long(copies), pa.array(packed, pa.binary()), pa.array(trees, pa.string())], ["w0", "w1", "w2", "copy", "keys", "tree"])
 
-    return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(each, "w0 long, w1 long, w2 long, copy long, keys binary")
+    return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(each, "w0 long, w1 long, w2 long, copy long, keys binary, tree string")
 
 
 def _key_counts(firsts: DataFrame) -> DataFrame:
@@ -414,51 +505,93 @@ def _key_counts(firsts: DataFrame) -> DataFrame:
     return firsts.select("w0", "w1", "w2", "keys").mapInArrow(each, "w long, key long, n long").groupBy("w", "key").agg(F.sum("n").alias("n"))
 
 
+def _join_small(rows: DataFrame, small: DataFrame, size: Column, how: str) -> DataFrame:
+    """Rows with what `small` has for their w2, broadcast up to MAX_BROADCAST_BYTES of it."""
+    fits = (small.agg(F.sum(size)).first()[0] or 0) <= MAX_BROADCAST_BYTES
+    return rows.join(F.broadcast(small) if fits else small, "w2", how)
+
+
+def _bare_trees(outlined: DataFrame) -> DataFrame:
+    """(w2, tree, keys): the trees of pages cut down to their constant leaves, and the keys of these; equal ones of a batch once."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[int, str], list[int]] = {}
+            for w2, tree, packed, template in zip(*batch.columns, strict=True):
+                keys = np.frombuffer(packed.as_py(), np.int64)
+                same = np.isin(keys, template.values.to_numpy())
+                if same.any():
+                    bare = signature(from_signature(tree.as_py(), lambda number, _, same=same: same[number]))
+                    found[w2.as_py(), bare] = keys[same].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["w2", "tree", "keys"])
+
+    return outlined.select("w2", "tree", "keys", "template").mapInArrow(each, "w2 long, tree string, keys array<bigint>")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(w2, template): for each layout the keys of its template, counted over all pages."""
+    """(w2, trees): for each layout the trees of its constant nodes, which are counted over all pages.
+
+    The nodes come with the tree of the page that has most of them; a node that this page lacks, with that of the page
+    that has most of those which have it. So every constant node of the layout is in a tree, and most layouts have one.
+    """
     seen = cut(outlines(pages))
-    firsts = cut(seen.groupBy("w0", "copy").agg(F.min_by(F.struct("w1", "w2", "keys"), F.struct("w2", F.xxhash64("keys"))).alias("p")).select("w0", "p.*"))
+    firsts = cut(seen.groupBy("w0", "copy").agg(F.min_by(F.struct("w1", "w2", "keys", "tree"), F.struct("w2", F.xxhash64("keys"))).alias("p")).select("w0", "p.*"))
     # The finer layouts need three pages, as two pages can agree by chance.
     level = F.explode(F.array(*[F.struct(F.col(f"w{k}").alias("w"), F.lit(2 if k == 0 else 3).alias("least")) for k in range(3)]))
     sizes = firsts.select(level.alias("x")).select("x.*").groupBy("w").agg(F.count("*").alias("of"), F.max("least").alias("least")).where("of >= least")
     held = _key_counts(firsts).where("n > 1").join(sizes, "w").where("2 * (n - 1) > of - 1")
     template = cut(held.groupBy("w").agg(F.collect_list("key").alias("keys")))
-    out = seen.select("w0", "w1", "w2").distinct()
+    of_layout = seen.select("w0", "w1", "w2").distinct()
     for k in range(3):
-        out = out.join(template.select(F.col("w").alias(f"w{k}"), F.col("keys").alias(f"keys{k}")), f"w{k}", "left")
+        of_layout = of_layout.join(template.select(F.col("w").alias(f"w{k}"), F.col("keys").alias(f"keys{k}")), f"w{k}", "left")
     none = F.array().cast("array<bigint>")
-    return out.select("w2", F.array_distinct(F.concat(*[F.coalesce(f"keys{k}", none) for k in range(3)])).alias("template")).where(F.size("template") > 0)
+    constant_keys = cut(of_layout.select("w2", F.array_distinct(F.concat(*[F.coalesce(f"keys{k}", none) for k in range(3)])).alias("template")).where(F.size("template") > 0))
+    # All pages count here, copies too: a layout may have no page that is the first of its copies.
+    bare = _bare_trees(_join_small(seen, constant_keys, 8 * F.size("template") + 32, "inner")).groupBy("w2", "tree").agg(F.first("keys").alias("keys"))
+    most = bare.select("w2", "tree", F.size("keys").alias("n"), F.explode("keys").alias("key")).groupBy("w2", "key").agg(F.max(F.struct("n", "tree")).alias("best"))
+    return most.select("w2", "best.tree").distinct().groupBy("w2").agg(F.sort_array(F.collect_list("tree")).alias("trees"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """A row per row of `pages`: page_id, url, text."""
     induced = cut(wrappers(pages))
-    size = induced.agg(F.sum(8 * F.size("template") + 32)).first()[0] or 0
     types = dict(pages.dtypes)
 
     def leaves_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ws, texts, numbers = [], [], []
+            ws, texts, numbers, trees = [], [], [], []
             for of_host, html in zip(batch.column(2), batch.column(3), strict=True):
                 root = parse(html.as_py())
-                found, keys = leaf_keys(root)
+                found = leaves(root)
                 ws.append(layouts(root, of_host.as_py())[2])
+                trees.append(signature(root))
                 texts.append([t.text for t in found])
                 rows: dict[tuple[int, str], int] = {}
-                columns = [keys, [t.links for t in found], [t.main for t in found], [rows.setdefault(t.row, len(rows)) for t in found]]
+                columns = [[t.key for t in found], [t.links for t in found], [t.main for t in found], [rows.setdefault(t.row, len(rows)) for t in found]]
                 numbers.append(np.array(columns, np.uint64).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _long(ws), pa.array(texts, pa.list_(pa.string())), pa.array(numbers, pa.binary())], ["page_id", "url", "w2", "texts", "numbers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _long(ws), pa.array(texts, pa.list_(pa.string())), pa.array(numbers, pa.binary()), pa.array(trees, pa.string())], ["page_id", "url", "w2", "texts", "numbers", "tree"])
 
-    own = pages.select("page_id", "url", host(F.col("url")).alias("host"), "html").mapInArrow(leaves_of, f"page_id {types['page_id']}, url string, w2 long, texts array<string>, numbers binary")
-    joined = own.join(F.broadcast(induced) if size <= MAX_BROADCAST_BYTES else induced, "w2", "left").select("page_id", "url", "texts", "numbers", "template")
+    own = pages.select("page_id", "url", host(F.col("url")).alias("host"), "html").mapInArrow(leaves_of, f"page_id {types['page_id']}, url string, w2 long, texts array<string>, numbers binary, tree string")
+    joined = _join_small(own, induced, F.aggregate("trees", F.lit(0), lambda n, t: n + F.length(t)), "left").select("page_id", "url", "texts", "numbers", "tree", "trees")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for texts, numbers, template in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                keys, links, mains, rows = np.frombuffer(numbers.as_py(), np.uint64).reshape(4, -1)
-                same = np.isin(keys.view(np.int64), template.values.to_numpy()) if template.is_valid else np.zeros(len(keys), bool)
-                out.append(content(texts.as_py(), links.tolist(), mains.tolist(), rows.tolist(), same.tolist()))
+            shaped: dict[str, tuple[Node, set[int]]] = {}  # the wrappers of this batch
+            for texts, numbers, tree, trees in zip(*batch.columns[2:], strict=True):
+                keys, links, mains, rows = np.frombuffer(numbers.as_py(), np.uint64).reshape(4, -1).tolist()
+                same = [False] * len(keys)
+                for bare in trees.as_py() or []:
+                    if bare not in shaped:
+                        wrapper = from_signature(bare)
+                        shape(wrapper)
+                        shaped[bare] = wrapper, {leaf.key for leaf in leaves(wrapper)}
+                    wrapper, wanted = shaped[bare]
+                    if not wanted.isdisjoint(keys):
+                        page = from_signature(tree.as_py(), lambda _, key, wanted=wanted: key in wanted)
+                        shape(page)
+                        for number in align(page, wrapper):
+                            same[number] = True
+                out.append(content(texts.as_py(), links, mains, rows, same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(each, f"page_id {types['page_id']}, url string, text string")
