@@ -199,10 +199,20 @@ SELECT m.path, CAST(row_number() OVER (PARTITION BY m.path ORDER BY m.k, m.j) AS
        'Possible SQL Injection' AS type, m.line, """ + STRIP.format(LINE_AT) + """ AS snippet
 FROM pieces m JOIN code c ON m.path = c.path WHERE regexp_matches(m.piece, '(?i)select|insert|update|delete|where|from')"""
 
-C_EXTENT = CODE + matches_cte("call", "code", "bare", r"\b(?:system|popen|exec|strcpy|gets|sprintf)\s*\(", "path") + f"""
+# A call's text goes on to the bracket that closes it: the first place where as many are closed as opened, character by character.
+C_EXTENT = CODE + matches_cte("call", "code", "bare", r"\b(?:system|popen|exec|strcpy|gets|sprintf)\s*\(", "path") + f""", rest AS (
+  SELECT f.*, substr(array_to_string(string_split(c.bare, chr(10))[f.line:], chr(10)), f.col + length(f.text)) AS rest
+  FROM call f JOIN code c ON f.path = c.path), places AS (
+  SELECT path, line, col, rest, unnest(range(1, length(rest) + 1)) AS k FROM rest), depths AS (
+  SELECT path, line, col, k, sum(CASE substr(rest, k, 1) WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY path, line, col ORDER BY k) AS depth
+  FROM places), closed AS (SELECT path, line, col, min(k) AS k FROM depths WHERE depth = -1 GROUP BY ALL), whole AS (
+  SELECT r.path, r.line, r.col, r.text, r.text || coalesce(left(r.rest, e.k), '') AS extent
+  FROM rest r LEFT JOIN closed e ON r.path = e.path AND r.line = e.line AND r.col = e.col)
 SELECT f.path, 'Dangerous Function' AS type, f.line, regexp_extract(f.text, '^\\w+') AS name, f.line AS "startLine", f.col AS "startColumn",
-       f.line AS "endLine", CAST(f.col + length(f.text) AS INTEGER) AS "endColumn", {context(1)} AS snippet
-FROM call f JOIN code c ON f.path = c.path"""
+       CAST(f.line + length(f.extent) - length(replace(f.extent, chr(10), '')) AS INTEGER) AS "endLine",
+       CAST(CASE WHEN contains(f.extent, chr(10)) THEN length(string_split(f.extent, chr(10))[-1]) + 1 ELSE f.col + length(f.extent) END AS INTEGER) AS "endColumn",
+       {context(1)} AS snippet
+FROM whole f JOIN code c ON f.path = c.path"""
 
 C_DECLS = CODE + matches_cte("decl", "code", "uncommented", r'\b[A-Za-z_]\w*[ \t*&]+[A-Za-z_]\w*[ \t]*(?:\[[^\]\n]*\])?[ \t]*=[ \t]*"[^"\n]*"', "path") + f""", d AS (
   SELECT *, regexp_extract(text, '"[^"]*"$') AS literal FROM decl)

@@ -125,7 +125,8 @@ def running_sums(numbers: Column) -> Column:
 
 def _stretches(texts: Column, pieces: Column) -> Column:
     """What lies between the starts of neighbouring matches: the first piece, then each match with the piece behind it."""
-    return F.transform(texts, lambda _, i: F.when(i == 0, F.get(pieces, F.lit(0))).otherwise(F.concat(F.get(texts, i - 1), F.get(pieces, i))))
+    return let(pieces, lambda between: F.transform(
+        texts, lambda _, i: F.when(i == 0, F.get(between, F.lit(0))).otherwise(F.concat(F.get(texts, i - 1), F.get(between, i)))))
 
 
 def located_matches(content: Column, pattern: str, ci: bool = False) -> Column:

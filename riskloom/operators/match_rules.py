@@ -12,7 +12,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import dialect, folded, let, located_matches, matches, placed_matches, split_lines, strip
+from riskloom.functions.text import dialect, folded, let, located_matches, matches, placed_matches, running_sums, split_lines, strip
 from riskloom.operators.findings import context_of
 from riskloom.operators.js_lexer import with_js_code
 from riskloom.operators.line_rules import C_NAMES
@@ -192,17 +192,46 @@ def js_tree_findings(files: DataFrame) -> DataFrame:
 C_CALL = r"\b(?:" + "|".join(C_NAMES) + r")\s*\("
 
 
+def closed_calls(code: Column) -> Column:
+    """Calls of the six names with the bracket that closes each: array<struct<level, line, column, text, close>>.
+
+    Depths are running sums over all brackets of the file.  A bracket pair are neighbours among the brackets of its level, so one
+    sort by (level, place) finds every pair, nested ones too; `close` is null where the text ends first.
+    """
+    def levelled(found: Column) -> Column:
+        depths = running_sums(F.transform(found, lambda m: F.when(m["text"] == ")", -1).otherwise(1)))
+        return F.array_sort(F.transform(F.arrays_zip(found.alias("m"), depths.alias("depth")), lambda z: F.struct(
+            (z["depth"] + (z["m"]["text"] == ")").cast("int")).alias("level"),
+            z["m"]["line"].alias("line"), z["m"]["column"].alias("column"), z["m"]["text"].alias("text"))))
+
+    def paired(brackets: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            behind = F.get(brackets, i + 1)
+            close = F.when((behind["level"] == e["level"]) & (behind["text"] == ")"), behind)
+            return F.struct(e["line"].alias("line"), e["column"].alias("column"), e["text"].alias("text"), close.alias("close"))
+
+        return F.filter(F.transform(brackets, one), lambda e: F.length(e["text"]) > 1)
+
+    return let(placed_matches(code, C_CALL + "|[()]"), lambda found: let(levelled(found), paired))
+
+
 def cpp_calls_extent(files: DataFrame, around: int = 1) -> DataFrame:
-    """CX1: calls of exactly the six names, with start and end position."""
-    found = let(line_contexts(around), lambda contexts: F.transform(placed_matches(F.col("bare"), C_CALL), lambda m: F.struct(
-        F.lit("Dangerous Function").alias("type"), m["line"].alias("line"),
-        F.regexp_extract(m["text"], r"^\w+", 0).alias("name"),
-        m["line"].alias("startLine"), m["column"].alias("startColumn"),
-        (m["line"] + F.length(m["text"]) - F.length(F.replace(m["text"], F.lit("\n"), F.lit("")))).alias("endLine"),
-        F.when(F.contains(m["text"], F.lit("\n")), F.length(F.substring_index(m["text"], "\n", -1)) + 1)
-        .otherwise(m["column"] + F.length(m["text"])).alias("endColumn"),
-        at(contexts, m["line"]).alias("snippet"))))
-    return with_code_text(files, *C_NAMES).select("path", F.inline(found))
+    """CX1: calls of exactly the six names, from the name to behind the closing bracket; a call that is never closed ends behind its opening one."""
+    def described(contexts: Column) -> Column:
+        def one(m: Column) -> Column:
+            breaks = F.length(m["text"]) - F.length(F.replace(m["text"], F.lit("\n"), F.lit("")))
+            opened = F.when(breaks > 0, F.length(F.substring_index(m["text"], "\n", -1)) + 1).otherwise(m["column"] + F.length(m["text"]))
+            return F.struct(
+                F.lit("Dangerous Function").alias("type"), m["line"].alias("line"),
+                F.regexp_extract(m["text"], r"^\w+", 0).alias("name"),
+                m["line"].alias("startLine"), m["column"].alias("startColumn"),
+                F.coalesce(m["close"]["line"], m["line"] + breaks).alias("endLine"),
+                F.coalesce(m["close"]["column"] + 1, opened).alias("endColumn"),
+                at(contexts, m["line"]).alias("snippet"))
+
+        return F.transform(closed_calls(F.col("bare")), one)
+
+    return with_code_text(files, *C_NAMES).select("path", F.inline(let(line_contexts(around), described)))
 
 
 # A variable with a type in front, given a literal on the same line.

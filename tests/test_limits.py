@@ -32,7 +32,7 @@ def test_many_findings_on_one_line(files):
     line = "".join(f'strcpy(a,b);char *n{i} = "a longer literal";' for i in range(1500))
     rows = match_rules.cpp_calls_extent(files(("a.c", line))).orderBy("startColumn").collect()
     assert [r.startColumn for r in rows] == [m.start() + 1 for m in re.finditer(r"strcpy\(", line)]
-    assert all(line[r.startColumn - 1:r.endColumn - 1] == "strcpy(" for r in rows)
+    assert all(line[r.startColumn - 1:r.endColumn - 1] == "strcpy(a,b)" for r in rows)
     decls = match_rules.cpp_literal_decls(files(("a.c", line))).collect()
     assert len(decls) == 1500 and all(line[r.startColumn - 1:r.endColumn - 1] == r.literal for r in decls)
 
