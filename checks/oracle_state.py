@@ -66,6 +66,10 @@ ORACLE = {
         SELECT user_id AS session_id, value AS messages, ts AS last_active,
           row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'click' THEN 1 ELSE 0 END DESC, ts DESC) AS rn
         FROM events WHERE event_type IN ('view', 'click')) WHERE rn = 1""",
+    "session_store": """SELECT session_id, messages, last_active FROM (
+        SELECT user_id AS session_id, event_id AS messages, ts AS last_active, event_type,
+          row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'click' THEN 1 ELSE 0 END DESC, ts DESC) AS rn
+        FROM events WHERE event_type IN ('view', 'click')) WHERE rn = 1 AND NOT (event_type = 'click' AND session_id % 3 = 0)""",
     "sessions_delete": f"WITH {SESSIONS} SELECT * FROM stored WHERE session_id NOT IN (SELECT session_id FROM live WHERE message_count % 2 = 0)",
     "sessions_list": f"WITH {SESSIONS} SELECT session_id, last_active FROM live",
     "sessionize_ttl": f"SELECT event_id, user_id, CAST(session_no AS BIGINT) AS session_no FROM ({sessionized(3600)})",
@@ -113,6 +117,12 @@ ORACLE = {
     "stream_messages": f"""SELECT CAST(user_id AS VARCHAR) AS key, ts, min(ts) OVER (PARTITION BY user_id, session_no) AS started,
           row_number() OVER (PARTITION BY user_id, session_no ORDER BY ts, event_type, event_id || ' ' || props) AS turn_no, event_type AS role, event_id || ' ' || props AS text
         FROM ({sessionized(3600)}) QUALIFY ts <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE""",
+    "stream_evict": """WITH mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS until FROM events WHERE event_type = 'click'),
+        l AS (SELECT user_id, max(ts) AS last_active, count(*) AS message_count FROM events WHERE event_type = 'click' GROUP BY user_id),
+        s AS (SELECT user_id, max(ts) AS last_active FROM events WHERE event_type = 'view' GROUP BY user_id),
+        gone AS (SELECT user_id FROM l, mark WHERE until - last_active > INTERVAL 1 DAY)
+        SELECT 'live' AS side, CAST(user_id AS VARCHAR) AS session_id, last_active, message_count FROM l WHERE user_id NOT IN (SELECT user_id FROM gone)
+        UNION ALL SELECT 'stored', CAST(user_id AS VARCHAR), last_active, NULL FROM s, mark WHERE user_id NOT IN (SELECT user_id FROM gone) AND until - last_active <= INTERVAL 1 DAY""",
     "summary_job": corpus_sql(SUMMARY + """,
         f AS (SELECT path, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low, count(*) AS n FROM r GROUP BY path),
         t AS (SELECT CAST(sum(high) AS BIGINT) AS high, CAST(sum(medium) AS BIGINT) AS medium, CAST(sum(low) AS BIGINT) AS low, CAST(sum(n) AS BIGINT) AS total_issues FROM f),

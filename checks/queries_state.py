@@ -13,10 +13,12 @@ from checks.corpus import code_corpus, of_type, table, with_code
 from checks.queries_enrich import all_findings, canned_backend, rated
 from riskloom.dims import SOURCE_EXTENSIONS
 from riskloom.operators import enrich, export, line_rules, match_rules, reports, rollup, sessions
+from riskloom.operators.keyed_table import KeyedTable
 from riskloom.plans import scan
 from riskloom.session import scratch_dir, spread
 from riskloom.sources import files as sources
 from riskloom.streaming import findings_stream, message_stream, session_stream
+from riskloom.streaming import session_store as session_store_stream
 
 def asof():
     return F.to_timestamp_ntz(F.lit("2024-01-30 12:00:00"))
@@ -71,6 +73,17 @@ def sessions_delete(spark, sf_dir):
     return sessions.delete(stored_sessions(spark, sf_dir), live_sessions(spark, sf_dir).where(F.col("message_count") % 2 == 0))
 
 
+def session_store(spark, sf_dir):
+    """Sessions by their last event, in a keyed table: views, then clicks written over them, then every third clicker removed."""
+    rows = events(spark, sf_dir).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("messages"), F.col("ts").alias("last_active"), "event_type")
+    base, clicks = (rows.where(F.col("event_type") == kind).drop("event_type") for kind in ("view", "click"))
+    table_ = KeyedTable(spark, scratch_dir(spark, "session-store"), base.schema, buckets=16)
+    table_.upsert(base)
+    table_.upsert(clicks)
+    table_.delete(clicks.where(F.col("session_id") % 3 == 0))
+    return table_.rows()
+
+
 def sessions_list(spark, sf_dir):
     return sessions.listing(live_sessions(spark, sf_dir))
 
@@ -291,9 +304,26 @@ def stream_messages(spark, sf_dir):
     return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "started")})
 
 
+def stream_evict(spark, sf_dir):
+    """Clicks as live sessions in a stored table, views as the stored copies; what expires on the way leaves both tables."""
+    clock = F.col("ts").cast("timestamp")
+    copies = stored_sessions(spark, sf_dir).select(F.col("session_id").cast("string").alias("session_id"), F.col("last_active").cast("timestamp").alias("last_active"))
+    tables = {"live": KeyedTable(spark, scratch_dir(spark, "live"), spark.createDataFrame([], session_store_stream.LIVE_SCHEMA).schema, buckets=8),
+              "stored": KeyedTable(spark, scratch_dir(spark, "copies"), copies.schema, buckets=8)}
+    tables["stored"].upsert(copies)
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(sf_dir)
+    turns = stream.where(F.col("event_type") == "click").select(F.col("user_id").cast("string").alias("session_id"), clock.alias("ts"))
+    with message_stream.keyed_state(spark):
+        changes = session_store_stream.session_changes(turns, tables["stored"].rows(), "10 minutes", 86400)
+        session_store_stream.keep_tables(changes, tables["live"], tables["stored"], scratch_dir(spark, "evict-state")).awaitTermination()
+    live = tables["live"].rows().select(F.lit("live").alias("side"), "session_id", "last_active", "message_count")
+    kept = tables["stored"].rows().select(F.lit("stored").alias("side"), "session_id", "last_active", F.lit(None).cast("bigint").alias("message_count"))
+    return live.unionByName(kept).withColumn("last_active", F.col("last_active").cast("timestamp_ntz"))
+
+
 QUERIES = {f.__name__: f for f in [
     sessions_expired, sessions_evict, sessions_merged, session_resolve, sessions_upsert, sessions_delete, sessions_list, sessionize_ttl,
     session_table, chat_context, session_turns, session_history, reports_append, reports_recent, report_by_id, export_nested_json, export_flat_json,
     export_sarif_results, export_sarif_documents, digest_markdown, export_run, summary_job, expand_archives, decode_text,
-    scan_files, scan_files_flat, stream_findings, stream_sessions, stream_turns, stream_messages,
+    scan_files, scan_files_flat, stream_findings, stream_sessions, stream_turns, stream_messages, session_store, stream_evict,
 ]}

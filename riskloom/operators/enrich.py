@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import dims
+from riskloom.functions.calls import BoundedCalls
 from riskloom.functions.references import merge_references
 from riskloom.functions.responses import parse_explanation
 from riskloom.functions.severity import severity_of
@@ -16,6 +17,8 @@ from riskloom.operators.retrieval import with_neighbours
 from riskloom.session import stored
 
 ExplainFn = Callable[[str], str]
+CALL_SECONDS = 15.0  # fixed value: time limit of a backend call
+OPEN_CALLS, ATTEMPTS = 8, 2
 
 
 def hint_for(query: Column) -> Column:
@@ -98,22 +101,20 @@ def with_prompts(findings: DataFrame, retrieve: int = 3) -> DataFrame:
         F.col("type"), F.col("line"), F.col("snippet"), F.col("message"), F.col("kb_summary"), texts)).drop("retrieved")
 
 
-def ask(prompts: DataFrame, explain_fn: ExplainFn) -> DataFrame:
-    """(prompt_id, prompt) -> (prompt_id, answer); a call that fails answers null."""
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(prompt: str) -> str | None:
-            try:
-                return explain_fn(prompt)
-            except Exception:  # the row falls back to the templates
-                return None
+def ask(prompts: DataFrame, explain_fn: ExplainFn, seconds: float = CALL_SECONDS, open_calls: int = OPEN_CALLS, attempts: int = ATTEMPTS) -> DataFrame:
+    """(prompt_id, prompt) -> (prompt_id, answer); a call that fails or runs over its time answers null.
 
+    The limits hold for each task: the backend sees at most tasks x `open_calls` calls at a time.
+    """
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answers = BoundedCalls(explain_fn, seconds, open_calls, attempts)
         for batch in batches:
-            yield pd.DataFrame({"prompt_id": batch["prompt_id"], "answer": [one(p) for p in batch["prompt"]]})
+            yield pd.DataFrame({"prompt_id": batch["prompt_id"], "answer": pd.Series(answers(list(batch["prompt"])), dtype=object)})
 
     return prompts.select("prompt_id", "prompt").mapInPandas(call, "prompt_id string, answer string")
 
 
-def enrich_with_backend(findings: DataFrame, explain_fn: ExplainFn | None = None) -> DataFrame:
+def enrich_with_backend(findings: DataFrame, explain_fn: ExplainFn | None = None, seconds: float = CALL_SECONDS, open_calls: int = OPEN_CALLS, attempts: int = ATTEMPTS) -> DataFrame:
     """Enrich through an injected backend; rows it fails on use the templates.
 
     Each distinct prompt is asked once.  Answers come back over the prompt's
@@ -126,7 +127,7 @@ def enrich_with_backend(findings: DataFrame, explain_fn: ExplainFn | None = None
     # Written once: the rules run once, and the prompts that are asked are those that are joined.
     asked = stored(with_prompts(findings).withColumn("prompt_id", F.sha2("prompt", 256)), "asked")
     prompts = asked.groupBy("prompt_id").agg(F.first("prompt").alias("prompt"))
-    answers = stored(ask(prompts, explain_fn), "answers").withColumn("parsed", F.when(F.col("answer").isNotNull(), parse_explanation(F.col("answer"))))
+    answers = stored(ask(prompts, explain_fn, seconds, open_calls, attempts), "answers").withColumn("parsed", F.when(F.col("answer").isNotNull(), parse_explanation(F.col("answer"))))
     told = F.coalesce("parsed", explain_offline(F.col("type"), F.col("message"), F.col("snippet")).dropFields("template"))
     return (
         asked.drop("prompt").join(answers, "prompt_id", "left").withColumn("told", told)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import scratch_dir
+from riskloom.sources.commit_log import CommitLog, Folder
 
 SCHEMA = "id bigint, filename string, timestamp timestamp, summary string, payload string"
 DEFAULT_LIMIT = 50  # fixed value
@@ -32,20 +34,60 @@ def last_id(spark: SparkSession, path: str) -> int:
         return 0
 
 
-def append(reports: DataFrame, path: str, timestamp: Column, *order: str) -> None:
-    """Add a batch of (filename, summary, payload) under ids above all earlier ones.
+def append(reports: DataFrame, path: str, timestamp: Column, *order: str, ordered: bool = True) -> None:
+    """Add a batch of (filename, summary, payload) under ids above all earlier ones. Any number of writers.
 
-    The batch is first written in `order` (default: by filename); its files
-    then number it.  The random last sort key spreads equal names, such as the
-    default name of pasted code, over several tasks.  One writer at a time:
-    ids follow the largest one found when the batch starts.
+    The batch is first written next to the table, in `order` (default: by
+    filename) or, without `ordered`, as its tasks deliver it, which needs no
+    shuffle; its files then number it. The random last sort key spreads equal
+    names, such as the default name of pasted code, over several tasks.
+    The batch reserves its range of ids by publishing the next entry of the
+    store's log, which one writer only can do; so ranges are disjoint and
+    without gaps, whoever writes first. A writer that dies later leaves its
+    rows to `finish`.
     """
     spark = reports.sparkSession
-    staged = scratch_dir(spark, "reports")
-    rows = reports.select("filename", "summary", "payload").orderBy(*(order or ("filename",)), F.rand(7))
-    rows.write.parquet(staged)
-    numbered_rows = numbered(spark, staged, last_id(spark, path))
-    numbered_rows.select("id", "filename", timestamp.cast("timestamp").alias("timestamp"), "summary", "payload").write.mode("append").parquet(path)
+    staged = f"{path}/_staged/{uuid.uuid4().hex}"
+    rows = reports.select("filename", "summary", "payload", timestamp.cast("timestamp").alias("timestamp"))
+    (rows.orderBy(*(order or ("filename",)), F.rand(7)) if ordered else rows).write.parquet(staged + "/rows")
+    _complete(spark, path, reserve(spark, path, staged, spark.read.parquet(staged + "/rows").count()))
+
+
+def reserve(spark: SparkSession, path: str, staged: str, n: int) -> int:
+    """Take the next `n` ids for the `rows` of a staged folder; returns the number of the reservation."""
+    log = CommitLog(spark, path + "/_ids")
+    while True:
+        number, newest = log.latest()
+        last = newest["last"] if newest else last_id(spark, path)  # a table from before there was a log
+        if log.publish(number + 1, {"first": last + 1, "last": last + n, "staged": staged}):
+            return number + 1
+
+
+def _complete(spark: SparkSession, path: str, number: int) -> None:
+    """Number the rows in a folder of the batch, then move its files into the table: writers share no output folder.
+
+    Every step can be done again: files are moved once the folder is whole, and a file that has been moved is not there any more.
+    """
+    log = CommitLog(spark, path + "/_ids")
+    entry = log.read(number)
+    batch = Folder(spark, entry["staged"])
+    if not batch.names("out/_SUCCESS"):
+        rows = numbered(spark, entry["staged"] + "/rows", entry["first"] - 1).select("id", "filename", "timestamp", "summary", "payload")
+        rows.write.mode("overwrite").parquet(entry["staged"] + "/out")
+    for name in batch.names("out/part-*"):
+        batch.move(name, path)
+    log.folder.write_new(f"{number:012d}.done", "")
+    batch.remove(".")
+
+
+def finish(spark: SparkSession, path: str) -> int:
+    """Write the rows of reservations whose writers died; returns their number. Call it when no writer is at work."""
+    log = CommitLog(spark, path + "/_ids")
+    done = {int(name[:-5]) for name in log.folder.names("[0-9]*.done")}
+    left = [n for n in log.numbers() if n not in done]
+    for n in left:
+        _complete(spark, path, n)
+    return len(left)
 
 
 def recent(reports: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
