@@ -30,6 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.text import let
 from riskloom.llm.common import cut, text_key, words
 
 # Frequent short words of four languages, whose counts make the word histogram.
@@ -113,24 +114,33 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def js_distance(a: Column, b: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of two arrays of counts; null if one of them has no count."""
+    """Jensen-Shannon distance, base 2, of two arrays of counts; null if one of them has no count.
+
+    Totals and shares are bound, since Spark evaluates what a lambda names anew for every element.
+    """
     total = lambda x: F.aggregate(x, F.lit(0).cast("double"), lambda s, v: s + v)
     share = lambda p, q: F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
-    na, nb = total(a), total(b)
-    parts = F.zip_with(a, b, lambda x, y: share(x / na, y / nb) + share(y / nb, x / na))
-    divergence = F.aggregate(parts, F.lit(0).cast("double"), lambda s, v: s + v) / 2
-    return F.when((na > 0) & (nb > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
+
+    def distance(n: Column) -> Column:
+        own, ref = F.transform(a, lambda x: x / n["a"]), F.transform(b, lambda y: y / n["b"])
+        parts = F.zip_with(own, ref, lambda p, q: share(p, q) + share(q, p))
+        divergence = F.aggregate(parts, F.lit(0).cast("double"), lambda s, v: s + v) / 2
+        return F.when((n["a"] > 0) & (n["b"] > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
+
+    return let(F.struct(total(a).alias("a"), total(b).alias("b")), distance)
 
 
 def pooled(rows: DataFrame) -> DataFrame:
     """Weighted sums of the histograms, and the words, of each language; a row per language."""
-    weight = F.least("n_words", F.lit(MOST_WEIGHT))
+    total = lambda name: F.aggregate(name, F.lit(0).cast("long"), lambda s, v: s + v)
+    weighed = rows.select("lang", "n_words", "chars", "common", F.least("n_words", F.lit(MOST_WEIGHT)).alias("weight"),
+                          total("chars").alias("n_chars"), total("common").alias("n_common"))
 
     def sums(name: str, n: int) -> Column:
-        total = F.aggregate(name, F.lit(0).cast("long"), lambda s, v: s + v)
-        return F.array(*[F.sum(F.when(total > 0, F.floor(F.get(name, F.lit(i)) * weight * 1_000_000 / total).cast("long"))) for i in range(n)])
+        of = F.col(f"n_{name}")
+        return F.array(*[F.sum(F.when(of > 0, F.floor(F.get(name, F.lit(i)) * F.col("weight") * 1_000_000 / of).cast("long"))) for i in range(n)])
 
-    return rows.groupBy("lang").agg(sums("chars", 6).alias("ref_chars"), sums("common", COMMON_WORDS + 1).alias("ref_common"), F.sum("n_words").alias("ref_words"))
+    return weighed.groupBy("lang").agg(sums("chars", 6).alias("ref_chars"), sums("common", COMMON_WORDS + 1).alias("ref_common"), F.sum("n_words").alias("ref_words"))
 
 
 def references(counts: DataFrame, min_reference: int = MIN_REFERENCE) -> DataFrame:

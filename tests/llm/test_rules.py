@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -14,6 +15,7 @@ from brute import digest, hits, quality, without_hits
 from checks.compare import TABLES, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from riskloom.llm import chat_format, decontaminate, packing, quality_rules, sharding
@@ -199,6 +201,17 @@ def test_conversations(spark):
     assert all(r.formatted_chars > r.loss_chars for r in got.values())
 
 
+def test_quality_distance_sums_each_histogram_once(spark):
+    """A total inside a lambda would be taken anew for every class."""
+    row = spark.createDataFrame([([1, 2, 3], [3, 2, 1], [0, 0, 0])], "a array<long>, b array<long>, none array<long>")
+    distance = quality_rules.js_distance
+    found = row.select(distance(F.col("a"), F.col("b")).alias("d"), distance(F.col("a"), F.col("none")).alias("n"), distance(F.col("a"), F.col("a")).alias("z"))
+    (got,) = found.collect()
+    assert abs(got.d - (2 * (1 / 6 * math.log2(0.5) + 3 / 6 * math.log2(1.5)) / 2) ** 0.5) < 1e-12 and got.n is None and got.z == 0
+    plan = row.select(distance(F.col("a"), F.col("b")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 3
+
+
 def test_quality_reference_withstands_junk(spark):
     """Junk with a third of a language's rows, one very long text and a group of copies do not become the reference."""
     rng = random.Random(3)
