@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
+
 from riskloom.session import scratch_dir
 from riskloom.streaming import message_stream
 from riskloom.streaming.session_stream import drain
@@ -43,3 +45,69 @@ def test_stream_equals_the_whole_table(spark, tmp_path):
     # "hot" and "b" have been silent for longer than their time to live: nothing of them is left.
     left = spark.read.format("statestore").option("path", state).option("stateVarName", "head").load()
     assert {r.key[0] for r in left.select("key").collect()} == {"a", "end"}
+
+
+class _State:
+    """A value or map state that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+        self.clear = self.rows.clear
+
+    def _called(self, value=None):
+        self.calls += 1
+        return value
+
+    def exists(self):
+        return self._called(bool(self.rows))
+
+    def get(self):
+        return self._called(self.rows.get(()))
+
+    def update(self, value):
+        self.rows[()] = self._called(value)
+
+    def updateValue(self, key, value):
+        self.rows[key] = self._called(value)
+
+    def iterator(self):
+        return iter(self._called(list(self.rows.items())))
+
+    def removeKey(self, key):
+        del self.rows[self._called(key)]
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, *schemas):
+        return self.states.setdefault(name, _State())
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        pass
+
+    deleteTimer = registerTimer
+
+
+class _Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_turn_costs_a_fraction_of_a_state_call():
+    """2,000 turns of one key, let out in two halves: the whole of them in order, in a few dozen calls of the state."""
+    turns = [(START + timedelta(seconds=i), "user", f"t{i}") for i in range(2000)]
+    random.Random(1).shuffle(turns)
+    start = int((START - datetime(1970, 1, 1)).total_seconds()) * 1000
+    held, handle = message_stream.SessionTurns(1800), _Handle()
+    held.init(handle)
+    assert not list(held.handleInputRows(("k",), iter([pd.DataFrame(turns, columns=["ts", "role", "text"])]), _Mark(0)))
+    out = [row for ms in (999_000, 5_000_000) for frame in held.handleExpiredTimer(("k",), _Mark(start + ms), None) for row in frame.itertuples()]
+    assert [(r.ts, r.started, r.turn_no, r.text) for r in out] == [(START + timedelta(seconds=i), START, i + 1, f"t{i}") for i in range(2000)]
+    assert sum(state.calls for state in handle.states.values()) < 100 and not handle.states["waiting"].rows
