@@ -9,6 +9,7 @@ from riskloom import dims
 from riskloom.functions.references import normalise_references
 from riskloom.functions.text import sanitize_text
 from riskloom.operators.rollup import PART, findings_by_file, numbered_parts, type_counts
+from riskloom.session import stored
 
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://schemastore.azurewebsites.net/schemas/json/sarif-2.1.0.json"
@@ -77,8 +78,11 @@ def sarif_documents(findings: DataFrame, size: int = PART) -> DataFrame:
 
 
 def digest(findings: DataFrame, top: int = 10) -> DataFrame:
-    """The Markdown report as ordered lines (section, text): counts per type, then the first findings."""
-    spark = findings.sparkSession
+    """The Markdown report as ordered lines (section, text): counts per type, then the first findings.
+
+    Written once: the counts and the first findings read what the rules found, and the rules run once.
+    """
+    spark, findings = findings.sparkSession, stored(findings, "digest")
     nothing = [F.lit("").alias("path"), F.lit(0).cast("bigint").alias("seq")]
 
     def title(section: int, text: str) -> DataFrame:
