@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import time
 
+import pyarrow as pa
 import pytest
 
 from riskloom.functions.text import on_line
 from riskloom.operators import file_rules, line_rules, match_rules, python_rules
-from riskloom.operators.code_facts import RULE_KINDS, STRUCTURE_KINDS, facts_of
+from riskloom.operators.code_facts import RULE_KINDS, STRUCTURE_KINDS, code_facts, facts_of
 
 N = 50_000
 LONG = {
@@ -57,3 +58,13 @@ def test_python_line_ends(files):
     """Form feeds end a line for splitlines only, as for the snippet, not for the parser."""
     rows = python_rules.syntax_findings(files(("a.py", "x = 1\x0c\neval(x)\r\nexec(x)\rinput()\n"))).orderBy("line").collect()
     assert [(r.line, r.snippet) for r in rows] == [(2, ""), (3, "eval(x)"), (4, "exec(x)")]
+
+
+def test_facts_are_handed_on_in_bounded_batches(files):
+    """Texts stay in Arrow's buffer until their turn, and facts leave in batches of bounded rows and characters."""
+    made = files(*((f"f{i}.py", "x = 'a'\n" * 1500) for i in range(4)))
+    facts = code_facts(made.coalesce(1), ("string",))
+    sizes = facts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert facts.groupBy("path").count().collect() and sum(r.n for r in sizes.collect()) == 6000
