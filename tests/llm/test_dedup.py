@@ -146,3 +146,40 @@ def test_suffix_array_of_regular_texts():
         a, b = b, b + a
     for symbols in (a, b, [1] * 300, list(range(300)), list(range(300, 0, -1)), [2, 1] * 150, b + [5] + b):
         assert suffix_array(np.array(symbols)).tolist() == sorted(range(len(symbols)), key=lambda i: symbols[i:])
+
+
+def test_hot_windows_carry_no_flank(spark, monkeypatch):
+    """Copies of one text make its cores hot; the rows of their windows must not each hold what surrounds the core."""
+    text = " ".join(f"word{i}" for i in range(130))
+    df = spark.createDataFrame([(i, text) for i in range(1100)], "doc_id long, text string")
+    sent, unrepeated = [], repeats.unrepeated
+
+    def seen(contexts, solve):
+        sent.append([tuple(r) for r in contexts.selectExpr("bit >= 0", "length(flank)").distinct().collect()])
+        return unrepeated(contexts, solve)
+
+    monkeypatch.setattr(repeats, "unrepeated", seen)
+    assert {(r[1], r[2], r[3]) for r in suffix_dedup.deduplicate(df).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()} == {(len(text), len(text), 1)}
+    assert {(r[0], r[1]) for r in substring_dedup.deduplicate(df).select("n_words", "n_removed").collect()} == {(130, 130)}
+    assert sent == [[(True, 0)], [(True, 0)]]
+
+
+def test_held_contexts_are_bounded(monkeypatch):
+    monkeypatch.setattr(repeats, "HELD_ROWS", 10)
+    monkeypatch.setattr(repeats, "SENT_ROWS", 4)
+    held, out = repeats.Held(8), []
+    for size in (3, 0, 9, 25):
+        number = np.arange(size) % 6
+        rows = {c: number.astype(np.uint64) for c in ("key", "key2", "context")} | {c: number for c in ("doc_id", "text_key", "at", "bit")} | {"null": number == 5}
+        out += held.add(rows, np.repeat(number.astype(np.uint8), 8).reshape(-1, 8))
+        assert held.rows <= 10
+    out += held.sent()
+    rows = [r for b in out for r in b.to_pylist()]
+    assert max(b.num_rows for b in out) == 4 and sum(r["n"] for r in rows) == 37
+    assert all(r["flank"] == bytes([r["key"]] * 8) and r["doc_id"] == (None if r["key"] == 5 else r["key"]) for r in rows)
+
+
+def test_cores_are_solved_in_parts():
+    bucket = np.repeat(np.arange(7), [2, 2, 9, 1, 1, 1, 3])
+    assert list(suffix_dedup._whole_buckets(bucket, 4)) == [(0, 4), (4, 13), (13, 16), (16, 19)]
+    assert list(suffix_dedup._whole_buckets(bucket[:0], 4)) == []
