@@ -19,6 +19,7 @@ gives an empty result.  Other columns are not looked at.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 # Fixed value: the pattern by which the tokenizer parts words, and the bytes that its byte alphabet shows as themselves.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = frozenset(".,;:!?")
 SHOWN = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 
 
@@ -53,47 +55,55 @@ class WordIds:
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.clear()
         same = "L'Été, d'où 3² «Straße» it's ÿ½%%% | naïve... I'LL µ§ {a_b}"
-        self.quick = [i for w in same.split() for i in self._quick(w)] == self.tokenizer.encode(same, add_special_tokens=False).ids
+        self.quick = b"".join(map(self._quick, same.split())) == self._encoded(same)
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}  # ids as bytes: no list or number of their own for each
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         found = self.pieces.get(part)
         if found is None:
-            found = self.pieces[part] = [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+            found = self.pieces[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         return found
 
-    def _quick(self, word: str) -> list[int]:
+    def _quick(self, word: str) -> bytes:
         word = word.lower()
         if word.isalpha():
             return self._part(word)
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+        if word[-1] in MARKS and word[:-1].isalpha():
             return self._part(word[:-1]) + self._part(word[-1])
-        return [i for part in self.parts.findall(word) for i in self._part(part)]
-
-    def ids(self, word: str) -> list[int]:
-        if self.quick and self.plain.fullmatch(word) and not ("<|" in word and any(s in word for s in self.special)):
+        return b"".join([self._part(part) for part in self.parts.findall(word)])
+
+    def ids(self, word: str) -> bytes:
+        """The ids as bytes, 32 bits each."""
+        if self.quick and (
+            word.isascii() and (word.isalpha() or word[-1:] in MARKS and word[:-1].isalpha())  # most words, told without a pattern
+            or self.plain.fullmatch(word) and not ("<|" in word and any(s in word for s in self.special))
+        ):
             return self._quick(word)
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+        return self._encoded(word)
+
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def rows(self, words: list[str]) -> np.ndarray:
         """The row of each word in `begin`; row r of `flat` goes from begin[r] to begin[r + 1]."""
         if len(self.known) + len(words) > KNOWN_WORDS:
             self.clear()
         known, n = self.known, len(self.known)
-        rows, new = [known.get(word, -1) for word in words], []
-        for k in [k for k, row in enumerate(rows) if row < 0]:
+        rows, new = list(map(known.get, words)), []
+        for k in [k for k, row in enumerate(rows) if row is None]:
             rows[k] = known[words[k]] = n + len(new)
             new.append(self.ids(words[k]))
         if new:
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            sizes = np.fromiter(map(len, new), np.int64, len(new)) // 4
             used, total = int(self.begin[n]), int(sizes.sum())
             self.flat, self.begin = _room(self.flat, used + total), _room(self.begin, n + len(new) + 1)
-            self.flat[used:used + total] = np.fromiter((i for ids in new for i in ids), np.uint32, total)
+            self.flat[used:used + total] = np.frombuffer(b"".join(new), np.uint32)
             self.begin[n + 1:n + 1 + len(new)] = used + np.cumsum(sizes)
         return np.array(rows, np.int64)
 

@@ -165,6 +165,14 @@ def test_words_are_tokenised_as_texts(text):
     assert ids.tolist() == [*known.tokenizer.encode(text, add_special_tokens=False).ids, 2] and counts.tolist() == [len(ids)]
 
 
+def test_known_words_are_held_as_bytes():
+    """Words told without a pattern, and all others, give the tokenizer's ids; a kept word has no list and no numbers of its own."""
+    known = packing.WordIds(PATH)
+    for word in ["", ".", "?!", "Word", "WORD.", "naïve", "naïve;", "a.b", "x1", "it's", "ΑΣ", "东京", "\x00a", "a\x7f", "<|endoftext|>", "µª", "e\u0301"]:
+        assert list(memoryview(known.ids(word)).cast("I")) == known.tokenizer.encode(word, add_special_tokens=False).ids
+    assert {type(piece) for piece in known.pieces.values()} == {bytes}
+
+
 @given(st.text("<|\\im_startend>\nab", max_size=30), st.text("<|\\n\nab", max_size=10))
 def test_turns_read_back(text, role):
     piece, a, b = chat_format.render(role, text)
