@@ -7,9 +7,9 @@ length are drawn (`write` stores a folder per length).
 
 Tokens come from a `tokenizers` file.  Its words do not cross white space, so each
 different word of an Arrow batch is looked up once and tokenised when new; the
-documents' ids are then gathered by numpy.  A task holds one batch and a table of
-known words, which is emptied when it is full.  Nothing is shuffled, and a lost
-task is simply run again.
+documents' ids are then gathered by numpy.  A task works on a small slice of a batch
+at a time and holds a table of known words, which is emptied when it is full.
+Nothing is shuffled, and a lost task is simply run again.
 
 A null text counts as empty; every document ends with the id 2, so an empty one is
 one piece of length 1.  Repeated rows each give their pieces.  An empty table
@@ -34,8 +34,9 @@ from riskloom.llm.common import per_worker
 
 CAPACITY, END = 4096, 2
 #: A task keeps at most this many known words.
-KNOWN_WORDS = 600_000
-BATCH_BYTES = 8_000_000
+KNOWN_WORDS = 400_000
+#: Texts are tokenised in slices of this many bytes (and at most one document more), whatever an Arrow batch holds.
+BATCH_BYTES = 2_000_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 # Fixed value: the pattern by which the tokenizer parts words, and the bytes that its byte alphabet shows as themselves.
@@ -138,6 +139,15 @@ def token_ids(texts: pa.Array, words: WordIds, end: int) -> tuple[np.ndarray, np
     return out, counts
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows in order, parted where the bytes of their texts pass a multiple of BATCH_BYTES."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begins = [0, *(np.flatnonzero(np.diff(upto // BATCH_BYTES)) + 1).tolist(), batch.num_rows]
+    for at, end in zip(begins[:-1], begins[1:], strict=True):
+        if at < end:
+            yield batch.slice(at, end - at)
+
+
 def lengths(n: int, capacity: int) -> list[int]:
     """Sizes of a document's pieces, in order: whole capacities, then the binary digits of the rest."""
     rest = n % capacity
@@ -152,9 +162,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = per_worker(f"words of {path}", lambda: WordIds(path))
         for batch in batches:
-            step = max(1, int(batch.num_rows * BATCH_BYTES / max(batch.nbytes, 1)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in slices(batch, 1):
                 ids, counts = token_ids(part.column(1), words, end)
                 each = [lengths(int(n), capacity) for n in counts]
                 size = np.fromiter((x for xs in each for x in xs), np.int64)

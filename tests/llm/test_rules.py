@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import digest, hits, quality, without_hits
 from checks.compare import TABLES, rows_of
@@ -142,6 +144,33 @@ def test_packing_documents(spark):
     check_pieces(QUERIES["op6_power_of_two_packing"](spark, SF).collect(), texts)
 
 
+class Caught:
+    """In a DataFrame's place: hands out the function that its worker would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, cut, schema):
+        return cut
+
+
+def test_packing_worker_holds_a_slice():
+    """A batch of 24 MB, with one long text and many short ones, costs a worker arrays of a small slice only."""
+    texts = ["alpha beta, gamma " * 50_000, None, ""] + [f"alpha beta gamma {i % 7} " * 300 for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    cut = packing.pieces(Caught(), PATH)
+    list(cut(iter([batch.slice(1, 5)])))  # loads the tokenizer
+    tracemalloc.start()
+    seen = Counter()
+    for out in cut(iter([batch])):
+        for i, n in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True):
+            seen[i] += n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert len(seen) == len(texts) and seen[1] == seen[2] == 1 and seen[0] == 200_001 and seen[5] == 1201
+
+
 def test_packing_awkward(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(packing, "KNOWN_WORDS", 50)
     odd = [None, "", "  ", "<|endoftext|> a<|startoftext|>b <|x", "ΑΣ. İstanbul ŐŰ 東京 ́x \x1c\x85 ﬁ ½²³ IT'S don't 's ſ K µ ª ÿ ß ẞ \x00\x7f a\xadb", "tab\tnew\nline\x0b\x0c\r", "word " * 9000, "a" * 5000]
