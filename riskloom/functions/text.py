@@ -70,13 +70,15 @@ def folded(col: Column) -> Column:
 
 def only_newlines(content: Column) -> Column:
     """Whether \\n is the only line end in use, as in almost every file; then plain string functions do."""
-    return ~F.rlike(content, F.lit(r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"))
+    # Latin-1 characters one by one: Java looks those up in a table, and a range in a chain of tests.
+    return ~F.rlike(content, F.lit(r"[\r\x0B\f\x1C\x1D\x1E\x85\u2028-\u2029]"))
 
 
-def split_lines(content: Column) -> Column:
-    """str.splitlines as an array: no empty piece after a final line end."""
+def split_lines(content: Column, simple: Column | None = None) -> Column:
+    """str.splitlines as an array: no empty piece after a final line end. `simple`: only_newlines(content), where it is known."""
     drop_tail = lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
-    pieces = F.when(only_newlines(content), F.split(content, "\n", -1)).otherwise(F.split(content, LINE_END, -1))
+    simple = only_newlines(content) if simple is None else simple
+    pieces = F.when(simple, F.split(content, "\n", -1)).otherwise(F.split(content, LINE_END, -1))
     return let(pieces, drop_tail)
 
 
@@ -94,8 +96,8 @@ def rstrip(col: Column) -> Column:
 
 
 def occurrences(text: Column, mark: str) -> Column:
-    """How often a one-character mark occurs."""
-    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    """How often a mark of one ASCII character occurs; bytes are counted, as characters would have to be walked over."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
 
 
 BLOCK = 256

@@ -31,11 +31,13 @@ def locate(label: Column, lowered: Column, simple: Column) -> Column:
 
     The words hold no line end, so the first matching line is the line of the
     earliest word position in the whole lower-cased text. `simple`: see line_ends.
+    Positions are bytes before the word, which need no walk over characters.
     """
     it = F.lower(label)
+    size = F.octet_length(lowered)
 
     def earliest(words: list[str]) -> Column:
-        found = [F.nullif(F.position(F.lit(w), lowered), F.lit(0)) for w in words]
+        found = [F.nullif(F.octet_length(F.substring_index(lowered, w, 1)), size) for w in words]  # the whole text: not there
         return F.least(*found) if len(found) > 1 else found[0]
 
     positions = []
@@ -45,15 +47,16 @@ def locate(label: Column, lowered: Column, simple: Column) -> Column:
             relevant = relevant | F.contains(it, F.lit(n))
         positions.append(F.when(relevant, earliest(words)))
     at = F.array_min(F.array(*positions))
-    return line_ends(F.substring(lowered, F.lit(1), at - 1), simple) + 1
+    ahead = F.substring(lowered.cast("binary"), F.lit(1), at).cast("string")
+    return line_ends(ahead, simple) + 1
 
 
 def with_places(files: DataFrame) -> DataFrame:
     """Add `issues` with their lines as `placed`, and the file's `lines`; still one row per file."""
     found = F.size("issues") > 0  # files without hits are not worth lower-casing or cutting into lines
     scanned = with_issues(files).withColumns({
-        "lowered": F.when(found, F.lower("content")), "lines": F.when(found, split_lines(F.col("content"))),
-        "simple": F.when(found, only_newlines(F.col("content")))})
+        "lowered": F.when(found, F.lower("content")), "simple": F.when(found, only_newlines(F.col("content")))})
+    scanned = scanned.withColumn("lines", F.when(found, split_lines(F.col("content"), F.col("simple"))))
     return scanned.withColumn("placed", F.transform("issues", lambda i: F.struct(
         i["seq"].alias("seq"), i["rule_id"].alias("rule_id"), i["issue"].alias("type"),
         locate(i["issue"], F.col("lowered"), F.col("simple")).alias("line"), i["suggestion"].alias("message"))))

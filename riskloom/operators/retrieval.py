@@ -7,10 +7,12 @@ the best k are kept.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +106,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, metric: str = "c
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
+def _hashed(text: str, dim: int = HASH_DIM) -> np.ndarray:
+    """`hash_embed` of one text, number for number: the squares are added in the same order."""
+    data = hashlib.sha256(text.encode()).digest()
+    while len(data) < dim:
+        data += hashlib.sha256(data).digest()
+    v = np.frombuffer(data, np.uint8, dim) / 255.0
+    return v / (np.sqrt(np.cumsum(v * v)[-1]) + EPSILON)
+
+
 def kb_vectors(spark) -> DataFrame:
     """The knowledge base with its hash embeddings: fixed size."""
     return dims.kb(spark).select(F.col("key").alias("id"), F.col("summary").alias("text"), hash_embed(F.col("summary")).alias("vec"))
@@ -115,22 +126,24 @@ def kb_neighbours(texts: DataFrame, text: str, k: int = 3) -> DataFrame:
     The base is the fixed side, so it is held and the rows stream: no shuffle.
     """
     entries = kb_vectors(texts.sparkSession).orderBy("id").collect()
-    ids, notes = [e["id"] for e in entries], [e["text"] for e in entries]
+    ids, notes = pa.array([e["id"] for e in entries], pa.string()), pa.array([e["text"] for e in entries], pa.string())
     matrix = np.array([e["vec"] for e in entries])
     schema = texts.schema.simpleString()[7:-1] + ", retrieved: array<struct<id:string,score:double,text:string>>"
+    names, place = [*texts.columns, "retrieved"], texts.columns.index(text)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
+            if batch.num_rows == 0:
                 continue
-            which, texts = pd.factorize(batch[text].fillna(""))  # equal texts are searched once a batch
-            first = batch.pop("__vec").groupby(which).first()
-            scores = _scores(_stack(first), matrix, "cosine")
+            coded = batch.column(place).fill_null("").dictionary_encode()  # equal texts are embedded and searched once a batch
+            scores = _scores(np.stack([_hashed(t) for t in coded.dictionary.to_pylist()]), matrix, "cosine")
             scores, at = _best(scores, np.broadcast_to(np.arange(len(ids)), scores.shape), k, "cosine")
-            found = [[{"id": ids[j], "score": float(s), "text": notes[j]} for s, j in zip(row, where)] for row, where in zip(scores, at)]
-            yield batch.assign(retrieved=[found[w] for w in which])
+            which = pa.array(at.ravel())
+            near = pa.StructArray.from_arrays([ids.take(which), pa.array(scores.ravel()), notes.take(which)], ["id", "score", "text"])
+            found = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * at.shape[1], pa.int32()), near)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found.take(coded.indices)], names)
 
-    return texts.withColumn("__vec", hash_embed(F.col(text))).mapInPandas(search, schema)
+    return texts.mapInArrow(search, schema)
 
 
 def with_neighbours(findings: DataFrame, k: int = 3) -> DataFrame:

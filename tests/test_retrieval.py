@@ -91,3 +91,22 @@ def test_embed_falls_back(spark):
     for parts in (1, 3):  # the same whatever shares a batch with the refused text; other lengths are refused too
         rows = R.embed_batch(texts.repartition(parts), picky, dim=1).collect()
         assert {(r.id, r.origin, len(r.vec)) for r in rows} == {(1, "service", 1), (2, "hash", 1), (3, "hash", 1)}
+
+
+def test_neighbours_embed_equal_texts_once(spark):
+    """Rows pass as they are, nulls and whole numbers beyond 2^53 included; no row carries a vector to Python; scores are those of hash_embed."""
+    texts = ["sql injection", None, "", "Éa 東京", "x" * 5000, "sql injection"]
+    rows = [(t, i, None if i % 2 else (1 << 53) + i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "t string, i int, n bigint").coalesce(1)
+    out = R.kb_neighbours(df, "t", 2)
+    assert "sha2" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.i: r for r in out.collect()}
+    assert {i: (r.t, r.n) for i, r in got.items()} == {i: (t, n) for t, i, n in rows}
+    assert R.kb_neighbours(df.limit(0), "t", 2).collect() == []
+    vecs = {r.i: r.vec for r in df.select("i", V.hash_embed(F.col("t")).alias("vec")).collect()}
+    kb = R.kb_vectors(spark).collect()
+    for i, t in enumerate(texts):
+        assert R._hashed(t or "").tolist() == vecs[i]
+        norms = [np.linalg.norm(e.vec) * (np.linalg.norm(vecs[i]) + V.EPSILON) + V.EPSILON for e in kb]
+        best = sorted((-round(float(np.dot(e.vec, vecs[i]) / n), 9), e.id, e.text) for e, n in zip(kb, norms, strict=True))[:2]
+        assert [(-r.score, r.id, r.text) for r in got[i].retrieved] == best

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text as T
 from riskloom.operators import file_rules
+from riskloom.operators.findings import locate, to_findings
 from riskloom.operators.match_rules import SECRETS, TOKEN, blanked
 
 TEXTS = [
@@ -95,3 +96,23 @@ def test_tokens_cover_the_text(spark):
         assert r["all"] == r.c
         assert len(r.bare) == len(r.c) and r.bare.count("\n") == r.c.count("\n")
     assert column(spark, texts[:1]).select(blanked(tokens, True)).first()[0].split() == ["a", '"', '"', "'", "'", "`", "`", "l", "/", "m"]
+
+
+def test_line_ends_are_sought_once_a_file(spark, files):
+    body = "é東 # İ\r\npassword = 'abcd'\n"
+    df = files(("a.py", body + "eval (x)"), ("b.py", "eval(x)\nPASSWORD = 'x'"), ("c.py", "plain"), ("d.py", None))
+    found = to_findings(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RLIKE\(content#\d+, \[\\r", plan)) == 1
+    got = sorted((r.path, r.line, r.snippet) for r in found.collect())
+    assert got == [("a.py", 3, "password = 'abcd'"), ("a.py", 4, "eval (x)"), ("b.py", 1, "eval(x)"), ("b.py", 2, "PASSWORD = 'x'")]
+
+
+def test_locate_counts_bytes_ahead(spark):
+    texts = ["x\né\npasswd", "no such word", "", None, "password", "é\r\n passwd\npassword"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    at = locate(F.lit("Hardcoded password detected"), F.col("t"), T.only_newlines(F.col("t")))
+    got = {r.i: r.line for r in rows.select("i", at.alias("line")).collect()}
+    assert got == {0: 3, 1: None, 2: None, 3: None, 4: 1, 5: 3}
+    marks = rows.select("i", T.occurrences(F.col("t"), "\n").alias("n")).collect()
+    assert {r.i: r.n for r in marks} == {i: t if t is None else t.count("\n") for i, t in enumerate(texts)}
